@@ -19,6 +19,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.quality import judge
 
@@ -31,6 +37,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_spans(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.language import fold, identify
+
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.shards import shard_documents
 
@@ -38,12 +50,30 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.simhash import group
+
+    return group(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.vectors import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.bpe import encode_documents
 
@@ -51,10 +81,33 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
+    "op4_language": op4_language,
     "op5_shards": op5_shards,
+    "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
+    "op8_urls": op8_urls,
+    "op9_neighbours": op9_neighbours,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+
+ORACLES: dict[str, str] = {
+    # exact search (factor 1): products are added in the order of the dimensions, as the operator does
+    "op9_neighbours": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), lambda a, b: a + b) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs
+)
+SELECT * FROM ranked WHERE rank <= 20
+""",
+}
