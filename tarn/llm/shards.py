@@ -77,32 +77,33 @@ def mixed(seed: int, *columns: Column) -> Column:
 
 
 def shuffle(df: DataFrame, shards: int = 24, seed: int = 11, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Adds ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard) to the rows of ``df``."""
+    """Adds ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard) to the rows of ``df``; columns of these names are replaced, all
+    others are kept."""
     if shards < 1:
         raise ValueError("at least one shard")
     # "at": partition number in the upper 31 bits, row number in it below
-    placed = checkpointed(df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__group", F.shiftright("__at", 33) % MOST_GROUPS))
+    placed = checkpointed(df.drop("shard", "slot").withColumn("__at", F.monotonically_increasing_id()).withColumn("__group", F.shiftright("__at", 33) % MOST_GROUPS))
     counts = {r[0]: r[1] for r in placed.groupBy("__group").count().collect()}  # at most MOST_GROUPS rows
     groups = sorted(counts)
     matrix = communication_matrix([counts[g] for g in groups], shards, seed)
     total = sum(counts.values())
-    cuts = local_table(df, [{"g": g, "cuts": np.cumsum(m).tolist()} for g, m in zip(groups, matrix)], "g bigint, cuts array<bigint>")
+    cuts = local_table(df, [{"__g": g, "__cuts": np.cumsum(m).tolist()} for g, m in zip(groups, matrix)], "__g bigint, __cuts array<bigint>")
     # first permutation, inside each partition group; the hash of the position is the random key
     first = placed.withColumn("__key", mixed(seed, F.col("__at")))
     rank = F.row_number().over(Window.partitionBy("__group").orderBy("__key", "__at")) - 1
-    sent = first.withColumn("__rank", rank).join(F.broadcast(cuts), F.col("__group") == F.col("g"))
-    sent = sent.withColumn("shard", F.size(F.filter("cuts", lambda c: c <= F.col("__rank")))).drop("__group", "__rank", "__key", "g", "cuts")
+    sent = first.withColumn("__rank", rank).join(F.broadcast(cuts), F.col("__group") == F.col("__g"))
+    sent = sent.withColumn("shard", F.size(F.filter("__cuts", lambda c: c <= F.col("__rank")))).drop("__group", "__rank", "__key", "__g", "__cuts")
     # second permutation, inside each shard: slices of the key's range keep the order and bound what one task sorts
     slices = max(1, -(-total // (shards * slice_rows)))
     sent = sent.withColumn("__key", mixed(seed + 1, F.col("__at")))
     sent = sent.withColumn("__slice", F.expr(f"int(__key div {2**63 // slices + 1})"))
     if slices == 1:
         return sent.withColumn("slot", (F.row_number().over(Window.partitionBy("shard").orderBy("__key", "__at")) - 1).cast("long")).drop("__at", "__key", "__slice")
-    before = Window.partitionBy("s").orderBy("q").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sent.groupBy(F.col("shard").alias("s"), F.col("__slice").alias("q")).count().select("s", "q", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    before = Window.partitionBy("__s").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sent.groupBy(F.col("shard").alias("__s"), F.col("__slice").alias("__q")).count().select("__s", "__q", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
     ranked = sent.withColumn("__rank", F.row_number().over(Window.partitionBy("shard", "__slice").orderBy("__key", "__at")) - 1)
-    joined = ranked.join(offsets, (F.col("shard") == F.col("s")) & (F.col("__slice") == F.col("q")))
-    return joined.withColumn("slot", (F.col("offset") + F.col("__rank")).cast("long")).drop("__at", "__key", "__slice", "__rank", "s", "q", "offset")
+    joined = ranked.join(offsets, (F.col("shard") == F.col("__s")) & (F.col("__slice") == F.col("__q")))
+    return joined.withColumn("slot", (F.col("__offset") + F.col("__rank")).cast("long")).drop("__at", "__key", "__slice", "__rank", "__s", "__q", "__offset")
 
 
 def shard_documents(df: DataFrame, shards: int = 24, seed: int = 11, slice_rows: int = SLICE_ROWS) -> DataFrame:
