@@ -30,6 +30,8 @@ MOST_EPOCHS = 3
 LEVELS = (12, 12, 12)
 #: A long document at the boundary can leave a gap. So the search goes on behind it among the documents that fit into the gap.
 ROUNDS = 3
+#: Sources (a row of about 100 bytes each) that may be broadcast, and the parts of a source beyond that.
+MOST_BROADCAST, SALTS = 20_000, 32
 
 
 def word_count(text: Column) -> Column:
@@ -54,7 +56,18 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return levelled.select("source", "source_size", F.when(common.isNull(), F.col("cap")).otherwise(F.least("cap", common * F.col("weight"))).alias("target"))
 
 
-def thresholds(rows: DataFrame, budgets: DataFrame, levels: tuple[int, ...] = LEVELS, nearest: bool = True) -> DataFrame:
+def beside(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """Rows with the row of their source in ``plan`` (its column ``s``). While sources are few the plan is broadcast, so a source with most of the
+    rows stays spread; beyond that every source is dealt over ``SALTS`` parts on both sides."""
+    same = F.col("source").eqNullSafe(F.col("s"))
+    if few:
+        return rows.join(F.broadcast(plan), same).drop("s")
+    dealt = plan.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__salt", (F.col("hash") % SALTS).cast("int"))
+    return salted.join(dealt, same & (F.col("__salt") == F.col("__part"))).drop("s", "__part", "__salt")
+
+
+def thresholds(rows: DataFrame, budgets: DataFrame, levels: tuple[int, ...] = LEVELS, nearest: bool = True, few: bool = True) -> DataFrame:
     """``budgets`` (source, rest) with ``threshold`` and ``left``: the rows whose hash is below the threshold sum up to rest - left.
     ``nearest``: the document at the boundary goes in if that comes nearer to the budget; else it never does."""
     bits, used = sum(levels), 0
@@ -62,7 +75,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame, levels: tuple[int, ...] = LE
     for level in levels:
         used += level
         ends = found.select(F.col("source").alias("s"), "prefix", "left")
-        inside = rows.join(ends, F.col("source").eqNullSafe(F.col("s"))).where(F.shiftright("hash", bits - used + level) == F.col("prefix"))
+        inside = beside(rows, ends, few).where(F.shiftright("hash", bits - used + level) == F.col("prefix"))
         histogram = inside.groupBy("source", F.shiftright("hash", bits - used).alias("bucket")).agg(F.sum("size").alias("tokens"), F.first("left").alias("left"))
         upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket"))
         # the boundary: the first bucket that what is left doesn't cover
@@ -85,15 +98,16 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EP
     hashed = F.shiftright(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 64 - bits).bitwiseAND(F.lit((1 << bits) - 1))
     sized = checkpointed(df.select("doc_id", "source", word_count(F.col("text")).alias("size"), hashed.alias("hash")))
     targets = checkpointed(source_targets(sized, weights, most))
+    few = targets.count() <= MOST_BROADCAST
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = targets.withColumn("passes", passes.cast("long")).withColumn("left_0", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("end_0", F.lit(0).cast("long"))
     for r in range(1, ROUNDS + 1):
         open_ = plan.select(F.col("source").alias("s"), F.col(f"end_{r - 1}").alias("start"), F.col(f"left_{r - 1}").alias("most"))
-        rows = sized.join(open_, F.col("source").eqNullSafe(F.col("s"))).where((F.col("hash") >= F.col("start")) & (F.col("size") <= F.col("most")))
-        limits = thresholds(rows.select("source", "size", "hash"), plan.select("source", F.col(f"left_{r - 1}").alias("rest")), levels, nearest=r == ROUNDS)
+        rows = beside(sized, open_, few).where((F.col("hash") >= F.col("start")) & (F.col("size") <= F.col("most")))
+        limits = thresholds(rows.select("source", "size", "hash"), plan.select("source", F.col(f"left_{r - 1}").alias("rest")), levels, r == ROUNDS, few)
         limits = limits.select(F.col("source").alias("s"), F.col("threshold").alias(f"end_{r}"), F.col("left").alias(f"left_{r}"))
         plan = checkpointed(plan.join(limits, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    joined = sized.join(plan.withColumnsRenamed({"source": "p"}), F.col("source").eqNullSafe(F.col("p"))).drop("p")
+    joined = beside(sized, plan.withColumnRenamed("source", "s"), few)
     below = [(F.col("hash") < F.col(f"end_{r}")) & (F.col("size") <= F.col(f"left_{r - 1}")) for r in range(1, ROUNDS + 1)]
     again = functools.reduce(operator.or_, below)
     copies = F.least(F.col("passes") + F.when(again, 1).otherwise(0), F.lit(most))
