@@ -32,7 +32,7 @@ def to_jvm(pattern: str) -> str:
                 i = end + 2
                 continue
             in_class = c != "]" or out[-1] in ("[", "[^")
-            out.append("\\[" if c == "[" else "&&" if False else c)
+            out.append("\\" + c if c in "[&" else c)  # the JVM nests classes and intersects them at &&
         elif c == "[":
             in_class = True
             out.append("[^" if pattern[i + 1 : i + 2] == "^" else "[")

@@ -7,7 +7,7 @@ field the first failing rule counts.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +35,7 @@ class Value:
     text: Column
     as_number: Column
     elements: Column | None = None
+    element: Callable[[Column], Value] | None = None
 
     @classmethod
     def of_variant(cls, fields: Column, name: str) -> Value:
@@ -49,7 +50,7 @@ class Value:
             present=value.isNotNull(), null=F.coalesce(F.is_variant_null(value), F.lit(False)), string=kind == "STRING",
             number=kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), boolean=kind == "BOOLEAN", array=is_array,
             text=F.try_variant_get(value, "$", "string"), as_number=F.try_variant_get(value, "$", "double"),
-            elements=F.try_variant_get(value, "$", "array<variant>"),
+            elements=F.try_variant_get(value, "$", "array<variant>"), element=cls.of_value,
         )
 
     @classmethod
@@ -61,6 +62,7 @@ class Value:
             number=yes if number else no, boolean=yes if isinstance(kind, T.BooleanType) else no, array=yes if isinstance(kind, T.ArrayType) else no,
             text=F.to_json(column) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else column.cast("string"),
             as_number=column.cast("double") if number else F.lit(None).cast("double"), elements=column if isinstance(kind, T.ArrayType) else None,
+            element=(lambda x: cls.of_column(x, kind.elementType)) if isinstance(kind, T.ArrayType) else None,
         )
 
 
@@ -118,9 +120,7 @@ def violations_of(prop: Property, v: Value, modulo_steps: bool = False) -> Colum
         if v.elements is None:
             shaped = F.array(violation(prop.name, "must be an array", "array", v.text))
         else:
-            typed = not isinstance(v.elements, type(None))
-            element = Value.of_value if typed else None
-            checked = F.transform(v.elements, lambda x, i: first_failing(prop, element(x), F.concat(F.lit(prop.name + "["), i.cast("string"), F.lit("]")), modulo_steps))
+            checked = F.transform(v.elements, lambda x, i: first_failing(prop, v.element(x), F.concat(F.lit(prop.name + "["), i.cast("string"), F.lit("]")), modulo_steps))
             shaped = F.when(v.array, F.filter(checked, lambda x: x.isNotNull())).otherwise(F.array(violation(prop.name, "must be an array", "array", v.text)))
     else:
         single = F.array_compact(F.array(first_failing(prop, v, prop.name, modulo_steps)))

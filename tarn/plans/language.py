@@ -306,7 +306,7 @@ def read(text: str) -> Query:
 
 #: Functions of one value that go over lists element by element.
 EACH: dict[str, Callable[[Column], Column]] = {
-    "lower": F.lower, "upper": F.upper, "number": values.number, "string": lambda c: c.cast("string"), "striptime": values.text, "floor": F.floor, "ceil": F.ceil, "trunc": lambda c: F.expr("0") + c.cast("bigint"),
+    "lower": F.lower, "upper": F.upper, "number": values.number, "string": values.text, "floor": F.floor, "ceil": F.ceil, "trunc": lambda c: c.cast("bigint"),
 }
 AGGREGATES = {"length", "sum", "min", "max", "average", "nonnull"}
 

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import dates, durations, numbers, paths, values
-from tarn.functions.values import truthy
 from tarn.operators import commands, inheritance, links, lookups, records, tasks
 from tarn.operators.definitions import Property, Schema, resolve_all
 from tarn.plans.language import Engine
@@ -573,3 +572,13 @@ def language_calendar(spark, sf_dir):
 def language_links(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").alias("path"), "url")
     return Engine(pages, links=page_links(spark, sf_dir)).query('LIST WITHOUT ID page_id FROM [[/the]] WHERE startswith(url, "https://")').select("page_id")
+
+
+def _add_note_queries() -> None:
+    from tarn import note_queries
+
+    QUERIES.update(note_queries.QUERIES)
+    ORACLES.update(note_queries.ORACLES)
+
+
+_add_note_queries()

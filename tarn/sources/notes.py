@@ -12,6 +12,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.functions import paths
 from tarn.sources.guards import MOST_BYTES
@@ -59,11 +60,16 @@ def yaml_to_json(text: str | None) -> tuple[str | None, str | None]:
         return None, str(error).split("\n")[0]
 
 
-@F.pandas_udf("json string, error string")
-def parse_headers(texts: pd.Series) -> pd.DataFrame:
+def headers_of(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([yaml_to_json(t) for t in texts], columns=["json", "error"])
 
 
+def parse_headers(header: str) -> Column:
+    """Struct (json, error) of a column of YAML headers; the one step that runs in Python, a batch at a time."""
+    schema = T.StructType([T.StructField("json", T.StringType()), T.StructField("error", T.StringType())])
+    return F.pandas_udf(headers_of, schema)(F.col(header))
+
+
 def with_frontmatter(files: DataFrame, content: str = "content") -> DataFrame:
     """Adds header, body, fields (VARIANT), file_class and header_error. Without a header fields are an empty object."""
     header = F.nullif(F.regexp_extract(content, "(?m)" + HEADER, 0), F.lit(""))
@@ -103,7 +109,7 @@ def inline_fields(rows: DataFrame, key: str = "path", body: str = "body") -> Dat
     return found.groupBy(key, "name").agg(F.transform(ordered, lambda x: x["value"]).alias("values"))
 
 
-def tags(rows: DataFrame, body: str = "body") -> Column:
+def tags(body: str = "body") -> Column:
     """Tags of a text, each with the tags above it."""
     found = F.regexp_extract_all(body, F.lit(r"(?:^|\s)(#[\p{L}\p{N}_/-]+)"), F.lit(1))
     levels = F.transform(found, lambda t: F.transform(F.sequence(F.lit(1), F.size(F.split(t, "/"))), lambda n: F.array_join(F.slice(F.split(t, "/"), 1, n), "/")))

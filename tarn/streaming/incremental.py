@@ -1,6 +1,6 @@
 """Incremental index of notes: a file stream whose batches are merged into the cache, newest version of each note first.
 
-The reference computes nothing continuously; this is the streaming form of its scan of modified files.
+This is the streaming form of the scan of modified files; a batch is at most once in the index however often it is retried.
 """
 
 from __future__ import annotations
