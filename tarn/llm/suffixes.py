@@ -16,7 +16,7 @@ A suffix array over a corpus can't be built in one task, so strings meet by cont
    sorted as one text: its windows are compared by two independent 64-bit hashes.
 4. Ranges meet their documents, and covered bytes are cut out.
 
-Every row is a few numbers except the texts, which are shuffled once (both joins reuse that exchange) as compressed bytes.
+Every row is a few numbers except the texts, which are shuffled for the two joins as compressed bytes.
 
 Defined results: a null text is empty. Texts shorter than ``WINDOW`` lose nothing. Rows that repeat an id are the same document: they don't
 precede each other, and what is removed at a place in one is removed in all. A null id comes after all others. An empty table gives an
@@ -144,7 +144,18 @@ def later(doc: np.ndarray, a: np.ndarray, keys: list[np.ndarray]) -> tuple[np.nd
     return by, new, (doc[by] != doc[head]) | (a[by] != a[head])
 
 
-NAMES = ["anchor", "content", "doc", "a", "b"]
+#: Rows before the first exchange are many; they carry a range as one number, its start above its length.
+NAMES = ["anchor", "content", "doc", "at"]
+LENGTH_BITS = 31
+
+
+def packed_range(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a << LENGTH_BITS | (b - a)
+
+
+def unpacked_range(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a = at >> LENGTH_BITS
+    return a, a + (at & ((1 << LENGTH_BITS) - 1))
 
 
 def batch_of(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
@@ -157,7 +168,7 @@ def spread(doc: np.ndarray, a: np.ndarray) -> np.ndarray:
 
 
 def emit_contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1: rows (anchor, content, doc, a, b); content 0 marks a range that is known to be a repeat."""
+    """Step 1: rows (anchor, content, doc, at); content 0 marks a range that is known to be a repeat."""
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
         parts: list[tuple[np.ndarray, ...]] = []
@@ -182,10 +193,10 @@ def emit_contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         anchor, content, doc, a, b = (np.concatenate(c) for c in zip(*parts))
         by, new, repeat = later(doc, a, [anchor, content])
         first, known = by[new], by[repeat]
-        yield batch_of(NAMES, anchor[first], content[first], doc[first], a[first], b[first])
+        yield batch_of(NAMES, anchor[first], content[first], doc[first], packed_range(a[first], b[first]))
         if len(known):
             d, x, y = merged(doc[known], a[known], b[known])
-            yield batch_of(NAMES, spread(d, x), np.zeros(len(d), np.int64), d, x, y)
+            yield batch_of(NAMES, spread(d, x), np.zeros(len(d), np.int64), d, packed_range(x, y))
 
 
 def pieces_of(ids: np.ndarray, texts: list[bytes], chunk: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -207,7 +218,8 @@ def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
-    anchor, content, doc, a, b = (np.concatenate([t.column(i).to_numpy() for t in tables]) for i in range(5))
+    anchor, content, doc, at = (np.concatenate([t.column(i).to_numpy() for t in tables]) for i in range(4))
+    a, b = unpacked_range(at)
     known = content == 0
     ranges_found = [(doc[known], a[known], b[known])]
     anchor, content, doc, a, b = (x[~known] for x in (anchor, content, doc, a, b))
@@ -349,12 +361,12 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     bounded_batches(spark)
     order = F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID))
     rows = df.select(order.alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
-    met = rows.mapInArrow(emit_contexts, "anchor bigint, content bigint, doc bigint, a bigint, b bigint").repartition("anchor")
+    met = rows.mapInArrow(emit_contexts, "anchor bigint, content bigint, doc bigint, at bigint").repartition("anchor")
     plan = met.mapInArrow(meet, "anchor bigint, doc bigint, a bigint, b bigint")
     by_document = plan.groupBy("doc").agg(F.collect_list(F.struct("anchor", "doc", "a", "b")).alias("rows"))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([squeeze(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["id", "given_id", "packed"])
 
