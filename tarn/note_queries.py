@@ -43,9 +43,9 @@ def tag_levels(spark, sf_dir):
     return commands.flatten(parts(spark, sf_dir).select("p_partkey", notes.tags(body).alias("t")), F.col("t"), "tag").select("p_partkey", "tag")
 
 
-@query("SELECT p_partkey AS src, p_brand AS dst, p_type AS display, NULL::VARCHAR AS subpath, false AS embed FROM part UNION ALL SELECT p_partkey, 'n' || p_size, NULL, 'top', true FROM part")
+@query("SELECT p_partkey AS src, replace(p_brand, '#', '-') AS dst, p_type AS display, NULL::VARCHAR AS subpath, false AS embed FROM part UNION ALL SELECT p_partkey, 'n' || p_size, NULL, 'top', true FROM part")
 def wiki_links(spark, sf_dir):
-    body = text("a [[", F.col("p_brand"), "|", F.col("p_type"), "]] and ![[n", F.col("p_size"), "#top]]")
+    body = text("a [[", F.replace(F.col("p_brand"), F.lit("#"), F.lit("-")), "|", F.col("p_type"), "]] and ![[n", F.col("p_size"), "#top]]")
     return links.extract_links(parts(spark, sf_dir).select("p_partkey", body.alias("body")), "p_partkey").select("src", "dst", "display", "subpath", "embed")
 
 
