@@ -78,7 +78,7 @@ def rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: floa
 
 
 def host_scores(pages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """(host, trust, distrust, host_verdict) for the hosts of ``pages`` (host, html, verdict of the rules)."""
+    """(host, pages, trust, distrust, host_verdict) for the hosts of ``pages`` (host, html, verdict of the rules)."""
     hosts = checkpointed(pages.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked")))
     edges = checkpointed(host_edges(pages) if edges is None else edges)
     scores = hosts
@@ -90,7 +90,7 @@ def host_scores(pages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
         score = rank(direction, seeds).select(F.col("host").alias("h"), F.col("score").alias(name))
         scores = scores.join(score, F.col("host") == F.col("h"), "left").drop("h").withColumn(name, F.coalesce(name, F.lit(0.0)))
     bad = F.col("distrust") > THRESHOLD * F.col("trust") + FLOOR * average
-    return scores.select("host", "trust", "distrust", F.when(bad, F.lit("block")).otherwise(F.lit("allow")).alias("host_verdict"))
+    return scores.select("host", "pages", "trust", "distrust", F.when(bad, F.lit("block")).otherwise(F.lit("allow")).alias("host_verdict"))
 
 
 def judge(df: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, keep: tuple[str, ...] = ("page_id",), url: str = "url", html: str = "html") -> DataFrame:
@@ -98,7 +98,19 @@ def judge(df: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, keep: tu
     parsed = df.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumn("rule", rule).withColumn("ruled", ruled)
-    scores = host_scores(parsed).withColumnRenamed("host", "h")
-    joined = parsed.drop("html").join(scores, F.col("host") == F.col("h"), "left")
+    joined = with_scores(parsed.drop("html"), host_scores(parsed))
     verdict = F.coalesce("ruled", "host_verdict", F.lit("allow"))
     return joined.select(*keep, "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
+
+
+def with_scores(pages: DataFrame, scores: DataFrame) -> DataFrame:
+    """Pages with the scores of their host. Hosts with more than a hundredth of all pages are fewer than a hundred, so they are broadcast and their pages stay
+    where they are; the pages of all other hosts meet their scores by host. Pages without a host meet nothing."""
+    scores = checkpointed(scores.withColumnRenamed("host", "h"))
+    total = scores.agg(F.sum("pages")).first()[0] or 0
+    hot = F.broadcast(scores.where(F.col("pages") * 100 > total))
+    none = [F.lit(None).cast("double").alias("trust"), F.lit(None).cast("double").alias("distrust"), F.lit(None).cast("string").alias("host_verdict")]
+    same = F.col("host") == F.col("h")
+    large = pages.join(hot, same).drop("h", "pages")
+    small = pages.where("host <> ''").join(hot.select("h"), same, "left_anti").join(scores.where(F.col("pages") * 100 <= total), same, "left").drop("h", "pages")
+    return large.unionByName(small).unionByName(pages.where("host = ''").select("*", *none))
