@@ -53,11 +53,6 @@ def power(n: int) -> np.uint64:
     return np.uint64(pow(BASE, n, 2**64))
 
 
-def ahead(x: np.ndarray, n: int) -> np.ndarray:
-    """x moved n places to the front; the end is cut."""
-    return x[n:]
-
-
 def doubled(x: np.ndarray, n: int) -> np.ndarray:
     """Hashes of 2n bytes from hashes of n bytes."""
     return x[:-n] * power(n) + x[n:] if len(x) > n else x[:0]
