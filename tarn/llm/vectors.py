@@ -1,14 +1,15 @@
 """Nearest neighbours by inner product with vantage-point trees, one for each shard of the vectors.
 
-Largest inner product is turned into smallest Euclidean distance: with M the largest norm of a shard, x becomes (x, sqrt(M^2 - |x|^2)) and a query
-(q, 0), so |q - x|^2 = |q|^2 + M^2 - 2 q.x. A tree node keeps a vantage point and the range of distances on either side; a side is skipped if the
+Largest inner product is turned into smallest Euclidean distance: with M the largest norm of a tree, x becomes (x, sqrt(M^2 - |x|^2)) and a query
+(q, 0), so |q - x|^2 = |q|^2 + M^2 - 2 q.x. Vectors whose norms differ by more than a factor of 2 go into separate trees, so M fits its tree. A tree node keeps a vantage point and the range of distances on either side; a side is skipped if the
 triangle inequality puts it beyond the k-th best so far, ``lower bound * factor > k-th distance``. Factor 1 is exact search;
-larger factors prune more. Queries go down the tree as a batch: first each to its own leaf, which gives a good k-th distance, then once
+larger factors prune more. Distances only choose what to score: every point within a bound on their rounding of the k-th is scored
+exactly and ranked by that score, then by id. Queries go down the tree as a batch: first each to its own leaf, which gives a good k-th distance, then once
 over all nodes with the queries that can't skip them.
 
 Shards are dealt by a hash of the id, queries come in blocks, and every (shard, block) is a group of bounded size, so no task holds all
 vectors or all queries. Each gives its k best; a second step merges k rows for each shard and query. Equal vectors of a shard are one point of its tree with
-its k + 1 smallest ids, so thousands of copies neither unbalance a tree nor crowd out a result.
+its smallest ids (k, and as many as a query has rows of its own), so thousands of copies neither unbalance a tree nor crowd out a result.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers take no part; vectors of different lengths are
 never compared. A query is not its own candidate (by id). Ties go to the smaller id. With fewer than k candidates all are
@@ -17,6 +18,8 @@ returned; an empty table gives an empty result. Scores are sums over the dimensi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,8 +30,13 @@ from pyspark.sql.window import Window
 SHARD_ROWS, SPREAD, LEAST_ROWS = 32_768, 32, 512
 QUERY_ROWS = 4096
 LEAF = 128
-#: Points kept beyond k, since rounding in the tree's distances may swap neighbours that are nearly equal.
-SPARE = 8
+#: Pairs scored at a time, and what keeps bounds on rounding above 0 where squares underflow.
+PAIRS, TINY = 1 << 15, 1e-300
+
+
+def rounding(dimensions: int) -> float:
+    """A bound on the rounding of inner products, norms and lifted distances, as a part of the sum of both squared norms."""
+    return 8 * (dimensions + 4) * float(np.finfo(np.float64).eps)
 
 
 class Tree:
@@ -58,29 +66,18 @@ class Tree:
         self.nodes[me] = (int(order[start]), near, far, self.build(start + 1, start + 1 + half), self.build(start + 1 + half, end))
         return me
 
-    def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distances and positions of the k nearest points of each query (unsorted; position -1: fewer points)."""
-        best = np.full((len(queries), k), np.inf)
-        found = np.full((len(queries), k), -1)
+    def walk(self, queries: np.ndarray, offer: Callable, radius: Callable, factor: float = 1.0) -> None:
+        """Calls ``offer(rows, points, d)`` with squared distances of all points that may be within ``radius(rows)`` (squared) of the queries
+        in ``rows``, each pair once; the radius may shrink between calls."""
         if self.root < 0 or not len(queries):
-            return best, found
+            return
         norms = (queries**2).sum(1)
         squares = (self.points**2).sum(1)
+        relative = rounding(self.points.shape[1])
+        slack = relative * (norms + squares.max()) + TINY
 
-        def offer(rows: np.ndarray, points: np.ndarray, d: np.ndarray | None = None) -> None:
-            if d is None:
-                d = np.maximum(norms[rows, None] + squares[points] - 2 * queries[rows] @ self.points[points].T, 0)
-            better = (d < best[rows].max(1)[:, None]).any(1)
-            if better.any():
-                rows, d = rows[better], d[better]
-                all_d = np.concatenate([best[rows], d], 1)
-                all_i = np.concatenate([found[rows], np.broadcast_to(points, d.shape)], 1)
-                keep = np.argpartition(all_d, k - 1, 1)[:, :k]
-                best[rows] = np.take_along_axis(all_d, keep, 1)
-                found[rows] = np.take_along_axis(all_i, keep, 1)
-
-        def to_vantage(rows: np.ndarray, v: int) -> np.ndarray:
-            return np.maximum(norms[rows] + squares[v] - 2 * queries[rows] @ self.points[v], 0)
+        def distances(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
+            return np.maximum(norms[rows, None] + squares[points] - 2 * queries[rows] @ self.points[points].T, 0)
 
         # each query's own leaf
         own = np.full(len(queries), -1)
@@ -89,10 +86,11 @@ class Tree:
             node, rows = ways.pop()
             if len(self.nodes[node]) == 2:
                 own[rows] = node
-                offer(rows, self.order[slice(*self.nodes[node])])
+                points = self.order[slice(*self.nodes[node])]
+                offer(rows, points, distances(rows, points))
                 continue
             v, near, far, left, right = self.nodes[node]
-            inside = np.sqrt(to_vantage(rows, v)) <= (near[1] + far[0]) / 2
+            inside = np.sqrt(distances(rows, np.array([v]))[:, 0]) <= (near[1] + far[0]) / 2
             ways += [(child, part) for child, part in ((left, rows[inside]), (right, rows[~inside])) if len(part)]
         # all others that can't be skipped
         ways = [(self.root, np.arange(len(queries)))]
@@ -101,17 +99,36 @@ class Tree:
             if len(self.nodes[node]) == 2:
                 rows = rows[own[rows] != node]
                 if len(rows):
-                    offer(rows, self.order[slice(*self.nodes[node])])
+                    points = self.order[slice(*self.nodes[node])]
+                    offer(rows, points, distances(rows, points))
                 continue
             v, near, far, left, right = self.nodes[node]
-            square = to_vantage(rows, v)
-            offer(rows, np.array([v]), square[:, None])
-            d, kth = np.sqrt(square), np.sqrt(best[rows].max(1))
+            square = distances(rows, np.array([v]))
+            offer(rows, np.array([v]), square)
+            square, off = square[:, 0], slack[rows]
+            least, most, reach = np.sqrt(np.maximum(square - off, 0)), np.sqrt(square + off), np.sqrt(np.maximum(radius(rows), 0) + off)
             for (low, high), child in ((near, left), (far, right)):
-                bound = np.maximum(np.maximum(d - high, low - d), 0)
-                part = rows[bound * factor <= kth * (1 + 1e-9)]
+                bound = np.maximum(np.maximum(least - high * (1 + relative), low * (1 - relative) - most), 0)
+                part = rows[~(bound * factor > reach * (1 + 1e-9))]
                 if len(part):
                     ways.append((child, part))
+
+    def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances and positions of the k nearest points of each query (unsorted; position -1: fewer points)."""
+        best = np.full((len(queries), k), np.inf)
+        found = np.full((len(queries), k), -1)
+
+        def offer(rows: np.ndarray, points: np.ndarray, d: np.ndarray) -> None:
+            better = (d < best[rows].max(1)[:, None]).any(1)
+            if better.any():
+                rows, d = rows[better], d[better]
+                all_d = np.concatenate([best[rows], d], 1)
+                all_i = np.concatenate([found[rows], np.broadcast_to(points, d.shape)], 1)
+                keep = np.argpartition(all_d, k - 1, 1)[:, :k]
+                best[rows] = np.take_along_axis(all_d, keep, 1)
+                found[rows] = np.take_along_axis(all_i, keep, 1)
+
+        self.walk(queries, offer, lambda rows: best[rows].max(1), factor)
         return best, found
 
 
@@ -123,6 +140,75 @@ def scores(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     return total
 
 
+class Best:
+    """The best points of each query so far by exact score, then by position."""
+
+    def __init__(self, queries: np.ndarray, points: np.ndarray, most: int):
+        self.queries, self.points, self.most = queries, points, most
+        self.score = np.full((len(queries), most), -np.inf)
+        self.point = np.full((len(queries), most), len(points))
+        self.last, self.place = np.full(len(queries), -np.inf), np.full(len(queries), len(points))  # of the worst one kept
+
+    def offer(self, q: np.ndarray, p: np.ndarray) -> None:
+        for i in range(0, len(q), PAIRS):
+            self.merge(q[i : i + PAIRS], p[i : i + PAIRS])
+
+    def merge(self, q: np.ndarray, p: np.ndarray) -> None:
+        s = scores(self.queries[q], self.points[p])
+        better = (s > self.last[q]) | ((s == self.last[q]) & (p < self.place[q]))
+        q, p, s = q[better], p[better], s[better]
+        if not len(q):
+            return
+        by = np.argsort(q, kind="stable")
+        q, p, s = q[by], p[by], s[by]
+        rows, start, n = np.unique(q, return_index=True, return_counts=True)
+        at = (np.repeat(np.arange(len(rows)), n), self.most + np.arange(len(q)) - np.repeat(start, n))
+        all_s, all_p = np.full((len(rows), self.most + n.max()), -np.inf), np.full((len(rows), self.most + n.max()), len(self.points))
+        all_s[:, : self.most], all_p[:, : self.most] = self.score[rows], self.point[rows]
+        all_s[at], all_p[at] = s, p
+        order = np.argpartition(-all_s, self.most - 1, 1)
+        ranked = np.take_along_axis(all_s, order, 1)
+        tied = np.flatnonzero(ranked[:, self.most - 1] == ranked[:, self.most :].max(1))  # positions decide
+        order[tied] = np.lexsort((all_p[tied], -all_s[tied]), axis=1)
+        keep = order[:, : self.most]
+        top_s, top_p = np.take_along_axis(all_s, keep, 1), np.take_along_axis(all_p, keep, 1)
+        self.score[rows], self.point[rows] = top_s, top_p
+        self.last[rows] = top_s.min(1)
+        self.place[rows] = np.where(top_s == self.last[rows, None], top_p, -1).max(1)
+
+
+def search_band(best: Best, members: np.ndarray, factor: float) -> None:
+    """Offers ``best`` every point of a band (positions, norms within a factor of 2) that may be among its queries' best."""
+    points = best.points[members]
+    squares = (points**2).sum(1)
+    top, relative = squares.max(), rounding(points.shape[1] + 1)
+    norms = (best.queries**2).sum(1)
+    # scaled by powers of two (exact) to about the band's norm, so neither swallows the other in a distance
+    shift = (np.frexp(top)[1] - np.frexp(norms)[1]) // 2
+    # a score that even the longest vector of the band in the query's direction can't reach
+    reachable = ~(np.sqrt(norms) * np.sqrt(top) * (1 + relative) + TINY < best.last)
+    asked = np.flatnonzero(reachable)
+    if not len(asked):
+        return
+    queries = np.ldexp(best.queries[asked], shift[asked, None])
+    norms = (queries**2).sum(1)
+    slack = relative * (norms + top) + TINY
+    tree = Tree(np.concatenate([points, np.sqrt(np.maximum(top - squares, 0))[:, None]], 1), LEAF)
+
+    def radius(rows: np.ndarray) -> np.ndarray:
+        return norms[rows] + top - 2 * np.ldexp(best.last[asked[rows]], shift[asked[rows]])
+
+    def offer(rows: np.ndarray, at: np.ndarray, d: np.ndarray) -> None:
+        limit = radius(rows) + slack[rows]
+        if len(at) > best.most:  # that many points of these alone are nearer than the rest
+            open_ = np.isinf(limit)
+            limit[open_] = np.partition(d[open_], best.most - 1, 1)[:, best.most - 1] + 2 * slack[rows[open_]]
+        i, j = np.nonzero(~(d > limit[:, None]))
+        best.offer(asked[rows[i]], members[at[j]])
+
+    tree.walk(np.concatenate([queries, np.zeros((len(queries), 1))], 1), offer, radius, factor)
+
+
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, vector id, score) of the k best of one shard for each query."""
     if not len(ids) or not len(query_ids):
@@ -133,15 +219,20 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     where = where.reshape(-1)
     by_point = np.argsort(where, kind="stable")  # ids stay in order inside a point
     starts = np.searchsorted(where[by_point], np.arange(len(distinct)))
-    copies = np.minimum(np.diff(np.append(starts, len(ids))), k + 1)
-    squares = (distinct**2).sum(1)
-    lifted = np.concatenate([distinct, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]], 1)
-    kept = min(k + 1 + SPARE, len(distinct))
-    _, found = Tree(lifted).search(np.concatenate([queries, np.zeros((len(queries), 1))], 1), kept, factor)
-    q = np.repeat(np.arange(len(queries)), found.shape[1])
-    p = found.reshape(-1)
-    q, p = q[p >= 0], p[p >= 0]
-    s = scores(queries[q], distinct[p])
+    counts = np.diff(np.append(starts, len(ids)))
+    by_id = np.argsort(by_point[starts])  # points in the order of their smallest ids, so ties go to the smaller position
+    distinct, starts, counts = distinct[by_id], starts[by_id], counts[by_id]
+    # a query's own rows are dropped at the end, so as many more are kept
+    own = ids[np.isin(ids, query_ids)]
+    most = k + (int(np.unique(own, return_counts=True)[1].max()) if len(own) else 0)
+    copies = np.minimum(counts, most)
+    best = Best(queries, distinct, min(most, len(distinct)))
+    band = np.frexp((distinct**2).sum(1))[1] // 2
+    for b in np.unique(band)[::-1].tolist():
+        search_band(best, np.flatnonzero(band == b), factor)
+    q = np.repeat(np.arange(len(queries)), best.most)
+    p, s = best.point.reshape(-1), best.score.reshape(-1)
+    q, p, s = q[p < len(distinct)], p[p < len(distinct)], s[p < len(distinct)]
     n = copies[p]
     q, s, first = np.repeat(q, n), np.repeat(s, n), np.repeat(starts[p], n)
     nth = np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)

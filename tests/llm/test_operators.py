@@ -454,6 +454,23 @@ def test_vectors_are_exact(spark, monkeypatch):
     assert check_vectors(spark, rows, k=20) == brute_nearest(rows, 20)
 
 
+def test_vectors_ties_and_unlike_norms():
+    rng = np.random.default_rng(14)
+    binary = (rng.random((3000, 12)) < 0.5).astype(float)
+    unit = rng.normal(size=(2000, 12))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    unlike = np.concatenate([unit, [unit[0] * 1e9], unit[:5] * 1e-9])
+    for points in (np.unique(binary, axis=0)[1:], np.eye(300), unlike):
+        points = rng.permutation(points)
+        ids = rng.permutation(len(points))
+        asked = ids % 20 == 0
+        q, v, s = vectors.search_shard(ids, points, ids[asked], points[asked], 20, 1.0)
+        for i, x in zip(ids[asked], points[asked]):
+            all_s = vectors.scores(np.broadcast_to(x, points.shape), points)
+            want = [(j, a) for a, j in sorted((-a, j) for a, j in zip(all_s, ids) if j != i)[:20]]
+            assert [(b, -a) for b, a in zip(v[q == i], s[q == i])] == want
+
+
 def test_vectors_relaxed_search_keeps_recall(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=16)]) for i in range(2000)]
