@@ -6,8 +6,8 @@ Both are compared on each host: it is blocked if its distrust exceeds ``THRESHOL
 score. Seeds are the hosts most of whose pages an allow or a block rule decides, or those given.
 
 Everything runs as DataFrame joins over host edges: edges are made distinct with map-side aggregation, and contributions are summed
-before the shuffle, so a host with a third of all pages or links is an ordinary row. The number of rounds is bounded and the loop ends once scores settle;
-lineage is cut in the shared checkpoint folder.
+before the shuffle, so a host with a third of all pages or links is an ordinary row. The loop ends once scores are settled to a thousandth of the share
+that blocks a host, however long the ways from the seeds are; lineage is cut in the shared checkpoint folder.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and verdict ``allow``, as no score speaks against it. Null html has
 no links. Repeated rows get equal results. With no seeds of a kind all its scores are 0.
@@ -24,7 +24,10 @@ from tarn.llm.batches import checkpointed
 
 #: (verdict, host, path) of the query's rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, SETTLED = 0.85, 20, 1e-6
+DAMPING = 0.85
+#: Scores are iterated until all of them together are within SETTLED of their limits (``host_scores``: within this part of the share that blocks a
+#: host). Every round shrinks the distance by DAMPING, so ROUNDS is never reached but by a fault, and is an error.
+ROUNDS, SETTLED, PRECISION = 400, 1e-6, 1e-3
 THRESHOLD, FLOOR = 1.0, 0.05
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 HREF = r"""(?is)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -56,9 +59,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
     """Personalised PageRank: (host, score) from ``seeds`` (host, weight; weights sum to 1) along ``edges`` (src, dst).
-    What hosts without links hold goes back to the seeds."""
+    What hosts without links hold goes back to the seeds. The sum of all errors is at most ``settled``; scores that don't get there in
+    ``rounds`` are an error."""
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("links"))
     weighed = checkpointed(edges.join(out, "src").select("src", "dst", (1.0 / F.col("links")).alias("part")))
     now = checkpointed(seeds.select("host", F.col("weight").alias("score")))
@@ -72,9 +76,9 @@ def rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: floa
         fresh = checkpointed(fresh)
         change = fresh.join(now.withColumnsRenamed({"host": "h", "score": "was"}), F.col("host") == F.col("h"), "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
         now = fresh
-        if not change or change < SETTLED:
-            break
-    return now
+        if not change or change * damping <= settled * (1 - damping):  # what all later rounds can still change
+            return now
+    raise RuntimeError(f"scores did not settle in {rounds} rounds")
 
 
 def host_scores(pages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -87,7 +91,7 @@ def host_scores(pages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
         chosen = hosts.where(F.col(count) * 2 > F.col("pages")).select("host")
         n = chosen.count()
         seeds = chosen.withColumn("weight", F.lit(1.0 / max(1, n)))
-        score = rank(direction, seeds).select(F.col("host").alias("h"), F.col("score").alias(name))
+        score = rank(direction, seeds, settled=PRECISION * FLOOR * average).select(F.col("host").alias("h"), F.col("score").alias(name))
         scores = scores.join(score, F.col("host") == F.col("h"), "left").drop("h").withColumn(name, F.coalesce(name, F.lit(0.0)))
     bad = F.col("distrust") > THRESHOLD * F.col("trust") + FLOOR * average
     return scores.select("host", "pages", "trust", "distrust", F.when(bad, F.lit("block")).otherwise(F.lit("allow")).alias("host_verdict"))

@@ -421,6 +421,21 @@ def test_url_links_spread_distrust(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_url_distrust_reaches_far_hosts(spark):
+    n = 30  # host i links to host i - 1, host 0 is blocked
+    score = np.eye(n)[0]
+    for _ in range(500):
+        moved = np.append(0, score[:-1])
+        score = urls.DAMPING * moved + (1 - urls.DAMPING * moved.sum()) * np.eye(n)[0]
+    want = {i: "block" if score[i] > urls.FLOOR / n else "allow" for i in range(n)}
+    assert want[27] == "block" and want[29] == "allow"
+    host = lambda i: f"h{i}.info" if i else "bad.net"
+    rows = [(i, f"https://{host(i)}/p", f"<a href='https://{host(i - 1)}/'>" if i else "") for i in range(n)]
+    assert {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want
+    with pytest.raises(RuntimeError):
+        urls.rank(spark.createDataFrame([("a", "b")], "src string, dst string"), spark.createDataFrame([("a", 1.0)], "host string, weight double"), rounds=2)
+
+
 # ---- vectors ----
 
 
