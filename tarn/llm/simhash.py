@@ -4,7 +4,7 @@ Fingerprints of 64 bits are cut into ``BLOCKS`` blocks. Two fingerprints that di
 many blocks, so they agree on all the others: every choice of ``BLOCKS - MOST_BITS`` blocks gives one join key (20 keys of about
 32 bits), and each close pair meets under at least one of them. Inside a key, distances are exact.
 
-Equal fingerprints are collapsed to their smallest document first, so thousands of copies are one row. Under one key a task emits a
+Equal fingerprints are one node of the graph, so thousands of copies are one row. Under one key a task emits a
 spanning forest of the close pairs, never the pairs themselves: it walks from fingerprint to fingerprint over what is not yet reached, so a dense
 group costs time in proportion to its size. A key with very many fingerprints that are far apart is searched by looking up all
 fingerprints within the distance instead of comparing all pairs; both are exact.
@@ -167,10 +167,19 @@ def close_edges(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return grouped.mapInArrow(run, "u bigint, v bigint")
 
 
-def group(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", most: int = MOST_BITS) -> DataFrame:
-    """The ``keep`` columns (with doc_id), ``fingerprint`` (16 hex digits) and ``component_id`` of every row."""
+def labelled(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", most: int = MOST_BITS) -> DataFrame:
+    """The ``keep`` columns (with doc_id), ``fp``, ``cluster`` (the smallest fingerprint of the component) and ``component_id`` of every row.
+    Fingerprints are the nodes, so rows without an id link others too."""
     hashed = checkpointed(fingerprints(df, keep, text))
     distinct = checkpointed(hashed.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    labels = components(close_edges(distinct.where("rep is not null"), most))
-    ids = distinct.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id"))
-    return hashed.join(ids, F.col("fp") == F.col("f")).select(*keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labels = checkpointed(components(close_edges(distinct.select("fp", F.col("fp").alias("rep")), most)))
+    least = distinct.join(labels, F.col("fp") == F.col("node")).groupBy("component").agg(F.min("rep").alias("least")).withColumnRenamed("component", "c")
+    named = labels.join(least, F.col("component") == F.col("c")).select("node", "component", "least")
+    ids = distinct.join(named, F.col("fp") == F.col("node"), "left")
+    ids = ids.select(F.col("fp").alias("f"), F.coalesce("component", "fp").alias("cluster"), F.coalesce("least", "rep").alias("component_id"))
+    return hashed.join(ids, F.col("fp") == F.col("f")).select(*keep, "fp", "cluster", "component_id")
+
+
+def group(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", most: int = MOST_BITS) -> DataFrame:
+    """The ``keep`` columns (with doc_id), ``fingerprint`` (16 hex digits) and ``component_id`` of every row."""
+    return labelled(df, keep, text, most).select(*keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -303,6 +303,22 @@ def test_simhash_groups(spark, odd, texts):
     assert simhash.group(odd.limit(0)).collect() == []
 
 
+def test_simhash_rows_without_an_id_link_others(spark, texts):
+    rng = random.Random(12)
+    words = " ".join(texts[:12]).split()
+    fps = {}
+    for _ in range(400):
+        changed = list(words)
+        for _ in range(rng.randint(1, 4)):
+            changed[rng.randrange(len(words))] = rng.choice(words)
+        fps.setdefault(brute_fingerprint(" ".join(changed)), " ".join(changed))
+    near = lambda a, b: (a ^ b).bit_count() <= 3
+    a, b, c = next((a, b, c) for b in fps for a in fps for c in fps if a != b != c and near(a, b) and near(b, c) and not near(a, c))
+    rows = [(7, fps[a]), (None, fps[b]), (9, fps[c]), (8, "some other text"), (None, "and yet another one of them")]
+    got = simhash.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.fingerprint, r.component_id or 0) for r in got) == sorted((f"{brute_fingerprint(t):016x}", i) for (_, t), i in zip(rows, (7, 7, 7, 8, 0)))
+
+
 def test_simhash_dense_groups(spark, monkeypatch):
     rng = random.Random(8)
     base = rng.getrandbits(64)
