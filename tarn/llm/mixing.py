@@ -92,11 +92,11 @@ def thresholds(rows: DataFrame, budgets: DataFrame, levels: tuple[int, ...] = LE
     return found.select("source", "rest", (F.col("prefix") + F.when(with_last, 1).otherwise(0)).alias("threshold"), "left")
 
 
-def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 23, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and copies (how often the mix takes the document) of every row."""
+def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 23, levels: tuple[int, ...] = LEVELS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns, source, size, source_size, target, taken and copies (how often the mix takes the document) of every row."""
     bits = sum(levels)
     hashed = F.shiftright(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 64 - bits).bitwiseAND(F.lit((1 << bits) - 1))
-    sized = checkpointed(df.select("doc_id", "source", word_count(F.col("text")).alias("size"), hashed.alias("hash")))
+    sized = checkpointed(df.select(*keep, "source", word_count(F.col("text")).alias("size"), hashed.alias("hash")))
     targets = checkpointed(source_targets(sized, weights, most))
     few = targets.count() <= MOST_BROADCAST
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -112,4 +112,4 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EP
     again = functools.reduce(operator.or_, below)
     copies = F.least(F.col("passes") + F.when(again, 1).otherwise(0), F.lit(most))
     copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("int")
-    return joined.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "hash")
+    return joined.withColumn("copies", copies).select(*keep, "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "hash")

@@ -63,3 +63,19 @@ def test_stages(spark, folder):
     whole = corpus_pipeline.run(spark, folder).collect()
     assert sorted((r.doc_id, r.ids_sha256) for r in whole) == sorted((r.doc_id, r.ids_sha256) for r in encoded)
     assert len(whole) < docs.count() * 3
+
+
+def test_stages_keep_null_and_repeated_ids(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id between 50 and 57").orderBy("doc_id").collect()
+    texts = [r.text for r in docs]
+    junk = "### ".join(["word"] * 60)
+    # two clean texts without an id, one of them a copy of an id's, junk without an id; an id with two texts, and with junk
+    rows = [(1, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (None, junk), (2, texts[3]), (2, texts[4]), (2, junk), (3, texts[5]), (3, texts[5])]
+    df = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = lambda d: sorted((r.doc_id or 0, r.text) for r in d.collect())
+    kept = corpus_pipeline.clean(spark, df, folder)
+    assert found(kept) == sorted((i or 0, t) for i, t in rows if t != junk)
+    unique = corpus_pipeline.deduplicate(spark, kept, folder)
+    want = sorted([(1, texts[0]), (0, texts[1]), (0, texts[2]), (2, texts[3]), (2, texts[4]), (3, texts[5])])
+    assert found(unique) == want
+    assert set(found(corpus_pipeline.balance(spark, unique, folder))) == set(want)
