@@ -18,9 +18,9 @@ A suffix array over a corpus can't be built in one task, so strings meet by cont
 
 Every row is a few numbers except the texts, which are shuffled for the two joins as compressed bytes.
 
-Defined results: a null text is empty. Texts shorter than ``WINDOW`` lose nothing. Rows that repeat an id are the same document: they don't
-precede each other, and what is removed at a place in one is removed in all. A null id comes after all others. An empty table gives an
-empty result.
+Defined results: a null text is empty. Texts shorter than ``WINDOW`` lose nothing. Rows that repeat an id and its text are the same document: they
+don't precede each other and lose the same. Other texts of an id are documents of their own, in an order by their hashes. Each row with a null id is a document, after
+all others. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.batches import bounded_batches
+from tarn.llm.batches import bounded_batches, checkpointed
 from tarn.llm.gsaca import ranges, suffix_arrays
 
 WINDOW, ANCHOR = 100, 40
@@ -42,7 +42,6 @@ WINDOW, ANCHOR = 100, 40
 CHUNK = 1 << 16
 #: Contexts of one anchor that are sorted as one text at most, and bytes of many anchors that are sorted in step.
 TEXT_BYTES, STEP_BYTES = 32_768, 1 << 20
-NULL_ID = 2**63 - 1
 _rng = np.random.default_rng(20)
 #: A random number for each byte value; hashes are polynomials of these in an odd base modulo 2^64.
 VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -354,9 +353,8 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``with_text``, kept (binary) and spans of every row."""
     spark = df.sparkSession
     bounded_batches(spark)
-    order = F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID))
-    rows = df.select(order.alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
-    met = rows.mapInArrow(emit_contexts, "anchor bigint, content bigint, doc bigint, at bigint").repartition("anchor")
+    source = rows_with_id(df, id_column, text)
+    met = source.select("id", "raw").mapInArrow(emit_contexts, "anchor bigint, content bigint, doc bigint, at bigint").repartition("anchor")
     plan = met.mapInArrow(meet, "anchor bigint, doc bigint, a bigint, b bigint")
     by_document = plan.groupBy("doc").agg(F.collect_list(F.struct("anchor", "doc", "a", "b")).alias("rows"))
 
@@ -366,7 +364,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([squeeze(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["id", "given_id", "packed"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    packed = rows_with_id(df, id_column, text).mapInArrow(pack, f"id bigint, given_id {kind}, packed binary")
+    packed = source.mapInArrow(pack, f"id bigint, given_id {kind}, packed binary")
     joined = packed.join(by_document, F.col("id") == F.col("doc")).select("packed", "rows")
     found = joined.mapInArrow(fetch, FOUND).repartition("anchor").mapInArrow(compare, "doc bigint, a bigint, b bigint")
     cuts = found.groupBy("doc").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("stops"))
@@ -401,5 +399,25 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 
 def rows_with_id(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    order = F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID))
-    return df.select(order.alias("id"), F.col(id_column).alias("given_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
+    """id (a number for each document, in their order), given_id and raw. Ids that are neither null nor repeated are their own numbers; else rows are
+    sorted by id and text and numbered, once for both passes over them."""
+    order = F.col(id_column).cast("long")
+    rows = df.select(order.alias("id"), F.col(id_column).alias("given_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
+    if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("id is null or n > 1").isEmpty():
+        return rows
+    by = [F.col("id").asc_nulls_last(), "text_hash", "text_hash_2"]
+    hashed = rows.withColumn("text_hash", F.xxhash64("raw")).withColumn("text_hash_2", F.xxhash64(F.lit(1), "raw"))
+    placed = checkpointed(hashed.orderBy(*by).withColumn("place", F.monotonically_increasing_id()))
+    kind = df.schema[id_column].dataType.simpleString()
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, doc = None, 0  # equal rows are neighbours in one partition
+        for batch in batches:
+            out = []
+            for *row, place in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5))):
+                if row[0] is None or row != last:
+                    last, doc = row, place
+                out.append(doc)
+            yield pa.record_batch([pa.array(out, pa.int64()), batch.column(1), batch.column(2)], names=["id", "given_id", "raw"])
+
+    return placed.select("id", "given_id", "raw", "text_hash", "text_hash_2", "place").mapInArrow(number, f"id bigint, given_id {kind}, raw binary")

@@ -90,6 +90,16 @@ def test_repeated_ids_do_not_precede_each_other(spark):
     assert sorted((r.doc_id, r.n_removed) for r in remove_repeats(df).collect()) == [(1, 0), (1, 0), (2, 400)]
 
 
+def test_null_ids_and_other_texts_of_an_id_are_documents(spark):
+    rng = random.Random(7)
+    a, b, c, d = ("".join(rng.choice("abcdef ") for _ in range(n)) for n in (400, 300, 120, 500))
+    rows = [(1, a), (None, b), (None, b), (None, d + a), (None, c), (2, d), (2, c + a), (2, d)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    # texts of id 2 are d and c + a in either order; they share nothing
+    found = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got)
+    assert found == sorted([(1, 400, 0), (0, 300, 0), (0, 300, 300), (0, 900, 900), (0, 120, 120), (2, 500, 0), (2, 520, 400), (2, 500, 0)])
+
+
 def test_text_longer_than_packed_positions(spark):
     rng = random.Random(7)
     block = bytes(rng.choice(b"abcdefgh") for _ in range(300)).decode()
