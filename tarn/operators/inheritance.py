@@ -6,7 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MOST_LEVELS = 32
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cuts lineage between the rounds of a loop: in the folder that ``spark.checkpoint.dir`` names, else in local mode on this machine."""
+    context = df.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            return df.localCheckpoint(eager=True)
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
 
 
 def missing_parents(schemas: DataFrame) -> DataFrame:
@@ -19,19 +30,18 @@ def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def ancestors(schemas: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
-    """(name, ancestor, depth, path) by a recursive query; each schema is its own ancestor at depth 0. A path ends where it would meet a name
-    again, so cycles end too; :func:`cycles` lists them."""
-    schemas.select("name", "extends").createOrReplaceTempView("tarn_schemas")
-    return schemas.sparkSession.sql(f"""
-        WITH RECURSIVE up(name, ancestor, depth, path, next) AS (
-          SELECT name, name, 0, array(name), extends FROM tarn_schemas
-          UNION ALL
-          SELECT up.name, s.name, up.depth + 1, array_append(up.path, s.name), s.extends
-          FROM up JOIN tarn_schemas s ON up.next = s.name
-          WHERE NOT array_contains(up.path, s.name) AND up.depth < {most}
-        ) SELECT name, ancestor, depth, path FROM up
-    """)
+def ancestors(schemas: DataFrame) -> DataFrame:
+    """(name, ancestor, depth, path), level by level until none is left; each schema is its own ancestor at depth 0. A path ends where it would meet
+    a name again, so cycles end too; :func:`cycles` lists them."""
+    above = settled(schemas.select(F.col("name").alias("s_name"), F.col("extends").alias("s_next")))
+    level = settled(schemas.select("name", F.col("name").alias("ancestor"), F.lit(0).alias("depth"), F.array("name").alias("path"), F.col("extends").alias("next")))
+    found = level
+    while True:
+        joined = level.join(above, (F.col("next") == F.col("s_name")) & ~F.array_contains("path", F.col("s_name")))
+        level = settled(joined.select("name", F.col("s_name").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("s_name")).alias("path"), F.col("s_next").alias("next")))
+        if level.isEmpty():
+            return found.select("name", "ancestor", "depth", "path")
+        found = found.union(level)
 
 
 def cycles(schemas: DataFrame) -> DataFrame:

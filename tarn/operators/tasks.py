@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarn.operators.inheritance import settled
+
 ITEM = r"^(\s*)(?:[-*+]|\d+[.)])\s+(?:\[(.)\]\s+)?(.*)$"
 #: Date marks in a task's text (fixed values) and the field each one sets.
 DATE_MARKS = {"due": ("🗓️", "🗓", "📅"), "completion": ("✅",), "created": ("➕",), "start": ("🛫",), "scheduled": ("⏳",)}
 #: Priority marks (fixed values); none of them is C.
 PRIORITIES = (("⏫", "A"), ("🔼", "B"), ("🔽", "D"))
-MOST_DEPTH = 32
 
 
 def items(notes: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
@@ -77,17 +78,24 @@ def timeline(tasks: DataFrame) -> DataFrame:
     return happenings(tasks).groupBy("day", "what").agg(F.count(F.lit(1)).alias("tasks"))
 
 
-def closure(found: DataFrame, key: str = "path", most: int = MOST_DEPTH) -> DataFrame:
-    """(path, ancestor, line, depth): every item with each item above it, itself at depth 0."""
-    found.select(F.col(key).alias("path"), "line", "parent_line").createOrReplaceTempView("tarn_items")
-    return found.sparkSession.sql(f"""
-        WITH RECURSIVE up(path, line, ancestor, depth, next) AS (
-          SELECT path, line, line, 0, parent_line FROM tarn_items
-          UNION ALL
-          SELECT up.path, up.line, i.line, up.depth + 1, i.parent_line
-          FROM up JOIN tarn_items i ON up.path = i.path AND up.next = i.line WHERE up.depth < {most}
-        ) SELECT path, ancestor, line, depth FROM up
-    """)
+def closure(found: DataFrame, key: str = "path") -> DataFrame:
+    """(path, ancestor, line, depth): every item with each item above it, itself at depth 0, at any depth. Each round doubles the levels that are
+    joined; items that lie above themselves are an error."""
+    items_ = found.select(F.col(key).alias("path"), "line", "parent_line")
+    reach = settled(items_.select("path", "line", F.col("line").alias("ancestor"), F.lit(0).alias("depth")))
+    jump = settled(items_.where("parent_line is not null").select("path", "line", F.col("parent_line").alias("to")))
+    most = reach.groupBy("path").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    levels = 1
+    while not jump.isEmpty():
+        if levels > most:
+            raise ValueError("items lie above themselves")
+        above = reach.select(F.col("path").alias("p"), F.col("line").alias("l"), "ancestor", "depth")
+        more = jump.join(above, (F.col("path") == F.col("p")) & (F.col("to") == F.col("l"))).select("path", "line", "ancestor", (F.col("depth") + levels).alias("depth"))
+        reach = settled(reach.union(more))
+        onward = jump.select(F.col("path").alias("p"), F.col("line").alias("l"), F.col("to").alias("next"))
+        jump = settled(jump.join(onward, (F.col("path") == F.col("p")) & (F.col("to") == F.col("l"))).select("path", "line", F.col("next").alias("to")))
+        levels *= 2
+    return reach.select("path", "ancestor", "line", "depth")
 
 
 def fully_completed(found: DataFrame) -> DataFrame:

@@ -247,6 +247,18 @@ def test_tasks(spark):
     assert tasks.timeline(rich).count() == 3 and rich.where(tasks.FILTERS["due before"](datetime.date(2024, 1, 11))).count() == 1
 
 
+def test_trees_and_inheritance_of_any_depth(spark):
+    n = 40
+    df = spark.createDataFrame([("n", i, i - 1 if i else None, True, i < n - 1) for i in range(n)], "path string, line int, parent_line int, task boolean, completed boolean")
+    assert not any(r.fully_completed for r in tasks.fully_completed(df).collect())
+    assert tasks.closure(df).count() == n * (n + 1) // 2
+    assert tasks.matching_with_children(df, F.col("line") == 0).count() == n
+    from tarn.operators import inheritance
+
+    chain = spark.createDataFrame([(f"s{i}", f"s{i - 1}" if i else None) for i in range(n)], "name string, extends string")
+    assert inheritance.ancestors(chain).where("name = 's39'").count() == n
+
+
 def test_lookups(spark):
     index = spark.createDataFrame([("p/a.md", "a", "p", "person"), ("q/b.md", "b", "q", "thing")], "path string, basename string, folder string, file_class string")
     rows = spark.createDataFrame([("p/a.md",), ("[[b]]",), ("[[a|A]]",), ("zzz",), (None,)], "v string")
