@@ -3,14 +3,15 @@
 Law ``rows``: shard sizes differ by one row at most. Let n_p be the rows of input partition p and c_s the capacity of shard s. Row p of the
 matrix, how many of p's rows go to each shard, is drawn from the multivariate hypergeometric distribution over what is left
 of the capacities, which is the law of a uniformly random assignment with exactly those capacities. Then every partition permutes its rows
-locally, cuts the permutation by its row of the matrix, rows are exchanged, and each shard permutes what it received.
+where they are (a sort inside the partition by a random key), cuts the permutation by its row of the matrix, rows are exchanged once, and each shard
+permutes what it received.
 
-Everything that touches rows is DataFrame expressions. The driver draws the matrix from one count for each partition; partitions are
-folded onto at most ``MOST_GROUPS`` groups, so the matrix, which is broadcast, has at most ``MOST_GROUPS`` x shards numbers at any size of
-the input. Hot keys don't matter: rows are placed by their position, never by a value.
+Everything that touches rows is DataFrame expressions. The driver draws the matrix from one count for each partition; more than ``MOST_GROUPS``
+partitions are first dealt onto that many, so the matrix, which is broadcast, has at most ``MOST_GROUPS`` x shards numbers at any size of
+the input. Draws are exact at any size: NumPy's generator below its limit of 1e9, beyond it rejection over Python integers with probabilities of 30 digits.
+Hot keys don't matter: rows are placed by their position, never by a value.
 
-Row positions come from the scan, so they are written once (checkpoint) before anything depends on them; a lost executor
-can't change them.
+Row positions come from a written table (checkpoint), so a lost executor can't change them.
 
 Defined results: a null text counts as empty (size 8, crc32 0). Repeated rows are separate rows with slots of their own. An empty table
 gives an empty result. Two runs over the same files and settings agree.
@@ -19,6 +20,8 @@ gives an empty result. Two runs over the same files and settings agree.
 from __future__ import annotations
 
 import json
+from decimal import Decimal, localcontext
+from math import factorial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -27,7 +30,7 @@ from pyspark.sql.window import Window
 
 from tarn.llm.batches import checkpointed
 
-MOST_GROUPS = 2048
+MOST_GROUPS = 4096
 #: Rows that one local permutation should hold at most; it sets into how many slices a shard is cut.
 SLICE_ROWS = 50_000
 
@@ -40,31 +43,62 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
     left[rng.permutation(shards)[: total % shards]] += 1
     matrix = np.zeros((len(rows), shards), np.int64)
     for p, n in enumerate(rows):
-        if left.sum() < 1_000_000_000:
-            matrix[p] = rng.multivariate_hypergeometric(left, n, method="marginals")
-        else:  # beyond the library's range: the same law by successive conditional draws, each split in two levels
-            matrix[p] = large_draw(rng, left, n)
+        matrix[p] = multivariate(rng, left, n)
         left -= matrix[p]
     return matrix
 
 
-def large_draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    """A multivariate hypergeometric draw for populations beyond 1e9, by the normal limit of each conditional marginal, kept
-    inside its support and with exact sums (at such sizes the relative error of the limit is below 1e-4)."""
+#: NumPy draws exactly while both parts of a population are below this.
+LIBRARY_LIMIT = 10**9
+
+
+def multivariate(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """How many of n rows go to each shard, ``left`` being the free places: one conditional draw after the other."""
+    if left.sum() < LIBRARY_LIMIT:
+        return rng.multivariate_hypergeometric(left, n, method="marginals")
     out, rest, need = np.zeros(len(left), np.int64), int(left.sum()), n
     for s, c in enumerate(map(int, left)):
         rest -= c
-        if rest == 0:
-            out[s] = need
-            break
-        whole = rest + c
-        mean = need * c / whole
-        spread = (mean * (1 - c / whole) * (whole - need) / max(1, whole - 1)) ** 0.5
-        out[s] = min(max(round(mean + spread * rng.standard_normal()), need - rest, 0), c, need)
+        out[s] = hypergeometric(rng, c, rest, need)
         need -= int(out[s])
     return out
 
 
+def log_factorial(n: int) -> Decimal:
+    """ln n! with an error below 1e-29 (the context must have 40 digits)."""
+    if n < 1000:
+        return Decimal(factorial(n)).ln()
+    x, tau = Decimal(n), Decimal("6.283185307179586476925286766559005768394")
+    return (x + Decimal("0.5")) * x.ln() - x + tau.ln() / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """Good ones among ``drawn`` of ``good`` + ``bad``. The distribution is log-concave, so beyond the library's limit Devroye's universal rejection
+    for such distributions draws it: a plateau with exponential tails around the mode, accepted by the ratio of probabilities."""
+    if not (good and bad and drawn) or drawn == good + bad:
+        return min(good, drawn) if drawn != good + bad else good
+    if max(good, bad) < LIBRARY_LIMIT:
+        return int(rng.hypergeometric(good, bad, drawn))
+    low, high = max(0, drawn - bad), min(good, drawn)
+    with localcontext() as context:
+        context.prec = 40
+
+        def varying(k: int) -> Decimal:
+            return -sum(map(log_factorial, (k, good - k, drawn - k, bad - drawn + k)))
+
+        mode = (drawn + 1) * (good + 1) // (good + bad + 2)
+        fixed = sum(map(log_factorial, (good, bad, drawn, good + bad - drawn))) - log_factorial(good + bad)
+        top = varying(mode)
+        peak = float((fixed + top).exp())
+        w = 1 + peak / 2
+        while True:
+            y = rng.random() * w / peak if rng.random() <= w / (1 + w) else (w + rng.exponential()) / peak
+            k = mode + (round(y) if rng.random() < 0.5 else -round(y))
+            u = (int.from_bytes(rng.bytes(16), "big") + 1) / Decimal(2**128)
+            if low <= k <= high and u.ln() + min(Decimal(0), Decimal(w - peak * y)) <= varying(k) - top:
+                return k
+
+
 def local_table(df: DataFrame, rows: list[dict], ddl: str) -> DataFrame:
     """A small table from driver values, as a JSON literal that Spark parses itself."""
     one = df.sparkSession.range(1)
@@ -81,18 +115,20 @@ def shuffle(df: DataFrame, shards: int = 24, seed: int = 11, slice_rows: int = S
     others are kept."""
     if shards < 1:
         raise ValueError("at least one shard")
-    # "at": partition number in the upper 31 bits, row number in it below
-    placed = checkpointed(df.drop("shard", "slot").withColumn("__at", F.monotonically_increasing_id()).withColumn("__group", F.shiftright("__at", 33) % MOST_GROUPS))
-    counts = {r[0]: r[1] for r in placed.groupBy("__group").count().collect()}  # at most MOST_GROUPS rows
+    row = (1 << 33) - 1  # an id is the partition's number in the upper 31 bits, the row's number in it below
+    placed = checkpointed(df.drop("shard", "slot"))
+    if placed.select(F.spark_partition_id().alias("p")).distinct().count() > MOST_GROUPS:
+        placed = checkpointed(placed.repartition(MOST_GROUPS))
+    counts = {r[0]: r[1] for r in placed.groupBy(F.spark_partition_id().alias("p")).count().collect()}  # at most MOST_GROUPS rows
     groups = sorted(counts)
     matrix = communication_matrix([counts[g] for g in groups], shards, seed)
     total = sum(counts.values())
     cuts = local_table(df, [{"__g": g, "__cuts": np.cumsum(m).tolist()} for g, m in zip(groups, matrix)], "__g bigint, __cuts array<bigint>")
-    # first permutation, inside each partition group; the hash of the position is the random key
-    first = placed.withColumn("__key", mixed(seed, F.col("__at")))
-    rank = F.row_number().over(Window.partitionBy("__group").orderBy("__key", "__at")) - 1
-    sent = first.withColumn("__rank", rank).join(F.broadcast(cuts), F.col("__group") == F.col("__g"))
-    sent = sent.withColumn("shard", F.size(F.filter("__cuts", lambda c: c <= F.col("__rank")))).drop("__group", "__rank", "__key", "__g", "__cuts")
+    # first permutation, inside each partition and without an exchange; the hash of the position is the random key
+    first = placed.withColumn("__at", F.monotonically_increasing_id()).withColumn("__key", mixed(seed, F.col("__at")))
+    first = first.sortWithinPartitions("__key", "__at").withColumn("__rank", F.monotonically_increasing_id().bitwiseAND(F.lit(row)))
+    sent = first.join(F.broadcast(cuts), F.shiftright("__at", 33) == F.col("__g"))
+    sent = sent.withColumn("shard", F.size(F.filter("__cuts", lambda c: c <= F.col("__rank")))).drop("__rank", "__key", "__g", "__cuts")
     # second permutation, inside each shard: slices of the key's range keep the order and bound what one task sorts
     slices = max(1, -(-total // (shards * slice_rows)))
     sent = sent.withColumn("__key", mixed(seed + 1, F.col("__at")))
