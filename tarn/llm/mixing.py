@@ -1,35 +1,38 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
 Targets: sources share the whole size by weight; a source's target stops at ``MOST_EPOCHS`` times its own size and what is over goes to
-the others by weight, which is min(cap, level x weight) at one common level (found from running sums over the sources).
+the others by weight, again until none is above. Every round is one sum over the sources still open.
 
-A source's target is so many whole passes over it and a rest. The rest is taken by hash: every document has a fixed hash of 36
+A source's target is so many whole passes over it and a rest. The rest is taken by hash: every document has a fixed hash of ``HASH_BITS``
 bits, and the documents below a threshold go in once more. The threshold comes from histograms of tokens by source and hash bucket: running
-sums give the bucket in which the budget ends, only the rows of that boundary bucket are counted again at the next level of bits, and
-the documents are filtered by comparing hashes. Nothing is sorted by document, budgets are nested (a larger budget keeps every
-document of a smaller one), and a source with a third of all rows is one set of bucket sums like any other.
+sums give the bucket in which the budget ends, only the rows of that boundary bucket are counted again at the next bits, until it holds one
+document, and the documents are filtered by comparing hashes. That document goes in if it brings the sum nearer to the budget. Nothing is sorted by document,
+budgets are nested (a larger budget keeps every document of a smaller one, and takes none less often), and a source with a third of all rows is one set of
+bucket sums like any other.
+
+Equal rows (same id and text) share a hash. Where the boundary falls among them, histograms over their positions (of a written table) decide, so as many
+of them are taken as the budget needs; which of them makes no difference.
 
 Defined results: a null text has size 0; null is a source of its own, last in order. Documents of size 0 are in the result with
-taken 0. Rows that repeat share a hash only if id and text agree. An empty table gives an empty result. Reruns agree.
+taken 0. An empty table gives an empty result. Reruns agree, whatever the partitions.
 """
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarn.llm.batches import checkpointed
+from tarn.llm.shards import local_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
-#: Bits of the hash that each level of histograms resolves.
-LEVELS = (12, 12, 12)
-#: A long document at the boundary can leave a gap. So the search goes on behind it among the documents that fit into the gap.
-ROUNDS = 3
+#: Hexadecimal digits of the hash, its bits, and the bits that each histogram resolves.
+DIGITS = 15
+HASH_BITS, LEVEL = 4 * DIGITS, 12
+#: The same for a row's position; a histogram has a row for each position at most.
+PLACE_BITS, PLACE_LEVEL = 63, 21
 #: Sources (a row of about 100 bytes each) that may be broadcast, and the parts of a source beyond that.
 MOST_BROADCAST, SALTS = 20_000, 32
 
@@ -40,20 +43,38 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(same, " ", -1), "")).cast("long")
 
 
+def place_in_order(seed: int, doc_id: Column, text: Column) -> Column:
+    """The hash: the leading digits of an MD5 over seed, id and text, so that other systems can compute it."""
+    whole = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, DIGITS), 16, 10).cast("long")
+
+
+def numbered_sources(sized: DataFrame) -> DataFrame:
+    """(source, source_size, n): sources in the order of their code points, null last, numbered from 0."""
+    row = (1 << 33) - 1
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").asc_nulls_last())
+    placed = checkpointed(sizes.withColumn("at", F.monotonically_increasing_id()))
+    counts = sorted((r[0], r[1]) for r in placed.groupBy(F.shiftright("at", 33).alias("p")).count().collect())  # one for each sorted partition
+    offsets, before = [], 0
+    for p, n in counts:
+        offsets.append({"p": p, "before": before})
+        before += n
+    joined = placed.join(F.broadcast(local_table(sized, offsets, "p bigint, before bigint")), F.shiftright("at", 33) == F.col("p"))
+    return joined.select("source", "source_size", (F.col("before") + F.col("at").bitwiseAND(F.lit(row))).alias("n"))
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """One row for each source: source, source_size and target. The windows run over sources, not documents."""
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    n = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (n % len(weights) + 1).cast("int"))
-    weighed = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(most))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "weight", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # sources by the level at which they fill up: the common level is the first that the still unfilled ones can't reach
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    levelled = weighed.withColumn("level", level).withColumn("open", F.col("cap") > F.col("level") * F.col("weight"))
-    common = F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(whole)
-    return levelled.select("source", "source_size", F.when(common.isNull(), F.col("cap")).otherwise(F.least("cap", common * F.col("weight"))).alias("target"))
+    """One row for each source: source, source_size and target."""
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("n") % len(weights) + 1).cast("int"))
+    weighed = checkpointed(numbered_sources(sized).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(most)).alias("cap")))
+    level, closed = 0.0, -1
+    while True:
+        full = F.col("cap") < F.lit(level) * F.col("weight")
+        sums = weighed.agg(F.sum("source_size"), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        if sums[0] is None or sums[3] == closed:
+            break
+        level, closed = (sums[0] - (sums[1] or 0.0)) / sums[2], sums[3]
+    return weighed.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.lit(level) * F.col("weight")).alias("target"))
 
 
 def beside(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
@@ -67,49 +88,74 @@ def beside(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
     return salted.join(dealt, same & (F.col("__salt") == F.col("__part"))).drop("s", "__part", "__salt")
 
 
-def thresholds(rows: DataFrame, budgets: DataFrame, levels: tuple[int, ...] = LEVELS, nearest: bool = True, few: bool = True) -> DataFrame:
-    """``budgets`` (source, rest) with ``threshold`` and ``left``: the rows whose hash is below the threshold sum up to rest - left.
-    ``nearest``: the document at the boundary goes in if that comes nearer to the budget; else it never does."""
-    bits, used = sum(levels), 0
-    found = budgets.select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.col("rest").alias("left"), F.lit(0).cast("long").alias("tokens"))
-    for level in levels:
-        used += level
-        ends = found.select(F.col("source").alias("s"), "prefix", "left")
-        inside = beside(rows, ends, few).where(F.shiftright("hash", bits - used + level) == F.col("prefix"))
-        histogram = inside.groupBy("source", F.shiftright("hash", bits - used).alias("bucket")).agg(F.sum("size").alias("tokens"), F.first("left").alias("left"))
-        upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket"))
-        # the boundary: the first bucket that what is left doesn't cover
-        boundary = histogram.withColumn("upto", upto).where(F.col("upto") > F.col("left")).groupBy(F.col("source").alias("h"))
-        boundary = boundary.agg(F.min(F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("before"), F.col("tokens").alias("here"))).alias("b"))
-        step = found.join(boundary, F.col("source").eqNullSafe(F.col("h")), "left").select(
-            "source", "rest",
-            F.coalesce(F.col("b.bucket"), F.shiftleft(F.col("prefix") + 1, level)).alias("prefix"),
-            F.coalesce(F.col("left") - F.col("b.before"), F.lit(0.0)).alias("left"),
-            F.coalesce(F.col("b.here"), F.lit(0)).alias("tokens"),
+def ending(histogram: DataFrame, low: Column, by: str) -> DataFrame:
+    """The rows, one for each source at most, at which the running sum of tokens, on top of ``low``, passes ``left``; ``before`` is the sum up to them."""
+    before = low + F.sum("tokens").over(Window.partitionBy("source").orderBy(by)) - F.col("tokens")
+    return histogram.withColumn("before", before).where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("tokens") > F.col("left")))
+
+
+def boundary(histogram: DataFrame, level: int) -> DataFrame:
+    """(h, bucket, before, here, several) of the bucket in which a source's budget ends, if any. Runs of buckets are summed first, so no
+    source has more than 2^(level / 2) rows in a window."""
+    half = level // 2
+    coarse = histogram.groupBy("source", F.shiftright("bucket", half).alias("run")).agg(F.sum("tokens").alias("tokens"), F.first("left").alias("left"))
+    run = ending(coarse, F.lit(0), "run").select(F.col("source").alias("h"), "run", F.col("before").alias("low"))
+    fine = histogram.join(run, F.col("source").eqNullSafe(F.col("h")) & (F.shiftright("bucket", half) == F.col("run"))).drop("h", "run")
+    return ending(fine, F.col("low"), "bucket").select(F.col("source").alias("h"), "bucket", "before", F.col("tokens").alias("here"), F.col("n").alias("several"))
+
+
+def refine(rows: DataFrame, budgets: DataFrame, key: str, bits: int, most: int, few: bool) -> DataFrame:
+    """For each row (source, left) of ``budgets``: rows whose ``key`` is below ``end`` come nearest to ``left`` tokens. ``tie``: the key at which
+    the budget ends among several rows, which are then not below ``end``; ``left`` is what is left for them (else tie is null)."""
+    found = budgets.select("source", "left", F.lit(0).cast("long").alias("prefix"), F.lit(False).alias("settled"), F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("n"), F.lit(bits).alias("below"))
+    below = bits
+    while below > 0:
+        level = min(most, below)
+        open_ = found.where("not settled").select(F.col("source").alias("s"), "prefix", "left")
+        inside = beside(rows, open_, few).where(F.shiftright(key, below) == F.col("prefix"))
+        below -= level
+        parts = inside.groupBy("source", F.shiftright(key, below).alias("bucket")).agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("n"), F.first("left").alias("left"))
+        at = boundary(checkpointed(parts), level)
+        step = found.join(at, F.col("source").eqNullSafe(F.col("h")), "left").select(
+            "source",
+            F.when(F.col("settled"), F.col("left")).otherwise(F.coalesce(F.col("left") - F.col("before"), F.lit(0.0))).alias("left"),
+            F.when(F.col("settled"), F.col("prefix")).otherwise(F.coalesce(F.col("bucket"), F.shiftleft(F.col("prefix") + 1, level))).alias("prefix"),
+            F.when(F.col("settled"), F.col("below")).otherwise(F.lit(below)).alias("below"),
+            F.when(F.col("settled"), F.col("tokens")).otherwise(F.coalesce("here", F.lit(0))).alias("tokens"),
+            F.when(F.col("settled"), F.col("n")).otherwise(F.coalesce("several", F.lit(0))).alias("n"),
+            (F.col("settled") | F.coalesce(F.col("several") <= 1, F.lit(True))).alias("settled"),
         )
         found = checkpointed(step)  # one row for each source
-    with_last = F.lit(nearest) & (F.col("left") > 0) & (2 * F.col("left") >= F.col("tokens"))
-    return found.select("source", "rest", (F.col("prefix") + F.when(with_last, 1).otherwise(0)).alias("threshold"), "left")
+        if found.where("not settled").isEmpty():
+            break
+    with_last = (F.col("n") <= 1) & (F.col("left") > 0) & (2 * F.col("left") >= F.col("tokens"))
+    end = F.expr("shiftleft(prefix, below)") + F.when(with_last, F.expr("shiftleft(1L, below)")).otherwise(F.lit(0))
+    return found.select("source", "left", end.alias("end"), F.when(F.col("settled"), F.lit(None)).otherwise(F.col("prefix")).alias("tie"))
+
 
+def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 23, keep: tuple[str, ...] = ("doc_id",), twice: bool = False) -> DataFrame:
+    """The ``keep`` columns, source, size, source_size, target, taken and copies (how often the mix takes the document) of every row.
 
-def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 23, levels: tuple[int, ...] = LEVELS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns, source, size, source_size, target, taken and copies (how often the mix takes the document) of every row."""
-    bits = sum(levels)
-    hashed = F.shiftright(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 64 - bits).bitwiseAND(F.lit((1 << bits) - 1))
-    sized = checkpointed(df.select(*keep, "source", word_count(F.col("text")).alias("size"), hashed.alias("hash")))
+    The numbers of each row are written once (checkpoint). With ``twice`` only those that the plan needs are, and the rows are read a second time
+    for the result: for ``keep`` columns as large as the texts, which then are neither written nor shuffled."""
+    named = df.select(*keep, "source", word_count(F.col("text")).alias("size"), place_in_order(seed, F.col("doc_id"), F.col("text")).alias("hash"))
+    sized = checkpointed(named.select("source", "size", "hash") if twice else named)
     targets = checkpointed(source_targets(sized, weights, most))
     few = targets.count() <= MOST_BROADCAST
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    plan = targets.withColumn("passes", passes.cast("long")).withColumn("left_0", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("end_0", F.lit(0).cast("long"))
-    for r in range(1, ROUNDS + 1):
-        open_ = plan.select(F.col("source").alias("s"), F.col(f"end_{r - 1}").alias("start"), F.col(f"left_{r - 1}").alias("most"))
-        rows = beside(sized, open_, few).where((F.col("hash") >= F.col("start")) & (F.col("size") <= F.col("most")))
-        limits = thresholds(rows.select("source", "size", "hash"), plan.select("source", F.col(f"left_{r - 1}").alias("rest")), levels, r == ROUNDS, few)
-        limits = limits.select(F.col("source").alias("s"), F.col("threshold").alias(f"end_{r}"), F.col("left").alias(f"left_{r}"))
-        plan = checkpointed(plan.join(limits, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    joined = beside(sized, plan.withColumnRenamed("source", "s"), few)
-    below = [(F.col("hash") < F.col(f"end_{r}")) & (F.col("size") <= F.col(f"left_{r - 1}")) for r in range(1, ROUNDS + 1)]
-    again = functools.reduce(operator.or_, below)
-    copies = F.least(F.col("passes") + F.when(again, 1).otherwise(0), F.lit(most))
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    plan = targets.withColumn("passes", passes).withColumn("left", F.col("target") - F.col("passes") * F.col("source_size"))
+    ends = refine(sized, plan, "hash", HASH_BITS, LEVEL, few).select(F.col("source").alias("e"), "end", "tie", F.col("left").alias("tie_left"))
+    plan = checkpointed(plan.drop("left").join(ends, F.col("source").eqNullSafe(F.col("e"))).drop("e"))
+    joined = beside(named if twice else sized, plan.withColumnRenamed("source", "s"), few)
+    again = F.col("hash") < F.col("end")
+    if not plan.where("tie is not null").isEmpty():
+        tied = F.col("hash").eqNullSafe(F.col("tie"))
+        ties = checkpointed(joined.where(tied).withColumn("__place", F.monotonically_increasing_id()))
+        places = refine(ties, plan.where("tie is not null").select("source", F.col("tie_left").alias("left")), "__place", PLACE_BITS, PLACE_LEVEL, few)
+        ties = beside(ties.drop("end"), places.select(F.col("source").alias("s"), "end"), few).withColumn("__again", F.col("__place") < F.col("end")).drop("__place")
+        joined = joined.where(~tied).withColumn("__again", again).unionByName(ties)
+    else:
+        joined = joined.withColumn("__again", again)
+    copies = F.least(F.col("passes") + F.col("__again").cast("long"), F.lit(most))
     copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("int")
-    return joined.withColumn("copies", copies).select(*keep, "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "hash")
+    return joined.withColumn("copies", copies).select(*keep, "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")

@@ -94,6 +94,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # the documents of a source in the order of their hashes, up to the one at which the sum comes nearest to the rest of its target
+    "op7_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('23:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS hash, row_number() OVER () AS at
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM sized GROUP BY source
+), weighed AS (
+  SELECT source, source_size, [5.0::DOUBLE, 2.0, 1.0][(n % 3 + 1)::INTEGER] AS weight, 3.0::DOUBLE * source_size AS cap, n FROM sources
+), levelled AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed WINDOW before AS (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), common AS (
+  SELECT arg_min(level, cap / weight) AS level FROM levelled WHERE cap >= level * weight
+), targets AS (
+  SELECT source, source_size, least(cap, common.level * weight) AS target FROM levelled, common
+), budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM targets
+), placed AS (
+  SELECT d.doc_id, d.size, b.source_size, b.target, d.source, b.passes, b.target - b.passes * b.source_size AS rest,
+         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash, d.at ROWS UNBOUNDED PRECEDING) - d.size)::DOUBLE AS before
+  FROM sized d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source
+), taken AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE least(3, passes + CASE WHEN before < rest AND (before + size <= rest OR 2 * (rest - before) >= size) THEN 1 ELSE 0 END) END::INTEGER AS copies
+  FROM placed
+)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM taken
+""",
     # exact search (factor 1): products are added in the order of the dimensions, as the operator does
     "op9_neighbours": """
 WITH v AS (
