@@ -7,9 +7,10 @@ larger factors prune more. Distances only choose what to score: every point with
 exactly and ranked by that score, then by id. Queries go down the tree as a batch: first each to its own leaf, which gives a good k-th distance, then once
 over all nodes with the queries that can't skip them.
 
-Shards are dealt by a hash of the id, queries come in blocks, and every (shard, block) is a group of bounded size, so no task holds all
-vectors or all queries. Each gives its k best; a second step merges k rows for each shard and query. Equal vectors of a shard are one point of its tree with
-its smallest ids (k, and as many as a query has rows of its own), so thousands of copies neither unbalance a tree nor crowd out a result.
+Shards are dealt by a hash of the id and hold a bounded number of rows. A shard's rows come before its queries in its partition, so its trees are built once and
+queries stream through them batch by batch: no task holds all vectors or all queries. Each batch gives the k best of its queries; a second step merges k rows for each
+shard and query. Equal vectors of a shard are one point of its tree with its smallest ids (k, and as many as a query has rows of its own), so thousands of
+copies neither unbalance a tree nor crowd out a result.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers take no part; vectors of different lengths are
 never compared. A query is not its own candidate (by id). Ties go to the smaller id. With fewer than k candidates all are
@@ -18,7 +19,7 @@ returned; an empty table gives an empty result. Scores are sums over the dimensi
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarn.llm.batches import bounded_batches
+
 #: Rows of a shard at most, and how many shards smaller tables get, so that they spread over the cluster.
 SHARD_ROWS, SPREAD, LEAST_ROWS = 32_768, 32, 512
-QUERY_ROWS = 4096
 LEAF = 128
 #: Pairs scored at a time, and what keeps bounds on rounding above 0 where squares underflow.
 PAIRS, TINY = 1 << 15, 1e-300
@@ -177,73 +179,113 @@ class Best:
         self.place[rows] = np.where(top_s == self.last[rows, None], top_p, -1).max(1)
 
 
-def search_band(best: Best, members: np.ndarray, factor: float) -> None:
-    """Offers ``best`` every point of a band (positions, norms within a factor of 2) that may be among its queries' best."""
-    points = best.points[members]
-    squares = (points**2).sum(1)
-    top, relative = squares.max(), rounding(points.shape[1] + 1)
-    norms = (best.queries**2).sum(1)
-    # scaled by powers of two (exact) to about the band's norm, so neither swallows the other in a distance
-    shift = (np.frexp(top)[1] - np.frexp(norms)[1]) // 2
-    # a score that even the longest vector of the band in the query's direction can't reach
-    reachable = ~(np.sqrt(norms) * np.sqrt(top) * (1 + relative) + TINY < best.last)
-    asked = np.flatnonzero(reachable)
-    if not len(asked):
-        return
-    queries = np.ldexp(best.queries[asked], shift[asked, None])
-    norms = (queries**2).sum(1)
-    slack = relative * (norms + top) + TINY
-    tree = Tree(np.concatenate([points, np.sqrt(np.maximum(top - squares, 0))[:, None]], 1), LEAF)
-
-    def radius(rows: np.ndarray) -> np.ndarray:
-        return norms[rows] + top - 2 * np.ldexp(best.last[asked[rows]], shift[asked[rows]])
-
-    def offer(rows: np.ndarray, at: np.ndarray, d: np.ndarray) -> None:
-        limit = radius(rows) + slack[rows]
-        if len(at) > best.most:  # that many points of these alone are nearer than the rest
-            open_ = np.isinf(limit)
-            limit[open_] = np.partition(d[open_], best.most - 1, 1)[:, best.most - 1] + 2 * slack[rows[open_]]
-        i, j = np.nonzero(~(d > limit[:, None]))
-        best.offer(asked[rows[i]], members[at[j]])
-
-    tree.walk(np.concatenate([queries, np.zeros((len(queries), 1))], 1), offer, radius, factor)
+class Band:
+    """The points of a shard whose norms are within a factor of 2, lifted into one tree when a query first needs it."""
+
+    def __init__(self, points: np.ndarray, members: np.ndarray):
+        self.members, self.squares = members, (points[members] ** 2).sum(1)
+        self.top, self.points, self.tree = self.squares.max(), points, None
+
+    def search(self, best: Best, factor: float) -> None:
+        """Offers ``best`` every point of the band that may be among its queries' best."""
+        members, top, relative = self.members, self.top, rounding(self.points.shape[1] + 1)
+        norms = (best.queries**2).sum(1)
+        # scaled by powers of two (exact) to about the band's norm, so neither swallows the other in a distance
+        shift = (np.frexp(top)[1] - np.frexp(norms)[1]) // 2
+        # a score that even the longest vector of the band in the query's direction can't reach
+        reachable = ~(np.sqrt(norms) * np.sqrt(top) * (1 + relative) + TINY < best.last)
+        asked = np.flatnonzero(reachable)
+        if not len(asked):
+            return
+        queries = np.ldexp(best.queries[asked], shift[asked, None])
+        norms = (queries**2).sum(1)
+        slack = relative * (norms + top) + TINY
+        if self.tree is None:
+            self.tree = Tree(np.concatenate([self.points[members], np.sqrt(np.maximum(top - self.squares, 0))[:, None]], 1), LEAF)
+
+        def radius(rows: np.ndarray) -> np.ndarray:
+            return norms[rows] + top - 2 * np.ldexp(best.last[asked[rows]], shift[asked[rows]])
+
+        def offer(rows: np.ndarray, at: np.ndarray, d: np.ndarray) -> None:
+            limit = radius(rows) + slack[rows]
+            if len(at) > best.most:  # that many points of these alone are nearer than the rest
+                open_ = np.isinf(limit)
+                limit[open_] = np.partition(d[open_], best.most - 1, 1)[:, best.most - 1] + 2 * slack[rows[open_]]
+            i, j = np.nonzero(~(d > limit[:, None]))
+            best.offer(asked[rows[i]], members[at[j]])
+
+        self.tree.walk(np.concatenate([queries, np.zeros((len(queries), 1))], 1), offer, radius, factor)
+
+
+class Shard:
+    """The stored vectors of a shard, ready to be searched by any number of query batches."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, vectors = ids[order], vectors[order]
+        distinct, where = np.unique(vectors, axis=0, return_inverse=True)
+        where = where.reshape(-1)
+        self.by_point = np.argsort(where, kind="stable")  # ids stay in order inside a point
+        starts = np.searchsorted(where[self.by_point], np.arange(len(distinct)))
+        counts = np.diff(np.append(starts, len(ids)))
+        by_id = np.argsort(self.by_point[starts])  # points in the order of their smallest ids, so ties go to the smaller position
+        self.distinct, self.starts, self.counts = distinct[by_id], starts[by_id], counts[by_id]
+        band = np.frexp((self.distinct**2).sum(1))[1] // 2
+        self.bands = [Band(self.distinct, np.flatnonzero(band == b)) for b in np.unique(band)[::-1].tolist()]
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, vector id, score) of the k best for each query."""
+        ids, distinct = self.ids, self.distinct
+        # a query's own rows are dropped at the end, so as many more are kept
+        own = ids[np.isin(ids, query_ids)]
+        most = k + (int(np.unique(own, return_counts=True)[1].max()) if len(own) else 0)
+        best = Best(queries, distinct, min(most, len(distinct)))
+        for band in self.bands:
+            band.search(best, factor)
+        q = np.repeat(np.arange(len(queries)), best.most)
+        p, s = best.point.reshape(-1), best.score.reshape(-1)
+        q, p, s = q[p < len(distinct)], p[p < len(distinct)], s[p < len(distinct)]
+        n = np.minimum(self.counts, most)[p]
+        q, s, first = np.repeat(q, n), np.repeat(s, n), np.repeat(self.starts[p], n)
+        nth = np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+        got = ids[self.by_point[first + nth]]
+        other = got != query_ids[q]
+        q, s, got = q[other], s[other], got[other]
+        rank = np.lexsort((got, -s, q))
+        q, s, got = q[rank], s[rank], got[rank]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        top = place < k
+        return query_ids[q[top]], got[top], s[top]
 
 
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, vector id, score) of the k best of one shard for each query."""
     if not len(ids) or not len(query_ids):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    distinct, where = np.unique(vectors, axis=0, return_inverse=True)
-    where = where.reshape(-1)
-    by_point = np.argsort(where, kind="stable")  # ids stay in order inside a point
-    starts = np.searchsorted(where[by_point], np.arange(len(distinct)))
-    counts = np.diff(np.append(starts, len(ids)))
-    by_id = np.argsort(by_point[starts])  # points in the order of their smallest ids, so ties go to the smaller position
-    distinct, starts, counts = distinct[by_id], starts[by_id], counts[by_id]
-    # a query's own rows are dropped at the end, so as many more are kept
-    own = ids[np.isin(ids, query_ids)]
-    most = k + (int(np.unique(own, return_counts=True)[1].max()) if len(own) else 0)
-    copies = np.minimum(counts, most)
-    best = Best(queries, distinct, min(most, len(distinct)))
-    band = np.frexp((distinct**2).sum(1))[1] // 2
-    for b in np.unique(band)[::-1].tolist():
-        search_band(best, np.flatnonzero(band == b), factor)
-    q = np.repeat(np.arange(len(queries)), best.most)
-    p, s = best.point.reshape(-1), best.score.reshape(-1)
-    q, p, s = q[p < len(distinct)], p[p < len(distinct)], s[p < len(distinct)]
-    n = copies[p]
-    q, s, first = np.repeat(q, n), np.repeat(s, n), np.repeat(starts[p], n)
-    nth = np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
-    got = ids[by_point[first + nth]]
-    other = got != query_ids[q]
-    q, s, got = q[other], s[other], got[other]
-    rank = np.lexsort((got, -s, q))
-    q, s, got = q[rank], s[rank], got[rank]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    top = place < k
-    return query_ids[q[top]], got[top], s[top]
+    return Shard(ids, vectors).search(query_ids, queries, k, factor)
+
+
+def stream(batches: Iterable[pa.RecordBatch], k: int, factor: float) -> Iterator[pa.RecordBatch]:
+    """Batches of (shard, size, q, id, v), sorted so that the stored rows of a shard come before its queries."""
+    key, stored, shard = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        number, size, asks, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        vectors = batch.column(4)
+        cuts = np.flatnonzero((number[1:] != number[:-1]) | (size[1:] != size[:-1]) | (asks[1:] != asks[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+            if (number[a], size[a]) != key:
+                key, stored, shard = (number[a], size[a]), [], None
+            part = (ids[a:b], vectors.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1))
+            if not asks[a]:
+                stored.append(part)
+                continue
+            if shard is None and stored:
+                shard, stored = Shard(*(np.concatenate(c) for c in zip(*stored))), []
+            if shard is not None:
+                found = shard.search(*part, k, factor)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
 
 def usable(column: str) -> Column:
@@ -256,24 +298,13 @@ def usable(column: str) -> Column:
 def nearest(df: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), the neighbour's id and score: the k best of all rows for each row where ``is_query`` holds."""
     rows = df.where(usable(vector) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    total, asked = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
+    bounded_batches(df.sparkSession)
+    total = rows.count()
     shards = max(1, -(-total // SHARD_ROWS), min(SPREAD, -(-total // LEAST_ROWS)))
-    blocks = max(1, -(-asked // QUERY_ROWS))
-    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    stored = rows.select("id", "v", F.lit(False).alias("q"), deal(1, shards).alias("shard"), every(blocks).alias("block"))
-    queries = rows.where("q").select("id", "v", "q", every(shards).alias("shard"), deal(2, blocks).alias("block"))
-    both = stored.union(queries).withColumn("size", F.size("v"))
-
-    def work(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        flat = table.column("v").combine_chunks()
-        values = (flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])).to_numpy(zero_copy_only=False)
-        matrix = values.reshape(len(ids), -1)
-        asks = table.column("q").to_numpy().astype(bool)
-        a, b, s = search_shard(ids[~asks], matrix[~asks], ids[asks], matrix[asks], k, factor)
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    found = both.groupBy("shard", "block", "size").applyInArrow(work, "query_id bigint, vec_id bigint, score double")
+    deal = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(shards)).cast("int")
+    stored = rows.select(deal.alias("shard"), F.size("v").alias("size"), F.lit(False).alias("q"), "id", "v")
+    queries = rows.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.size("v").alias("size"), "q", "id", "v")
+    dealt = stored.union(queries).repartition(shards, "shard").sortWithinPartitions("shard", "size", "q", "id")
+    found = dealt.mapInArrow(lambda batches: stream(batches, k, factor), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

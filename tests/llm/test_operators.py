@@ -525,7 +525,8 @@ def test_vectors_are_exact(spark, monkeypatch):
     rows += [(3000, None), (3020, []), (3040, [0.0] * 12), (3060, [float("nan")] * 12), (3080, [None] + [1.0] * 11), (3100, [1.0, 2.0]), (3101, [2.0, 1.0]), (3120, [float("inf")] * 12)]
     monkeypatch.setattr(vectors, "LEAF", 16)
     monkeypatch.setattr(vectors, "SHARD_ROWS", 400)
-    monkeypatch.setattr(vectors, "QUERY_ROWS", 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    monkeypatch.setattr(vectors, "bounded_batches", lambda _: None)
     assert check_vectors(spark, rows, k=20) == brute_nearest(rows, 20)
 
 
