@@ -20,16 +20,16 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def map_rows(df: DataFrame, columns: list[str], work: Callable[..., dict], schema: str) -> DataFrame:
-    """``mapInArrow`` over the named columns only: ``work(*lists)`` gets one Python list per column and returns
-    a dict of lists (or arrays) in the order of ``schema``. Other columns never leave the JVM."""
+    """``mapInArrow`` over the named columns only: ``work(*columns)`` gets the last one as a Python list and the others as Arrow arrays, and returns
+    a dict of lists or arrays by the names of ``schema``. Other columns never leave the JVM."""
     bounded_batches(df.sparkSession)
     kinds = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = work(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
-                yield record_batch(out, kinds)
+                *kept, last = batch.columns
+                yield record_batch(work(*kept, last.to_pylist()), kinds)
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -42,7 +42,7 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 
 
 def record_batch(out: dict, kinds: pa.Schema) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(out[f.name], type=f.type) for f in kinds], schema=kinds)
+    return pa.record_batch([out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in kinds], schema=kinds)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Every document gets counts over its whole text. For each measure, language and source, a sketch of logarithmic buckets
 (relative error ``GAMMA - 1`` at most) counts documents by bucket; sketches merge by adding counts, so Spark sums them before the
-shuffle, a source that holds a third of all rows costs no more than any other, and small groups borrow the merged sketch of their
-language, then that of the whole table. A limit is the upper quartile plus a multiple of the spread between quartiles; documents
+shuffle, and a source that holds a third of all rows costs no more than any other. A group's quartiles are blended with those of its language,
+which are blended with those of the whole table, each as if ``PRIOR`` documents more had them: at any size by the same formula, so small groups lean on
+the wider sketch and large ones follow their own. A limit is the upper quartile plus a multiple of the spread between quartiles; documents
 beyond a limit are rejected by one joined filter.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept. Null languages and sources form
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarn.llm.batches import map_rows
+from tarn.llm.batches import checkpointed, map_rows
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -30,8 +31,8 @@ WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Ratio of one sketch bucket to the next.
 GAMMA = 1.04
-#: Documents that a (language, source) or language sketch needs; below it the wider sketch is used.
-LEAST_DOCUMENTS = 200
+#: How many documents the wider sketch counts for beside a group's own.
+PRIOR = 200.0
 
 
 @dataclass(frozen=True)
@@ -44,12 +45,12 @@ class Measure:
     floor: float
 
 
-#: One repeated line and up to two equal lines are ordinary prose and don't count. The floors keep groups without any spread (most shares are 0 in clean prose) from rejecting a single odd character or line.
+#: The floors keep groups without any spread (most shares are 0 in clean prose) from rejecting a single odd character or line.
 MEASURES = (
     Measure("symbol_share", "n_symbols / word_chars", 6.0, 0.005),
     Measure("upper_share", "n_upper / word_chars", 6.0, 0.02),
-    Measure("dup_line_share", "greatest(n_dup_lines - 2, 0) / n_lines", 6.0, 0.03),
-    Measure("repeat_share", "greatest(n_repeat_words - 32, 0) / n_words", 6.0, 0.02),
+    Measure("dup_line_share", "n_dup_lines / n_lines", 6.0, 0.08),
+    Measure("repeat_share", "n_repeat_words / n_words", 6.0, 0.05),
     Measure("echo_share", "n_echoes / n_words", 6.0, 0.03),
     Measure("word_length", "word_chars / n_words", 8.0, 0.25),
 )
@@ -87,7 +88,7 @@ def count_texts(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "sourc
     """The ``keep`` columns and ``COUNTS`` (long) of each row; the text itself does not leave the scan."""
 
     def work(*columns: list) -> dict:
-        counts = zip(*map(count_text, columns[-1])) if columns[-1] else [[]] * len(COUNTS)
+        counts = zip(*map(count_text, columns[-1]))
         return dict(zip(keep, columns)) | dict(zip(COUNTS, map(list, counts)))
 
     kept = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
@@ -115,8 +116,8 @@ def quantiles(sketch: DataFrame, group: list[str], points: dict[str, float]) ->
     return at.groupBy(*group, "measure").agg(F.max("total").alias("total"), *(F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("value"))).alias(name) for name, q in points.items()))
 
 
-def limits(counted: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """One row for each (lang, source) with the limit of every measure, from the narrowest sketch with enough documents."""
+def limits(counted: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """One row for each (lang, source) with the limit of every measure, from the blended sketches."""
     fine = sketches(counted, ["lang", "source"])
     points = {"low": 0.25, "high": 0.75}
     levels = []
@@ -128,26 +129,43 @@ def limits(counted: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
         narrow.join(middle, [narrow.measure == middle.measure, narrow.lang_0.eqNullSafe(middle.lang_1)]).drop(middle.measure)
         .join(wide, "measure")
     )
-    pick = lambda c: F.when(F.col("total_0") >= least, F.col(f"{c}_0")).when(F.col("total_1") >= least, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
+    def blended(c: str) -> Column:
+        own = [(F.coalesce(f"total_{i}", F.lit(0)), F.coalesce(f"{c}_{i}", F.lit(0.0))) for i in range(2)]
+        out = F.col(f"{c}_2")
+        for n, value in reversed(own):
+            out = (n * value + F.lit(prior) * out) / (n + F.lit(prior))
+        return out
+
     rules = {m.name: m for m in MEASURES}
     spread = F.create_map(*(F.lit(x) for m in rules.values() for x in (m.name, m.spreads)))
     floor = F.create_map(*(F.lit(x) for m in rules.values() for x in (m.name, m.floor)))
-    limit = pick("high") + spread[F.col("measure")] * F.greatest(pick("high") - pick("low"), floor[F.col("measure")])
+    limit = blended("high") + spread[F.col("measure")] * F.greatest(blended("high") - blended("low"), floor[F.col("measure")])
     return joined.groupBy(F.col("lang_0").alias("limit_lang"), F.col("source_0").alias("limit_source")).agg(*(F.max(F.when(F.col("measure") == name, limit)).alias(f"max_{name}") for name in rules))
 
 
-def judge(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), text: str = "text", least: int = LEAST_DOCUMENTS) -> DataFrame:
+#: Groups (a row of about 100 bytes each) whose limits may be broadcast, and the parts of a group beyond that.
+MOST_BROADCAST, SALTS = 20_000, 32
+
+
+def judge(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), text: str = "text", prior: float = PRIOR, twice: bool = False) -> DataFrame:
     """Counts, the limits that apply and ``base_failed``, ``kept`` and ``reason`` of every row.
 
     ``keep`` must hold lang and source. The counts are written once (checkpoint), since both the sketches and the
-    filter need them: rows of a few numbers instead of a second pass over the texts.
+    filter need them: rows of a few numbers instead of a second pass over the texts. With ``twice`` texts are counted a second time instead, so
+    that large ``keep`` columns (the texts themselves) can go along and are neither written nor shuffled.
     """
-    from tarn.llm.batches import checkpointed
-
-    counted = checkpointed(count_texts(df, keep, text).withColumn("base_failed", base_failed()))
-    limit = limits(counted.where(~F.col("base_failed")), least)
-    on = [counted.lang.eqNullSafe(limit.limit_lang), counted.source.eqNullSafe(limit.limit_source)]
-    joined = counted.join(limit, on, "left").drop("limit_lang", "limit_source")
+    counted = count_texts(df, keep, text).withColumn("base_failed", base_failed())
+    if not twice:
+        counted = checkpointed(counted)
+    sketched = counted if not twice else count_texts(df, ("lang", "source"), text).where(~base_failed())
+    limit = checkpointed(limits(sketched.where(~base_failed()), prior))
+    same = F.col("lang").eqNullSafe(F.col("limit_lang")) & F.col("source").eqNullSafe(F.col("limit_source"))
+    if limit.count() <= MOST_BROADCAST:
+        joined = counted.join(F.broadcast(limit), same, "left")
+    else:  # every group is dealt over SALTS parts on both sides
+        dealt = limit.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = counted.withColumn("__salt", F.pmod(F.xxhash64(*COUNTS), F.lit(SALTS)).cast("int"))
+        joined = salted.join(dealt, same & (F.col("__salt") == F.col("__part")), "left").drop("__part", "__salt")
     broken = [F.when(F.expr(f"try_divide({m.expression.replace(' / ', ', ')})") > F.col(f"max_{m.name}") * F.lit(GAMMA), F.lit(m.name)) for m in MEASURES]
     reason = F.when(F.col("base_failed"), F.lit("base")).otherwise(F.coalesce(*broken))
-    return joined.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
+    return joined.drop("limit_lang", "limit_source").withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())

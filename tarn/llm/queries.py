@@ -94,6 +94,71 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # counts from the words one by one; quartiles from the buckets of each measure, blended from the whole table down to (lang, source)
+    "op2_quality": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS t FROM documents
+), words AS (
+  SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs)
+), follow AS (
+  SELECT id, i, word, lag(word) OVER o AS previous,
+         word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o
+              || ' ' || lead(word, 5) OVER o || ' ' || lead(word, 6) OVER o || ' ' || lead(word, 7) OVER o AS eight
+  FROM words WINDOW o AS (PARTITION BY id ORDER BY i)
+), repeated AS (
+  SELECT id, count(DISTINCT place) AS n_repeat_words
+  FROM (SELECT id, unnest(range(i, i + 8)) AS place FROM (SELECT id, i, count(*) OVER (PARTITION BY id, eight) AS n FROM follow WHERE eight IS NOT NULL) WHERE n > 1)
+  GROUP BY id
+), worded AS (
+  SELECT id, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars, count(*) FILTER (WHERE word = previous) AS n_echoes FROM follow GROUP BY id
+), lined AS (
+  SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT id, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id
+), counted AS (
+  SELECT d.id, doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+         length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, coalesce(n_echoes, 0) AS n_echoes
+  FROM docs d LEFT JOIN worded USING (id) LEFT JOIN lined USING (id) LEFT JOIN repeated USING (id)
+), based AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+), rules(nth, measure, spreads, floor) AS (
+  VALUES (1, 'symbol_share', 6.0::DOUBLE, 0.005::DOUBLE), (2, 'upper_share', 6.0, 0.02), (3, 'dup_line_share', 6.0, 0.08),
+         (4, 'repeat_share', 6.0, 0.05), (5, 'echo_share', 6.0, 0.03), (6, 'word_length', 8.0, 0.25)
+), shares AS (
+  SELECT id, lang, source, base_failed, nth, measure, spreads, floor,
+         CASE nth WHEN 1 THEN n_symbols / nullif(word_chars, 0) WHEN 2 THEN n_upper / nullif(word_chars, 0) WHEN 3 THEN n_dup_lines / nullif(n_lines, 0)
+                  WHEN 4 THEN n_repeat_words / nullif(n_words, 0) WHEN 5 THEN n_echoes / nullif(n_words, 0) ELSE word_chars / nullif(n_words, 0) END AS x
+  FROM based, rules
+), sketch AS (
+  SELECT lang, source, measure, CASE WHEN x > 0 THEN ceil(ln(x) / ln(1.04::DOUBLE))::INTEGER ELSE -10000 END AS bucket, count(*) AS n
+  FROM shares WHERE NOT base_failed AND x IS NOT NULL GROUP BY ALL
+), levels AS (
+  SELECT 0 AS level, lang, source, measure, bucket, n FROM sketch
+  UNION ALL SELECT 1, lang, NULL, measure, bucket, sum(n) FROM sketch GROUP BY lang, measure, bucket
+  UNION ALL SELECT 2, NULL, NULL, measure, bucket, sum(n) FROM sketch GROUP BY measure, bucket
+), running AS (
+  SELECT level, lang, source, measure, CASE WHEN bucket = -10000 THEN 0.0 ELSE 2 * pow(1.04::DOUBLE, bucket) / 2.04 END AS value,
+         sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total
+  FROM levels
+), quartiles AS (
+  SELECT level, lang, source, measure, max(total)::DOUBLE AS total, min(value) FILTER (WHERE upto >= total * 0.25::DOUBLE) AS low, min(value) FILTER (WHERE upto >= total * 0.75::DOUBLE) AS high
+  FROM running GROUP BY level, lang, source, measure
+), blended AS (
+  SELECT a.lang, a.source, a.measure,
+         (a.total * a.low + 200.0 * ((b.total * b.low + 200.0 * c.low) / (b.total + 200.0))) / (a.total + 200.0) AS low,
+         (a.total * a.high + 200.0 * ((b.total * b.high + 200.0 * c.high) / (b.total + 200.0))) / (a.total + 200.0) AS high
+  FROM quartiles a JOIN quartiles b ON b.level = 1 AND a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN quartiles c ON c.level = 2 AND a.measure = c.measure
+  WHERE a.level = 0
+), broken AS (
+  SELECT s.id, arg_min(s.measure, s.nth) AS measure
+  FROM shares s JOIN blended q ON s.lang IS NOT DISTINCT FROM q.lang AND s.source IS NOT DISTINCT FROM q.source AND s.measure = q.measure
+  WHERE s.x > (q.high + s.spreads * greatest(q.high - q.low, s.floor)) * 1.04::DOUBLE
+  GROUP BY s.id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND measure IS NULL AS kept, CASE WHEN base_failed THEN 'base' ELSE measure END AS reason
+FROM based LEFT JOIN broken USING (id)
+""",
     # the documents of a source in the order of their hashes, up to the one at which the sum comes nearest to the rest of its target
     "op7_mixing": r"""
 WITH sized AS (

@@ -528,6 +528,7 @@ def test_vectors_are_exact(spark, monkeypatch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
     monkeypatch.setattr(vectors, "bounded_batches", lambda _: None)
     assert check_vectors(spark, rows, k=20) == brute_nearest(rows, 20)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_vectors_ties_and_unlike_norms():
