@@ -94,6 +94,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # every 100-byte string of every document, and the bytes covered by those that are not the first of their kind
+    "op1_suffix_dedup": r"""
+WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS id, doc_id, encode(coalesce(text, '')) AS raw FROM documents
+), strings AS (
+  SELECT id, p, array_slice(raw, p + 1, p + 100) AS w
+  FROM (SELECT id, raw, unnest(range(octet_length(raw) - 99)) AS p FROM docs WHERE octet_length(raw) >= 100)
+), firsts AS (
+  SELECT w, min(id * 4294967296 + p) AS place FROM strings GROUP BY w HAVING count(*) > 1
+), repeats AS (
+  SELECT id, p FROM strings JOIN firsts USING (w) WHERE id * 4294967296 + p > place
+), runs AS (
+  SELECT id, p, sum(fresh) OVER (PARTITION BY id ORDER BY p) AS run
+  FROM (SELECT id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM repeats)
+), spans AS (
+  SELECT id, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY id, run
+), kept AS (
+  SELECT id, b AS start, coalesce(lead(a) OVER (PARTITION BY id ORDER BY a), 1000000000000) AS stop FROM spans
+  UNION ALL SELECT id, 0, min(a) FROM spans GROUP BY id
+), pieces AS (
+  SELECT id, string_agg(hex(array_slice(raw, start + 1, least(stop, octet_length(raw)))), '' ORDER BY start) AS digits
+  FROM kept JOIN docs USING (id) WHERE start < least(stop, octet_length(raw)) GROUP BY id
+), removed AS (
+  SELECT id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY id
+)
+SELECT doc_id, octet_length(raw) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN n_removed IS NULL THEN raw ELSE unhex(coalesce(digits, '')) END) AS kept_sha256
+FROM docs LEFT JOIN removed USING (id) LEFT JOIN pieces USING (id)
+""",
     # counts from the words one by one; quartiles from the buckets of each measure, blended from the whole table down to (lang, source)
     "op2_quality": r"""
 WITH docs AS (
