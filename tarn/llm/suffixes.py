@@ -9,11 +9,13 @@ A suffix array over a corpus can't be built in one task, so strings meet by cont
    equal places. The windows of one anchor are consecutive and lie in one short context of fewer than 2 x ``WINDOW`` bytes. A task emits a row (anchor hash,
    context hash, document, range) for each context, and only for the first of equal contexts it sees: later ones are repeats whatever
    other tasks hold. That is the map-side combine which keeps a passage of a million copies to one row for each batch.
-2. Rows meet by anchor. Equal contexts leave their first occurrence, all later ones are repeats. Anchors with one context left are done.
+2. Rows meet by anchor, sorted, so that they are judged as they stream by. Equal contexts leave their first occurrence, all later ones are repeats. Anchors
+   with one context left are done. Contexts are told apart by 128 bits here: the hash of the anchor and that of the whole context.
 3. The bytes of the other contexts are fetched (a join by document) and meet by anchor. The contexts of an anchor form one text, whose suffix array
    (:mod:`tarn.llm.gsaca`) brings equal windows together: in each run of suffixes that share ``WINDOW`` bytes, all but the
-   earliest are repeats. An anchor with more than ``TEXT_BYTES`` of contexts (a phrase in very many surroundings) is not
-   sorted as one text: its windows are compared by two independent 64-bit hashes.
+   earliest are repeats. An anchor with many contexts (a phrase in very many surroundings) goes through the suffix arrays in pieces of ``TEXT_BYTES``: a window
+   has many bytes on one side of the anchor at least, so contexts are dealt by the bytes next to the anchor, half of the windows by those on its left and
+   half by those on its right, until a piece is small or holds a single string.
 4. Ranges meet their documents, and covered bytes are cut out.
 
 Every row is a few numbers except the texts, which are shuffled for the two joins as compressed bytes.
@@ -40,8 +42,10 @@ from tarn.llm.gsaca import ranges, suffix_arrays
 WINDOW, ANCHOR = 100, 40
 #: Bytes hashed at a time: small enough for the processor's cache, below 2^20 for packed positions.
 CHUNK = 1 << 16
-#: Contexts of one anchor that are sorted as one text at most, and bytes of many anchors that are sorted in step.
+#: Bytes of contexts that are sorted as one text, and bytes of many texts that are sorted in step.
 TEXT_BYTES, STEP_BYTES = 32_768, 1 << 20
+#: Rows that are judged at a time where they stream by.
+STREAM_ROWS = 1 << 16
 _rng = np.random.default_rng(20)
 #: A random number for each byte value; hashes are polynomials of these in an odd base modulo 2^64.
 VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -207,31 +211,51 @@ def pieces_of(ids: np.ndarray, texts: list[bytes], chunk: list[int]) -> Iterator
         yield ids[chunk], np.zeros(len(chunk), np.int64), [texts[i] for i in chunk]
 
 
+def gathered(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """The columns of several batches as one, in the same order; the last group may be small."""
+    held, n = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        n += batch.num_rows
+        if n >= rows:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2: rows (anchor, doc, a, b); anchor 0 marks a repeat, else the context is to be compared with others of its anchor."""
-    tables = [b for b in batches if b.num_rows]
-    if not tables:
-        return
-    anchor, content, doc, at = (np.concatenate([t.column(i).to_numpy() for t in tables]) for i in range(4))
-    a, b = unpacked_range(at)
-    known = content == 0
-    ranges_found = [(doc[known], a[known], b[known])]
-    anchor, content, doc, a, b = (x[~known] for x in (anchor, content, doc, a, b))
-    by, new, repeat = later(doc, a, [anchor, content])
-    ranges_found.append((doc[by[repeat]], a[by[repeat]], b[by[repeat]]))
-    first = by[new]
-    key = anchor[first]  # sorted
-    start = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if len(key) else 0) != 0) if len(key) else np.zeros(0, int)
-    size = np.diff(np.append(start, len(key)))
-    open_ = first[np.repeat(size > 1, size)]
+    """Step 2: rows (anchor, doc, a, b); anchor 0 marks a repeat, else the context is to be compared with others of its anchor. The input is
+    sorted by anchor, content, document and place; from one group of rows to the next only the last row's first equal is kept."""
     names = ["anchor", "doc", "a", "b"]
-    d, x, y = merged(*(np.concatenate(c) for c in zip(*ranges_found)))
-    for i in range(0, len(d), 100_000):
-        s = slice(i, i + 100_000)
-        yield batch_of(names, np.zeros(len(d[s]), np.int64), d[s], x[s], y[s])
-    for i in range(0, len(open_), 100_000):
-        s = open_[i : i + 100_000]
-        yield batch_of(names, anchor[s] | 1, doc[s], a[s], b[s])
+    none = np.zeros(0, np.int64)
+    # anchor, content, doc, at of the first of the last context, and whether its anchor has had another context before
+    last, several = (none, none, none, none), np.zeros(0, bool)
+    for columns in gathered(batches, STREAM_ROWS):
+        known = columns[1] == 0
+        a, b = unpacked_range(columns[3][known])
+        found = [(columns[2][known], a, b)]
+        anchor, content, doc, at = (np.concatenate([x, c[~known]]) for x, c in zip(last, columns))
+        if len(anchor):
+            same_anchor = np.concatenate(([False], anchor[1:] == anchor[:-1]))
+            new = ~(same_anchor & np.concatenate(([False], content[1:] == content[:-1])))
+            head = np.flatnonzero(new)
+            of = head[np.cumsum(new) - 1]
+            a, b = unpacked_range(at)
+            repeat = ~new & ((doc != doc[of]) | (a != a[of]))
+            found.append((doc[repeat], a[repeat], b[repeat]))
+            more = same_anchor[head]  # contexts with an earlier one of their anchor
+            before = more.copy()
+            before[: len(several)] = several
+            open_ = before.copy()
+            open_[:-1] |= more[1:]
+            open_[: len(several)] &= ~several  # went out when it was seen
+            out = head[open_]
+            several = before[-1:] | open_[-1:]
+            last = tuple(c[head[-1:]] for c in (anchor, content, doc, at))
+            yield batch_of(names, anchor[out] | 1, doc[out], a[out], b[out])
+        d, x, y = merged(*(np.concatenate(c) for c in zip(*found)))
+        yield batch_of(names, np.zeros(len(d), np.int64), d, x, y)
 
 
 FOUND = "anchor bigint, doc bigint, a bigint, b bigint, bytes binary"
@@ -258,41 +282,117 @@ def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3b: ranges (doc, a, b) that are repeats, from the suffix arrays of each anchor's contexts."""
-    names = ["doc", "a", "b"]
-    keys, docs, places, texts = [], [], [], []
+    """Step 3b: ranges (doc, a, b) that are repeats, from the suffix arrays of each anchor's contexts. The input is sorted by anchor."""
+    keys, docs, places, texts, total = [], [], [], [], 0
     for batch in batches:
         open_ = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
         anchor, doc, a, b = (batch.column(i).to_numpy() for i in range(4))
         if not open_.all():
-            yield batch_of(names, doc[~open_], a[~open_], b[~open_])
-        if open_.any():
-            keys.append(anchor[open_])
-            docs.append(doc[open_])
-            places.append(a[open_])
-            texts += batch.column(4).filter(pa.array(open_)).to_pylist()
-    if not keys:
+            yield batch_of(["doc", "a", "b"], doc[~open_], a[~open_], b[~open_])
+        if not open_.any():
+            continue
+        keys.append(anchor[open_])
+        docs.append(doc[open_])
+        places.append(a[open_])
+        texts += batch.column(4).filter(pa.array(open_)).to_pylist()
+        total += int((b - a)[open_].sum())
+        if total > STEP_BYTES:  # all whole anchors; the last one may go on
+            key, doc, place = np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
+            n = len(key) - int((key[::-1] != key[-1]).argmax()) if key[0] != key[-1] else 0
+            if n:
+                yield from compared(key[:n], doc[:n], place[:n], texts[:n])
+                keys, docs, places, texts = [key[n:]], [doc[n:]], [place[n:]], texts[n:]
+                total = sum(map(len, texts))
+    if keys:
+        yield from compared(np.concatenate(keys), np.concatenate(docs), np.concatenate(places), texts)
+
+
+def compared(key: np.ndarray, doc: np.ndarray, place: np.ndarray, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Repeats among the contexts of whole anchors: texts of similar sizes are sorted in step."""
+    if not len(key):
         return
-    key, doc, place = np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
     length = np.fromiter(map(len, texts), np.int64, len(texts))
-    order = np.lexsort((place, doc, key))
-    start = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1) != 0)
-    count = np.diff(np.append(start, len(order)))
-    size = np.add.reduceat(length[order] + 1, start)
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    stop = np.append(start[1:], len(key))
+    size = np.add.reduceat(length + 1, start)
+    if size.max() > TEXT_BYTES:
+        small = []
+        for g in range(len(start)):
+            rows = np.arange(start[g], stop[g])
+            if size[g] <= TEXT_BYTES:
+                small.append(rows)
+            else:
+                yield from in_pieces(key[start[g]], doc[rows], place[rows], [texts[i] for i in rows.tolist()])
+        groups, size = small, size[size <= TEXT_BYTES]
+    else:
+        groups = [np.arange(a, b) for a, b in zip(start, stop)]
+    yield from in_steps(groups, size, texts, doc, place)
+
+
+def in_steps(groups: list[np.ndarray], size: np.ndarray, texts: list[bytes], doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
     step: list[np.ndarray] = []
     total = 0
-    for g in np.argsort(size, kind="stable").tolist() + [-1]:  # texts of one step have similar sizes
-        if step and (g < 0 or total + size[g] > STEP_BYTES or size[g] > TEXT_BYTES):
+    for g in np.argsort(size, kind="stable").tolist():
+        if step and total + size[g] > STEP_BYTES:
             yield repeats_by_suffixes(step, texts, doc, place)
             step, total = [], 0
-        if g < 0:
-            break
-        rows = order[start[g] : start[g] + count[g]]
-        if size[g] > TEXT_BYTES:
-            yield repeats_by_windows(rows, texts, doc, place)
+        step.append(groups[g])
+        total += int(size[g])
+    if step:
+        yield repeats_by_suffixes(step, texts, doc, place)
+
+
+def anchors_in(key: np.int64, texts: list[bytes], length: np.ndarray) -> np.ndarray:
+    """Where the anchor lies in each of its contexts: the first place from which the context's last window still covers it."""
+    out = []
+    for i in range(0, len(texts), 1000):
+        size = length[i : i + 1000]
+        ends = np.cumsum(size)
+        hashes = Hashes(np.frombuffer(b"".join(texts[i : i + 1000]), np.uint8)).at(slice(0, int(ends[-1]) - ANCHOR + 1), ANCHOR).view(np.int64)
+        hit = np.flatnonzero((hashes | 1) == key)
+        out.append(hit[np.searchsorted(hit, ends - WINDOW)] - (ends - size))
+    return np.concatenate(out)
+
+
+def in_pieces(key: np.int64, doc: np.ndarray, place: np.ndarray, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Repeats among very many contexts of one anchor. A piece holds contexts (rows) and windows that begin ``low`` to ``high`` bytes before the
+    anchor, all with the same bytes from ``high`` - before to after it as far as every window of the piece covers them."""
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    anchor = anchors_in(key, texts, length)
+    begin = np.cumsum(length) - length
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    spare = WINDOW - ANCHOR
+    waiting = [(np.arange(len(texts)), 0, spare)]
+    ready: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    total = 0
+    while waiting:
+        rows, low, high = waiting.pop()
+        a, b = np.maximum(anchor[rows] - high, 0), np.minimum(anchor[rows] + WINDOW - low, length[rows])
+        rows, a, b = (x[b - a >= WINDOW] for x in (rows, a, b))
+        size = int((b - a + 1).sum())
+        if size <= TEXT_BYTES:
+            if len(rows) > 1:
+                ready.append((rows, a, b))
+                total += size
+        elif low == high:  # all windows of the piece are one string
+            yield repeats_of(np.zeros(len(rows), np.int64), doc[rows], place[rows] + a)
         else:
-            step.append(rows)
-            total += int(size[g])
+            middle = (low + high) // 2
+            for x, y, first, count in ((middle + 1, high, -(middle + 1), middle + 1), (low, middle, ANCHOR, spare - middle)):
+                # rows with a window of the half, by the bytes beside the anchor that all of these cover
+                mine = rows[(anchor[rows] >= x) & (anchor[rows] + WINDOW - y <= length[rows])]
+                if len(mine) > 1:
+                    beside = raw[(begin[mine] + anchor[mine] + first)[:, None] + np.arange(count)]
+                    _, of = np.unique(beside.view(np.dtype((np.void, count))).reshape(-1), return_inverse=True)
+                    by = np.argsort(of, kind="stable")
+                    waiting += [(part, x, y) for part in np.split(mine[by], np.flatnonzero(np.diff(of[by])) + 1) if len(part) > 1]
+        if ready and (not waiting or total > STEP_BYTES):
+            rows, a, b = (np.concatenate(c) for c in zip(*ready))
+            cuts = np.cumsum([0, *(len(r) for r, _, _ in ready)])
+            groups = [np.arange(x, y) for x, y in zip(cuts[:-1], cuts[1:])]
+            part = [texts[i][x:y] for i, x, y in zip(rows.tolist(), a.tolist(), b.tolist())]
+            ready, total = [], 0
+            yield from in_steps(groups, np.array([int((b[g] - a[g] + 1).sum()) for g in groups]), part, doc[rows], place[rows] + a)
 
 
 def repeats_by_suffixes(groups: list[np.ndarray], texts: list[bytes], doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
@@ -330,18 +430,6 @@ def repeats_by_suffixes(groups: list[np.ndarray], texts: list[bytes], doc: np.nd
     return repeats_of(run, doc[rows[ctx]], place[rows[ctx]] + starts - begin[ctx])
 
 
-def repeats_by_windows(rows: np.ndarray, texts: list[bytes], doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """The same for one anchor with very many contexts: its windows by two independent hashes."""
-    raw = np.frombuffer(b"".join([texts[i] for i in rows.tolist()]), np.uint8)
-    length = np.fromiter((len(texts[i]) for i in rows.tolist()), np.int64, len(rows))
-    begin, windows = np.cumsum(length) - length, length - WINDOW + 1
-    starts, ctx = ranges(begin, windows), np.repeat(np.arange(len(rows)), windows)
-    one = Hashes(raw).at(starts, WINDOW)
-    two = Hashes(raw, VALUES[::-1].copy()).at(starts, WINDOW)
-    _, run = np.unique(np.stack([one, two], 1), axis=0, return_inverse=True)
-    return repeats_of(run.reshape(-1), doc[rows[ctx]], place[rows[ctx]] + starts - begin[ctx])
-
-
 def repeats_of(run: np.ndarray, doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     """Ranges of the windows that are not the earliest of their run of equal windows."""
     by, _, repeat = later(doc, start, [run])
@@ -354,7 +442,8 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     spark = df.sparkSession
     bounded_batches(spark)
     source = rows_with_id(df, id_column, text)
-    met = source.select("id", "raw").mapInArrow(emit_contexts, "anchor bigint, content bigint, doc bigint, at bigint").repartition("anchor")
+    met = source.select("id", "raw").mapInArrow(emit_contexts, "anchor bigint, content bigint, doc bigint, at bigint")
+    met = met.repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "at")
     plan = met.mapInArrow(meet, "anchor bigint, doc bigint, a bigint, b bigint")
     by_document = plan.groupBy("doc").agg(F.collect_list(F.struct("anchor", "doc", "a", "b")).alias("rows"))
 
@@ -366,7 +455,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     kind = df.schema[id_column].dataType.simpleString()
     packed = source.mapInArrow(pack, f"id bigint, given_id {kind}, packed binary")
     joined = packed.join(by_document, F.col("id") == F.col("doc")).select("packed", "rows")
-    found = joined.mapInArrow(fetch, FOUND).repartition("anchor").mapInArrow(compare, "doc bigint, a bigint, b bigint")
+    found = joined.mapInArrow(fetch, FOUND).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "doc bigint, a bigint, b bigint")
     cuts = found.groupBy("doc").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("stops"))
     whole = packed.join(cuts, F.col("id") == F.col("doc"), "left").select("given_id", "packed", "starts", "stops")
 

@@ -83,6 +83,22 @@ def test_many_contexts_of_one_anchor(spark, monkeypatch):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("most", [300, 3000])
+def test_pieces_of_a_hot_anchor(spark, monkeypatch, most):
+    """A phrase in few and many surroundings that agree on one side, on both, or nearly; rows stream by in small groups."""
+    monkeypatch.setattr(suffixes, "TEXT_BYTES", most)
+    monkeypatch.setattr(suffixes, "STEP_BYTES", 4 * most)
+    monkeypatch.setattr(suffixes, "STREAM_ROWS", 7)
+    rng = random.Random(8)
+    word = lambda k: "".join(rng.choice("ab") for _ in range(k))
+    phrase = "".join(rng.choice("klmnopqrst") for _ in range(55))
+    lefts, rights = [word(70) for _ in range(4)], [word(70) for _ in range(4)]
+    rows = [(i, rng.choice(lefts)[rng.randint(0, 20) :] + phrase + rng.choice(rights)[: rng.randint(30, 70)]) for i in range(60)]
+    rows += [(100 + i, word(50) + rng.choice(lefts)[-rng.randint(1, 60) :] + phrase + rng.choice(rights)[: rng.randint(1, 60)] + word(50)) for i in range(60)]
+    rows += [(200 + i, word(30) + phrase + phrase + word(30)) for i in range(20)]
+    check(spark, rows)
+
+
 def test_repeated_ids_do_not_precede_each_other(spark):
     rng = random.Random(6)
     text = "".join(rng.choice("abc ") for _ in range(400))
