@@ -8,8 +8,9 @@ are; the model only labels tokens outside them (obfuscated addresses, phone numb
 The weights are trained here, on the driver: :func:`train` maximises the conditional likelihood of generated sentences by stochastic gradient descent,
 with the segment forward-backward recursions. Generation is seeded, so every run has the same weights.
 
-Only stretches around a digit or an at-word can hold an entity, so the search runs there; texts are scanned whole. Stretches are cut where
-``MOST_TOKENS`` tokens in a row can't belong to an entity, which changes no result: no segment crosses such a gap.
+Only stretches around an at-word, or around enough digits within ``MOST_TOKENS`` tokens, can hold an entity, so the search runs there; texts are scanned
+whole. A stretch has all tokens of any segment that holds its digits or at-word, and the tokens beside it that features look at, however many characters
+they have; so cutting changes no result.
 
 Defined results: a null or empty text has no spans. Offsets are code points, ends exclusive. Repeated rows give equal results.
 """
@@ -88,8 +89,13 @@ def base_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
 #: Longest entity in tokens.
 MOST_TOKENS = 22
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]|\s")
-#: Where an entity may be: a digit run of three or more, an at-sign, or a spelled-out one.
-TRIGGER = re.compile(r"[0-9]{2,}|@|[\[({<]\s?at\s?[\])}>]| at (?=[a-z0-9-]{1,60}(?:\.[a-z]| dot ))", re.IGNORECASE)
+#: What can make a segment an e-mail address: an at-sign, or a spelled-out one.
+AT = re.compile(r"@|[\[({<]\s?at\s?[\])}>]| at (?=[a-z0-9-]++(?:\.[a-z]| dot ))", re.IGNORECASE)
+DIGITS = re.compile(r"[0-9]+")
+#: Digits that any other entity has at least, and the tokens beside a segment that features look at.
+LEAST_DIGITS, TOKENS_BEFORE, TOKENS_BEHIND = 7, 8, 4
+#: Where no segment goes on: a line break, a tabulator or two blanks.
+BREAK = re.compile(r"[\n\r\t]|\s\s")
 #: The form of a written-out address: a bare "at" needs a "dot" or a full stop without a blank behind it.
 MAIL = re.compile(r"[a-z0-9._%+-]+( ?@ ?| ?[\[({<] ?at ?[\])}>] ?| at )[a-z0-9-]+((\.| ?[\[({<] ?dot ?[\])}>] ?| dot )[a-z0-9-]+)+")
 #: Words that announce an entity (features, not rules).
@@ -131,13 +137,13 @@ def features(words: list[str], a: int, b: int) -> list[str]:
         out.append("mailform")
     if "@" in span:
         out.append("at")
-    near = {w.lower() for w in words[max(0, a - 8) : a]}
+    near = {w.lower() for w in words[max(0, a - TOKENS_BEFORE) : a]}
     out += [f"cue={k}" for k, cues in CUES.items() if near & cues]
     before, after = words[a - 1] if a else " ", words[b] if b < len(words) else " "
     out.append(f"edge={before.isalnum()}{after.isalnum()}")
     if (before in ".-" and a > 1 and words[a - 2].isdigit()) or (after in ".-" and b + 1 < len(words) and words[b + 1].isdigit()):
         out.append("cut")
-    rest = "".join(words[b : b + 4]).lower()
+    rest = "".join(words[b : b + TOKENS_BEHIND]).lower()
     if letters and (re.match(r"(\.|-|_| dot | ?[\[({<] ?dot)\w?", rest) and not re.match(r"\.( |$)", rest) or (before in "._%+-" and a > 1 and words[a - 2].isalnum())):
         out.append("cutmail")
     return out
@@ -166,7 +172,7 @@ def candidates(words: list[str]) -> list[tuple[int, int]]:
                 break
             digits += len(w) if w.isdigit() else 0
             at |= w == "@" or w.lower() == "at"
-            if (digits >= 7 or at) and possible(words, a, b) and (not at or MAIL.fullmatch("".join(words[a:b]).lower())):
+            if (digits >= LEAST_DIGITS or at) and possible(words, a, b) and (not at or MAIL.fullmatch("".join(words[a:b]).lower())):
                 out.append((a, b))
     return out
 
@@ -312,15 +318,56 @@ def shared_model() -> Model:
     return train()
 
 
+def triggers(text: str) -> list[tuple[int, int]]:
+    """Parts that every entity holds one of: at-words, and digit runs that together have ``LEAST_DIGITS`` digits within ``MOST_TOKENS`` tokens."""
+    found = [m.span() for m in AT.finditer(text)]
+    runs = [m.span() for m in DIGITS.finditer(text)]
+    near = 0  # runs[near:i + 1] may be in one segment
+    held = tokens = 0  # their digits, and the tokens from the first to the last
+    widths: list[int] = []
+    for i, (a, b) in enumerate(runs):
+        if i > near:
+            end = runs[i - 1][1]
+            # blanks alone show most gaps to be too wide
+            blanks = text.count(" ", end, a)
+            gap = MOST_TOKENS + 1 if blanks > MOST_TOKENS else sum(1 for _ in TOKEN.finditer(text, end, a))
+            if gap > MOST_TOKENS or BREAK.search(text, end, a):
+                near, held, tokens, widths = i, 0, 0, []
+            else:
+                widths.append(gap)
+                tokens += gap
+        held += b - a
+        tokens += 1
+        while tokens > MOST_TOKENS:
+            held -= runs[near][1] - runs[near][0]
+            tokens -= 1 + widths.pop(0)
+            near += 1
+        if held >= LEAST_DIGITS:
+            found.append((runs[near][0], b))
+    return sorted(found)
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
     """Parts of the text around triggers, wide enough for the longest entity and its context; overlapping parts are joined."""
+    found = triggers(text)
+    if not found:
+        return []
+    mirror, n = text[::-1], len(text)  # tokens are the same backwards
     out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - 80), min(len(text), m.end() + 80)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
+    for a, b in found:
+        start, stop = a, b
+        for k, m in enumerate(TOKEN.finditer(mirror, n - a)):
+            start = n - m.end()
+            if k > MOST_TOKENS + TOKENS_BEFORE:
+                break
+        for k, m in enumerate(TOKEN.finditer(text, b)):
+            stop = m.end()
+            if k > MOST_TOKENS + TOKENS_BEHIND:
+                break
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(stop, out[-1][1])
         else:
-            out.append([a, b])
+            out.append([start, stop])
     return [tuple(x) for x in out]
 
 
@@ -336,7 +383,7 @@ def model_spans(text: str, taken: list[tuple[int, int]], model: Model | None = N
         for s, e in held:
             hidden[max(0, s) : max(0, e)] = "\n" * (min(e, len(part)) - max(0, s))
         rest = "".join(hidden)
-        if not TRIGGER.search(rest):
+        if not triggers(rest):
             continue
         tokens = tokens_of(rest)
         words = [w for w, _, _ in tokens]
