@@ -2,23 +2,25 @@
 
 Subwords are byte trigrams and tetragrams of the whole text, with A-Z lower-cased, hashed into 2^``BITS`` rows of an embedding table. A text is
 the mean of its subwords' embeddings; a linear layer and softmax give the languages' probabilities. Embeddings and layer are trained by
-stochastic gradient descent in NumPy on a bounded sample of labelled rows (``SAMPLE`` of them, chosen by a hash of the id). A part of the
-sample is kept out of training for calibration: a temperature that minimises its log loss, and the confidence below which a prediction is
+stochastic gradient descent in NumPy on a bounded sample of labelled rows: an equal part of ``SAMPLE`` for each language, ``LEAST_EACH`` at least, chosen by a
+hash of the text, so copies count once and a rare language is learnt too. What comes to the driver is no text but the sample's subword counts, at most 2^``BITS``
+numbers a row. A part of the sample is kept out of training for calibration: a temperature that minimises its log loss, and the confidence below which a prediction is
 rejected so that accepted ones reach ``PRECISION``.
 
 Since the model is linear after averaging, embedding table times layer is one table of logits by subword, so a prediction is one table
 look-up for each subword. That table has a fixed size and is sent with the tasks.
 
-Defined results: ``und`` with score 0 if the text is null or has no letter, whatever the model says, and if no labelled row exists. Long texts
-are scored whole. Repeated rows get equal results. The label, source and id are never read for a prediction.
+Defined results: ``und`` with score 0 if the text is null or has no letter, whatever the model says, and if no labelled row exists; letters are the Unicode category L. Long texts
+are scored whole. More than ``MOST_LANGUAGES`` labels are an error. Repeated rows get equal results. The label, source and id are never read for a prediction.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,12 @@ from tarn.llm.batches import map_rows
 
 BITS = 16
 WIDTH = 16
-#: Labelled rows that training reads at most (about; the sample is a hash range, so it is the same on every run).
-SAMPLE = 2500
+#: Labelled rows that training reads (about; the sample is a hash range for each language, so it is the same on every run), and least for each language.
+SAMPLE, LEAST_EACH, MOST_LANGUAGES = 2500, 50, 2000
 EPOCHS, RATE, CALIBRATION = 5, 2.0, 0.2
 PRECISION = 0.99
 FOLDS = 5
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -70,20 +72,25 @@ class Model:
         return self.languages[best], float(p[best]), bool(p[best] < self.threshold)
 
 
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct subwords and how often it has each."""
+    return np.unique(subwords(text), return_counts=True)
+
+
 def train(samples: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 3) -> Model:
     """Train on (text, language) pairs."""
-    samples = [s for s in samples if s[0] and LETTER.search(s[0])]
-    languages = tuple(sorted({lang for _, lang in samples}))
+    return fit([(*bag(text), lang) for text, lang in samples if text and LETTER.search(text)], epochs, rate, seed)
+
+
+def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 3) -> Model:
+    """Train on (subwords, their counts, language)."""
+    languages = tuple(sorted({lang for *_, lang in samples}))
     if not languages:
         return Model((), np.zeros((1 << BITS, 1), np.float32), 1.0)
     rng = np.random.default_rng(seed)
     held = rng.random(len(samples)) < CALIBRATION if len(samples) >= 50 else np.zeros(len(samples), bool)
-    # a text's subwords as distinct rows with their shares
-    bags = []
-    for text, _ in samples:
-        rows, n = np.unique(subwords(text), return_counts=True)
-        bags.append((rows, (n / n.sum()).astype(np.float64)))
-    gold = np.array([languages.index(lang) for _, lang in samples])
+    bags = [(rows, n / n.sum()) for rows, n, _ in samples]
+    gold = np.array([languages.index(lang) for *_, lang in samples])
     embed = rng.normal(0, 0.1, (1 << BITS, WIDTH))
     layer = rng.normal(0, 0.3, (WIDTH, len(languages)))
     trained = np.flatnonzero(~held)
@@ -117,14 +124,24 @@ def fold() -> Column:
 
 def learn(df: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on labelled rows whose id is not in the held-out fold."""
-    labelled = df.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = labelled.count()
-    if not total:
-        return train([])
-    part = int(min(1.0, sample / total) * (2**62))
-    chosen = labelled.where(F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 2) <= part)
-    rows = chosen.select("doc_id", "text", "lang").limit(2 * sample).collect()
-    return train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.text, r.lang))])
+    labelled = df.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    sizes = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if not sizes:
+        return fit([])
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    each = max(LEAST_EACH, sample / len(sizes))
+    parts = F.create_map(*(F.lit(x) for r in sizes for x in (r[0], int(min(1.0, each / r[1]) * 2**62))))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(17), "text"), 2)
+    chosen = labelled.where(place <= parts[F.col("lang")]).groupBy("lang", place.alias("place")).agg(F.first("text").alias("text"))
+
+    def work(lang: pa.Array, place: pa.Array, texts: list) -> dict:
+        bags = [bag(t) if LETTER.search(t) else ([], []) for t in texts]
+        return {"lang": lang, "place": place, "rows": [b[0] for b in bags], "counts": [b[1] for b in bags]}
+
+    rows = map_rows(chosen, ["lang", "place", "text"], work, "lang string, place bigint, rows array<int>, counts array<int>").collect()
+    ordered = sorted(((r.lang, r.place, r.rows, r.counts) for r in rows if r.rows))
+    return fit([(np.array(r), np.array(n), lang) for lang, _, r, n in ordered])
 
 
 def identify(df: DataFrame, model: Model | None = None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

@@ -179,6 +179,25 @@ def test_pii_viterbi_is_the_best_segmentation():
     assert abs(sum(scores[spans.index((a, b))][pii.KINDS.index(k)] for a, b, k in chosen) - best(len(words))) < 1e-9
 
 
+def test_pii_stretches_change_no_result(texts):
+    """The search in stretches finds what a search over all tokens finds, however long the tokens are."""
+    rng = random.Random(21)
+    model = pii.shared_model()
+    cases = [pii.example(rng)[0] + " " + rng.choice(texts)[:200] + " " + pii.example(rng)[0] for _ in range(150)]
+    cases += ["x" * 100 + " [at] foo [dot] com", "y" * 5000 + " at " + "z" * 400 + ".com", "call 4-1-5-5-5-5-1-2-3-4 now", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 " * 5, "12 " + "word " * 30 + "3456"]
+    for text in cases:
+        base = pii.base_spans(text)
+        hidden = list(text)
+        for spans in base.values():
+            for a, b in spans:
+                hidden[a:b] = "\n" * (b - a)
+        tokens = pii.tokens_of("".join(hidden))
+        want = [(k, tokens[i][1], tokens[j - 1][2]) for i, j, k in model.decode([w for w, _, _ in tokens])]
+        taken = [s for spans in base.values() for s in spans]
+        assert sorted(pii.model_spans(text, taken, model)) == sorted(want), text
+    assert pii.find("x" * 100 + " [at] foo [dot] com")[1] == [("email", 0, 119)]
+
+
 def test_pii_adds_and_keeps(odd):
     text = "mail john at example dot com or ann@example.com, call (415) 555-1234 or +1 (415) 555-2671"
     base, spans = pii.find(text)
@@ -207,6 +226,70 @@ def test_language_learns_and_rejects(spark, texts):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_against_plain_python(monkeypatch):
+    """Subwords, training, temperature and threshold once more with plain loops."""
+    monkeypatch.setattr(language, "BITS", 7)
+    monkeypatch.setattr(language, "WIDTH", 3)
+    rng = random.Random(12)
+    samples = [("".join(rng.choice("abcd " if k % 2 else "cdef ") for _ in range(rng.randint(1, 30))), "xy"[k % 2]) for k in range(60)]
+    samples = [s for s in samples if s[0].strip()]
+    model = language.train(samples, epochs=2)
+
+    def pieces(text):
+        raw = text.encode().lower()
+        raw += b" " * (3 - len(raw))
+        three = [raw[i] + (raw[i + 1] << 8) + (raw[i + 2] << 16) for i in range(len(raw) - 2)]
+        four = [three[i] + (raw[i + 3] << 24) for i in range(len(raw) - 3)]
+        return [(x * 0x9E3779B1) % 2**32 >> 25 for x in three] + [(x * 0x85EBCA77 + 0x165667B1) % 2**32 >> 25 for x in four]
+
+    def soft(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    draws = np.random.default_rng(3)
+    held = [bool(x < 0.2) for x in draws.random(len(samples))]
+    embed = draws.normal(0, 0.1, (128, 3)).tolist()
+    layer = draws.normal(0, 0.3, (3, 2)).tolist()
+    trained = [i for i, h in enumerate(held) if not h]
+
+    def logits(text):
+        rows = pieces(text)
+        mean = [sum(embed[r][d] for r in rows) / len(rows) for d in range(3)]
+        return mean, [sum(mean[d] * layer[d][c] for d in range(3)) for c in range(2)]
+
+    for epoch in range(2):
+        step = 2.0 * (1 - epoch / 2)
+        for i in draws.permutation(trained):
+            text, lang = samples[i]
+            mean, x = logits(text)
+            slope = [p - (c == "xy".index(lang)) for c, p in enumerate(soft(x))]
+            back = [sum(layer[d][c] * slope[c] for c in range(2)) for d in range(3)]
+            layer = [[layer[d][c] - step * 0.1 * mean[d] * slope[c] for c in range(2)] for d in range(3)]
+            count = Counter(pieces(text))
+            for r, n in count.items():
+                embed[r] = [embed[r][d] - step * len(count) ** 0.5 * n / sum(count.values()) * back[d] for d in range(3)]
+    check = [(logits(t)[1], "xy".index(lang)) for (t, lang), h in zip(samples, held) if h]
+    heats = [50 ** (k / 60) for k in range(61)]
+    heat = min(heats, key=lambda h: sum(-math.log(soft([v / h for v in x])[g] + 1e-12) for x, g in check))
+    for text, _ in samples:
+        p = soft([v / heat for v in logits(text)[1]])
+        lang, score, rejected = model.predict(text)
+        assert abs(score - max(p)) < 1e-5 and lang == "xy"[p.index(max(p))] and rejected == (score < model.threshold)
+    ranked = sorted(((max(soft([v / heat for v in x])), x.index(max(x)) == g) for x, g in check), reverse=True)
+    sure = [p for k, (p, _) in enumerate(ranked) if sum(r for _, r in ranked[: k + 1]) >= 0.99 * (k + 1)]
+    assert abs(model.threshold - (min(sure) if sure else 1.0)) < 1e-6
+
+
+def test_language_letters_and_rare_languages(spark, texts):
+    model = language.train([(t, "aa") for t in texts])
+    assert [model.predict(t)[0] for t in ("\u00b2 \u00bd \u2460", "\u2160", "\u0301", "\u00aa", "x", "\u4e2d")] == ["und", "und", "und", "aa", "aa", "aa"]
+    rng = random.Random(16)
+    rare = ["".join(rng.choice("\u0430\u0431\u0432\u0433 ") for _ in range(200)) for _ in range(6)]
+    rows = [(i, texts[i % len(texts)] + str(i), "aa", "s", 1) for i in range(3000)] + [(9000 + i, t, "bb", "s", 1) for i, t in enumerate(rare)]
+    model = language.learn(spark.createDataFrame(rows, DOCS), sample=100)
+    assert model.languages == ("aa", "bb") and model.predict(rare[0][::-1])[0] == "bb"
+
+
 def test_language_fold_and_edges(spark, odd):
     ids = spark.range(50).select(F.col("id").alias("doc_id"), language.fold().alias("f") if False else (F.crc32(F.col("id").cast("string")) % 5).alias("f"))
     assert all(r.f == zlib.crc32(str(r.doc_id).encode()) % 5 for r in ids.collect())
