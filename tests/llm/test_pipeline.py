@@ -79,3 +79,18 @@ def test_stages_keep_null_and_repeated_ids(spark, folder):
     want = sorted([(1, texts[0]), (0, texts[1]), (0, texts[2]), (2, texts[3]), (2, texts[4]), (3, texts[5])])
     assert found(unique) == want
     assert set(found(corpus_pipeline.balance(spark, unique, folder))) == set(want)
+
+
+def test_stages_on_an_empty_table_and_other_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = docs.selectExpr("*", "doc_id AS kept", "text AS fp", "lang AS hash", "source AS size", "n_chars AS row_key", "doc_id AS copies", "text AS redacted")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).collect() == [], name
+        found, want = (stage(spark, d.where("doc_id < 60 or doc_id > 300"), folder) for d in (wide, docs))
+        assert found.columns == want.columns and found.count() == want.count(), name
+
+
+def test_run_leaves_one_folder(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "stage_folder", lambda _: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, folder).count() > 0
+    assert [p.name for p in tmp_path.iterdir()] == [f"stage-{len(corpus_pipeline.STAGES) - 1}"]
