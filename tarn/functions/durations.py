@@ -46,6 +46,12 @@ def duration(value: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(ALL)), F.struct(F.floor(total(months)).cast("int").alias("months"), F.round(total(micros)).cast("bigint").alias("micros")))
 
 
+def total(values: Column) -> Column:
+    """Sum of a list of durations, part by part."""
+    add = lambda name: F.aggregate(F.transform(values, lambda x: x[name].cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return F.struct(add("months").cast("int").alias("months"), add("micros").alias("micros"))
+
+
 def plus(moment: Column, length: Column, sign: int = 1) -> Column:
     """A timestamp moved by a duration: calendar months first, then exact time."""
     moved = F.add_months(F.to_date(moment), sign * length["months"]).cast("timestamp")

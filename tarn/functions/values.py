@@ -136,6 +136,27 @@ def average(values: Column) -> Column:
     return F.try_divide(total(values), F.size(values))
 
 
+def slice_of(values: Column, start: int, end: int | None = None) -> Column:
+    """Elements from ``start`` (0-based) to ``end`` (exclusive, or to the last); negative places count from the end."""
+    n = F.size(values)
+    place = lambda i: F.greatest(n + i, F.lit(0)) if i < 0 else F.least(F.lit(i), n)
+    first, stop = place(start), n if end is None else place(end)
+    return F.slice(values, first + 1, F.greatest(stop - first, F.lit(0)))
+
+
+def find(values: Column, test: Callable[[Column], Column], place: bool = False) -> Column:
+    """The first element that meets the test, or its place (-1 if there is none)."""
+    places = F.transform(values, lambda x, i: F.when(F.coalesce(test(x), F.lit(False)), i))
+    first = F.get(F.array_compact(places), F.lit(0))
+    return F.coalesce(first, F.lit(-1)) if place else F.get(values, first)
+
+
+def distinct_by(values: Column, key: Callable[[Column], Column]) -> Column:
+    """The first element of each key, in order."""
+    keys = F.transform(values, key)
+    return F.filter(values, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+
+
 def by_key(values: Column, key: Callable[[Column], Column], largest: bool = False) -> Column:
     """Element of least (or greatest) key; the first of several."""
     keys = F.transform(values, lambda x, i: F.struct(key(x).alias("k"), (-i if largest else i).alias("i")))

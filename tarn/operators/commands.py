@@ -93,6 +93,17 @@ def markdown_table(df: DataFrame) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
 
 
+def markdown_head(names: list[str]) -> list[str]:
+    """The first two lines of a Markdown table."""
+    return ["| " + " | ".join(names) + " |", "|" + " --- |" * len(names)]
+
+
+def markdown_list(df: DataFrame) -> Column:
+    """A row as a line of a Markdown list: the first column, then the others behind colons."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-")) for c in df.columns]
+    return F.concat(F.lit("- "), F.concat_ws(": ", *cells))
+
+
 def with_total(df: DataFrame, label: str, name: str = "Total", average: bool = False) -> DataFrame:
     """The rows and one more with the sum (or average) of the numeric columns. ``is_total`` marks it."""
     numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name != label]
@@ -124,6 +135,13 @@ def as_of(df: DataFrame, day: str, moment: Column, strict: bool = True) -> DataF
     return df.where(test).orderBy(F.desc(day)).limit(1)
 
 
+def day_before(df: DataFrame, keys: list[str], day: str, value: str) -> DataFrame:
+    """Each row with ``before``, the value of the row of the calendar day before (null if that day has none; the least of several)."""
+    moved = df.groupBy(*(F.col(k).alias(f"__{k}") for k in keys), F.date_add(F.to_date(day), 1).alias("__day")).agg(F.min(value).alias("before"))
+    same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.to_date(day) == F.col("__day"))
+    return df.join(moved, same, "left").drop("__day", *(f"__{k}" for k in keys))
+
+
 def day_runs(df: DataFrame, keys: list[str], day: str) -> DataFrame:
     """Runs of consecutive days: keys, start, end, days."""
     days = df.select(*keys, F.to_date(day).alias("day")).distinct()

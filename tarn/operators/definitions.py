@@ -111,6 +111,10 @@ class Bank:
     properties: dict[str, Property] = field(default_factory=dict)
     location: str = "schemas/properties"
 
+    def __post_init__(self) -> None:
+        if not self.location.strip():
+            raise ValueError("bank location cannot be empty")
+
     def register(self, prop: Property) -> None:
         if not prop.name.strip():
             raise ValueError("property name cannot be empty")

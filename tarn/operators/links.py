@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIKI = r"(!?)\[\[([^\]|#]+)(?:#([^\]|]*))?(?:\|([^\]]*))?\]\]"
@@ -58,24 +58,28 @@ def linking_to(rows: DataFrame, edges: DataFrame, target: str, key: str = "path"
     return rows.join(edges.where(F.col("dst") == target).select(F.col("src").alias("__key")), F.col(key) == F.col("__key"), "left_semi")
 
 
-def lookup_summary(notes: DataFrame, related: DataFrame, value: str, key: str = "path", target: str = "target") -> DataFrame:
-    """Reverse references: for each note the number, non-empty count, sum, average, least and greatest value of the rows that refer to it.
+def lookup_summary(notes: DataFrame, related: DataFrame, value: str, key: str = "path", target: str = "target", more: dict[str, Column] | None = None) -> DataFrame:
+    """Reverse references: for each note the number, non-empty count, sum, average, least and greatest value of the rows that refer to it, and what the
+    aggregates in ``more`` make of them.
     Rows are summed up before the join, so a note that everything refers to is one row."""
     sums = related.groupBy(F.col(target).alias("__key")).agg(
-        F.count(F.lit(1)).alias("count_all"), F.count(value).alias("count"), F.sum(value).alias("sum"), F.avg(value).alias("average"), F.max(value).alias("max"), F.min(value).alias("min")
+        F.count(F.lit(1)).alias("count_all"), F.count(value).alias("count"), F.sum(value).alias("sum"), F.avg(value).alias("average"), F.max(value).alias("max"), F.min(value).alias("min"),
+        *(c.alias(n) for n, c in (more or {}).items()),
     )
     joined = notes.join(sums, F.col(key) == F.col("__key"), "left").drop("__key")
     return joined.withColumn("count_all", F.coalesce("count_all", F.lit(0))).withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-def canvas_neighbours(nodes: DataFrame, edges: DataFrame, direction: str = "both", color: str | None = None, label: str | None = None) -> DataFrame:
-    """(node, neighbour) on a canvas: edges (from_node, to_node, color, label), followed in, out or both ways."""
+def canvas_neighbours(nodes: DataFrame, edges: DataFrame, direction: str = "both", color: str | None = None, label: str | None = None, side: str | None = None) -> DataFrame:
+    """(node, neighbour) on a canvas: edges (from_node, to_node, color, label, and from_side, to_side if a side is asked for), followed in, out or
+    both ways. ``side`` is the side of the node at which the edge is fixed."""
     chosen = edges
     if color is not None:
         chosen = chosen.where(F.col("color") == color)
     if label is not None:
         chosen = chosen.where(F.col("label") == label)
-    out = chosen.select(F.col("from_node").alias("node"), F.col("to_node").alias("neighbour"))
-    into = chosen.select(F.col("to_node").alias("node"), F.col("from_node").alias("neighbour"))
+    at = lambda end: chosen if side is None else chosen.where(F.col(end) == side)
+    out = at("from_side").select(F.col("from_node").alias("node"), F.col("to_node").alias("neighbour"))
+    into = at("to_side").select(F.col("to_node").alias("node"), F.col("from_node").alias("neighbour"))
     pairs = {"out": out, "in": into, "both": out.union(into)}[direction].distinct()
     return pairs.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")

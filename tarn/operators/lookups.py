@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,14 @@ def lookup_map(records: DataFrame, name: str, path: str) -> DataFrame:
     return records.groupBy(F.col(name).alias("name")).agg(F.min(path).alias("path"))
 
 
+def choices(records: DataFrame, name: str, empty: str = "Null") -> DataFrame:
+    """(nth, name): the distinct names without regard to case, after an entry for none; ``nth`` orders them."""
+    found = records.where(F.col(name).isNotNull()).groupBy(F.lower(name).alias("key")).agg(F.min(name).alias("name"))
+    sorted_ = F.array_sort(F.collect_list(F.struct("key", "name")))  # a list that a person chooses from
+    listed = found.agg(F.concat(F.array(F.lit(empty)), F.transform(sorted_, lambda x: x["name"])).alias("names"))
+    return listed.select(F.posexplode("names").alias("nth", "name"))
+
+
 def negatable(column: Column, pattern: str | None) -> Column:
     """Regular expression on a column; a leading ``^`` negates it."""
     if not pattern:
@@ -70,6 +79,13 @@ def file_reference(rows: DataFrame, value: str, index: DataFrame, file_class: st
     return rows.join(keys, wanted == F.col("key"), "left_anti" if missing else "left_semi")
 
 
+def timed_statistics(records: DataFrame, valid: Column) -> dict[str, float]:
+    """Counts of an indexing run and the seconds that it took."""
+    began = time.monotonic()
+    row = index_statistics(records, valid).first()
+    return row.asDict() | {"seconds": time.monotonic() - began}
+
+
 def index_statistics(records: DataFrame, valid: Column) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("records"), F.count_if(~valid).alias("warnings"))
 

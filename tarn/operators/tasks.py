@@ -106,7 +106,12 @@ def fully_completed(found: DataFrame) -> DataFrame:
 
 def matching_with_children(found: DataFrame, test: Column) -> DataFrame:
     """Items that meet the test or lie below one that does."""
-    hit = found.where(test).select(F.col("path").alias("p"), F.col("line").alias("a"))
+    return with_children(found, found.where(test))
+
+
+def with_children(found: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Items of ``found`` that are among the chosen or lie below one of them."""
+    hit = chosen.select(F.col("path").alias("p"), F.col("line").alias("a"))
     below = closure(found).join(hit, (F.col("path") == F.col("p")) & (F.col("ancestor") == F.col("a")), "left_semi").select(F.col("path").alias("p"), F.col("line").alias("l")).distinct()
     return found.join(below, (F.col("path") == F.col("p")) & (F.col("line") == F.col("l")), "left_semi")
 

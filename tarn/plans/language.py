@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.functions import dates, durations, values
-from tarn.operators import commands
+from tarn.functions import dates, durations, paths, values
+from tarn.operators import commands, links, tasks
 
 
 class QueryError(ValueError):
@@ -32,12 +32,19 @@ TOKEN = re.compile(
     re.UNICODE | re.VERBOSE,
 )
 COMMANDS = ("FROM", "WHERE", "SORT", "GROUP", "FLATTEN", "LIMIT")
+#: What may stand between the brackets of ``date`` and ``dur`` without quotes.
+BARE = {
+    "date": re.compile(r"\d{4}-\d{2}(?:-\d{2}(?:T\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?)?"),
+    "dur": re.compile(r"\d+(?:\.\d+)?\s*[A-Za-z]+(?:\s*,?\s*\d+(?:\.\d+)?\s*[A-Za-z]+)*"),
+}
 
 
 @dataclass(frozen=True)
 class Token:
     kind: str
     text: str
+    start: int = 0
+    end: int = 0
 
 
 def tokens_of(text: str) -> list[Token]:
@@ -48,7 +55,7 @@ def tokens_of(text: str) -> list[Token]:
             raise QueryError(f"unexpected character at {text[at : at + 20]!r}")
         at = m.end()
         if m.lastgroup and m.lastgroup != "comment":
-            out.append(Token(m.lastgroup, m[0]))
+            out.append(Token(m.lastgroup, m[0], m.start(), m.end()))
     return out
 
 
@@ -148,11 +155,25 @@ class Reader:
                 node = Node("index", args=[node, self.expression()])
                 self.need("]")
             elif self.peek("(") and node.kind == "name":
+                if bare := self.bare(node.value.lower()):
+                    node = bare
+                    continue
                 self.at += 1
                 node = Node("call", node.value.lower(), self.arguments(")"))
             else:
                 return node
 
+    def bare(self, name: str) -> Node | None:
+        """``date(2024-01-31)`` and ``dur(1 day, 2 h)``: a literal without quotes in the brackets that follow."""
+        close = next((i for i in range(self.at + 1, len(self.tokens)) if self.tokens[i].text in "()"), None)
+        if name not in BARE or close is None:
+            return None
+        inside = self.text[self.tokens[self.at].end : self.tokens[close].start].strip()
+        if self.tokens[close].text != ")" or not BARE[name].fullmatch(inside):
+            return None
+        self.at = close + 1
+        return Node("call", name, [Node("literal", inside)])
+
     def arguments(self, end: str) -> list[Node]:
         out: list[Node] = []
         while not self.take(end):
@@ -308,14 +329,14 @@ def read(text: str) -> Query:
 EACH: dict[str, Callable[[Column], Column]] = {
     "lower": F.lower, "upper": F.upper, "number": values.number, "string": values.text, "floor": F.floor, "ceil": F.ceil, "trunc": lambda c: c.cast("bigint"),
 }
-AGGREGATES = {"length", "sum", "min", "max", "average", "nonnull"}
 
 
 class Compiler:
     """Expressions over a DataFrame's columns."""
 
-    def __init__(self, df: DataFrame, clock: Column, this: dict[str, Any], names: dict[str, tuple[Column, T.DataType]] | None = None):
+    def __init__(self, df: DataFrame, clock: Column, this: dict[str, Any], names: dict[str, tuple[Column, T.DataType]] | None = None, look_up: Callable[[str, str], Any] | None = None):
         self.df, self.clock, self.this, self.names = df, clock, this, names or {}
+        self.look_up = look_up or (lambda target, name: None)
 
     def kind(self, column: Column) -> T.DataType:
         return self.df.select(column.alias("t")).schema[0].dataType
@@ -412,8 +433,14 @@ class Compiler:
             if name not in self.this:
                 return F.lit(None).cast("string")
             return F.lit(self.this[name])
-        if holder.kind == "name" and holder.value == "file" and "file" not in self.df.columns:
-            return self.column(name)
+        if holder.kind == "field" and holder.value == "file" and holder.args[0].kind == "name" and holder.args[0].value == "this":
+            return self.file_field(name, F.lit(self.this.get("path")).cast("string"), {k: F.lit(v) for k, v in self.this.items()})
+        if holder.kind == "name" and holder.value == "file" and "file" not in self.df.columns and "file" not in self.names:
+            return self.file_field(name, self.column("path"), {c: F.col(f"`{c}`") for c in self.df.columns})
+        if holder.kind == "link":
+            return F.lit(self.look_up(holder.value[0], name))
+        if holder.kind == "name" and f"__{holder.value}.{name}" in self.df.columns:
+            return F.col(f"`__{holder.value}.{name}`")
         column, kind = self.typed(holder)
         if isinstance(kind, T.ArrayType):
             inner = kind.elementType
@@ -429,6 +456,28 @@ class Compiler:
             return dates.part(column, name)
         return F.lit(None).cast("string")
 
+    def file_field(self, name: str, path: Column, own: dict[str, Column]) -> Column:
+        """Implicit fields of a note's file. Name, folder and day come from the path, times, size, tags and links from the columns of these names."""
+        moment = {"ctime": "created", "mtime": "mod_time", "cday": "created", "mday": "mod_time"}
+        base = paths.basename(path)
+        if name in ("path", "name", "ext", "folder", "link", "day"):
+            return {
+                "path": lambda: path, "name": lambda: base, "ext": lambda: F.regexp_replace(paths.extension(path), r"^\.", ""), "folder": lambda: paths.folder(path),
+                "link": lambda: values.link(path, base), "day": lambda: dates.file_day(base).cast("timestamp"),
+            }[name]()
+        if name in moment:
+            found = own.get(name, own.get(moment[name], F.lit(None).cast("timestamp"))).cast("timestamp")
+            return F.date_trunc("day", found) if name.endswith("day") else found
+        if name == "tags":
+            parts = F.transform(own["tags"], lambda t: F.split(t, "/")) if "tags" in own else F.array().cast("array<array<string>>")
+            levels = F.transform(parts, lambda t: F.transform(F.sequence(F.lit(1), F.size(t)), lambda n: F.array_join(F.slice(t, 1, n), "/")))
+            return F.array_sort(F.array_distinct(F.flatten(levels)))
+        if name == "etags":
+            return own.get("tags", F.array().cast("array<string>"))
+        if name in ("size", "inlinks", "outlinks", "aliases", "frontmatter", "tasks", "lists", "starred"):
+            return own.get({"frontmatter": "fields"}.get(name, name), F.lit(None).cast("string"))
+        raise QueryError(f"unknown field file.{name}")
+
     def literal(self, node: Node) -> Any:
         if node.kind != "literal":
             raise QueryError("this argument must be a literal")
@@ -439,11 +488,11 @@ class Compiler:
         if node.kind != "lambda":
             raise QueryError("expected a function such as (x) => x")
         name = node.value[0]
-        return lambda x: Compiler(self.df, self.clock, self.this, {**self.names, name: (x, kind)}).compile(node.args[0])
+        return lambda x: Compiler(self.df, self.clock, self.this, {**self.names, name: (x, kind)}, self.look_up).compile(node.args[0])
 
     def test(self, node: Node, kind: T.DataType) -> Callable[[Column], Column]:
         name = node.value[0]
-        return lambda x: Compiler(self.df, self.clock, self.this, {**self.names, name: (x, kind)}).true(node.args[0])
+        return lambda x: Compiler(self.df, self.clock, self.this, {**self.names, name: (x, kind)}, self.look_up).true(node.args[0])
 
     def call(self, name: str, args: list[Node]) -> Column:
         if name in ("list", "array"):
@@ -492,6 +541,8 @@ class Compiler:
             "sum": values.total, "product": values.product, "average": values.average, "min": F.array_min, "max": F.array_max, "reverse": F.reverse, "nonnull": F.array_compact,
             "length": lambda c: F.size(c) if isinstance(kind, (T.ArrayType, T.MapType)) else F.length(c), "unique": F.array_distinct, "flat": F.flatten,
         }
+        if name == "sum" and many and values.type_name(inner) == "duration":
+            return durations.total(column)
         if name in simple and len(args) == 1:
             return simple[name](column)
         if name == "sort":
@@ -504,6 +555,7 @@ class Compiler:
             return values.contains_word(column, self.literal(args[1]), many)
         if name == "extract":
             return values.extract(column, [self.literal(a) for a in args[1:]], kind)
+        name = {"every": "all", "some": "any"}.get(name, name)
         if name in ("all", "any", "none"):
             if len(args) > 1 and args[1].kind == "lambda":
                 tested = self.test(args[1], inner)
@@ -546,9 +598,24 @@ class Compiler:
             return dates.local_time(column, self.literal(args[1]) if len(args) > 1 else "UTC")
         if name == "durationformat":
             return durations.minutes_text(column["micros"] / F.lit(60 * durations.SECOND))
-        if name == "slice":
-            start = self.literal(args[1])
-            return F.slice(column, start + 1, (self.literal(args[2]) - start) if len(args) > 2 else 2**31 - 1)
+        if name in ("slice", "limit"):
+            start = self.literal(args[1]) if name == "slice" else 0
+            end = self.literal(args[-1]) if name == "limit" or len(args) > 2 else None
+            return values.slice_of(column, start, end)
+        if name in ("first", "last"):
+            return F.get(column, F.lit(0)) if name == "first" else F.get(column, F.size(column) - 1)
+        if name == "indexof":
+            return F.coalesce(F.array_position(column, self.compile(args[1])), F.lit(0)) - 1
+        if name in ("find", "findindex"):
+            return values.find(column, self.test(args[1], inner), name == "findindex")
+        if name == "flatmap":
+            return F.flatten(F.transform(column, self.function(args[1], inner)))
+        if name == "distinct":
+            return F.array_distinct(column) if len(args) == 1 else values.distinct_by(column, self.function(args[1], inner))
+        if name == "to":
+            key = self.literal(args[1])
+            found = F.transform(column, lambda x: x[key])
+            return F.flatten(found) if isinstance(inner, T.StructType) and isinstance(inner[key].dataType, T.ArrayType) else found
         raise QueryError(f"unknown function {name}")
 
 
@@ -573,17 +640,55 @@ class Engine:
     ident: str = "path"
     path: str = "path"
     tags: str = "tags"
+    views: dict[str, Callable[[Engine, Any], DataFrame]] = field(default_factory=dict)
+
+    def look_up(self, target: str, name: str) -> Any:
+        """A field of the note with this path or name; null if there is none."""
+        wanted = next((c for c in self.notes.columns if clean(c) == clean(name)), None)
+        if wanted is None:
+            return None
+        path = F.col(self.path)
+        row = self.notes.where((path == target) | (path == target + ".md") | (paths.basename(path) == target)).select(F.col(f"`{wanted}`")).orderBy(path).first()
+        return None if row is None else row[0]
+
+    def with_linked(self, df: DataFrame, nodes: list[Node]) -> DataFrame:
+        """Fields of linked notes that the query reads (``owner.age``, owner being a link), joined once for each link column."""
+        wanted: dict[str, set[str]] = {}
+        for n in (x for node in nodes for x in walk(node)):
+            if n.kind == "field" and n.args[0].kind == "name" and n.args[0].value in df.columns and values.type_name(df.schema[n.args[0].value].dataType) == "link":
+                if n.value not in df.schema[n.args[0].value].dataType.names and n.value in self.notes.columns:
+                    wanted.setdefault(n.args[0].value, set()).add(n.value)
+        for column, names in wanted.items():
+            target = self.notes.select(F.col(self.path).alias("__key"), *(F.col(f"`{x}`").alias(f"__{column}.{x}") for x in sorted(names)))
+            df = df.join(target, F.col(column)["path"] == F.col("__key"), "left").drop("__key")
+        return df
+
+    def view(self, name: str, given: Any = None) -> DataFrame:
+        """The result of a registered script."""
+        if name not in self.views:
+            raise QueryError(f"unknown view {name}")
+        return self.views[name](self, given)
+
+    def markdown(self, text: str) -> DataFrame:
+        """The query's result as lines of Markdown (column ``line``); a table's head is not among them (``commands.markdown_head``)."""
+        form, result = read(text).form, self.query(text)
+        if form == "TASK":
+            mark = F.concat(F.lit("- ["), F.col("status"), F.lit("] "), F.col("text"))
+            return result.select(F.concat(F.expr("repeat(' ', indent)"), F.when(F.col("task"), mark).otherwise(F.concat(F.lit("- "), F.col("text")))).alias("line"))
+        if form == "LIST":
+            return result.select(commands.markdown_list(result).alias("line"))
+        return result.select(commands.markdown_table(result).alias("line"))
 
     def query(self, text: str) -> DataFrame:
         parsed = read(text)
-        df = self.notes
+        df = self.with_linked(self.notes, [n for n, _ in parsed.columns] + [n for w, p in parsed.commands for n in nodes_of(w, p)])
         now = F.current_timestamp() if self.clock is None else self.clock
         steps, at = parsed.commands, 0
         grouped = False
         columns = list(parsed.columns)
         while at < len(steps):
             word, part = steps[at]
-            compiler = Compiler(df, now, self.this)
+            compiler = Compiler(df, now, self.this, look_up=self.look_up)
             at += 1
             if word == "from":
                 df = self.source(df, part)
@@ -610,11 +715,11 @@ class Engine:
                 else:
                     df = commands.group_rows(df, compiler.compile(node), name)
                 grouped, self_key = True, name
-        compiler = Compiler(df, now, self.this)
+        compiler = Compiler(df, now, self.this, look_up=self.look_up)
         if parsed.form == "CALENDAR":
             return commands.calendar(df, compiler.compile(columns[0][0]))
         if parsed.form == "TASK":
-            return df
+            return df if grouped or not {"line", "parent_line"} <= set(df.columns) else tasks.with_children(self.notes, df)
         shown = [compiler.compile(n).alias(t or f"value{i}") for i, (n, t) in enumerate(columns)]
         if parsed.with_id:
             ident = self_key if grouped else self.ident
@@ -623,7 +728,7 @@ class Engine:
 
     def value(self, expression: str, row: DataFrame) -> DataFrame:
         """One expression on one context row."""
-        compiler = Compiler(row, F.current_timestamp() if self.clock is None else self.clock, self.this)
+        compiler = Compiler(row, F.current_timestamp() if self.clock is None else self.clock, self.this, look_up=self.look_up)
         return row.limit(1).select(compiler.compile(Reader(expression).expression()).alias("value"))
 
     def try_query(self, text: str) -> tuple[DataFrame | None, str | None]:
@@ -641,7 +746,7 @@ class Engine:
         value = compiler.column(inner.value)
         if node.value in ("min", "max"):
             return (F.min if node.value == "min" else F.max)(value)
-        add = F.sum(value.cast("double")) if node.value == "sum" else F.avg(value.cast("double"))
+        add = {"sum": F.sum, "average": F.avg, "product": F.product}[node.value](value.cast("double"))
         return F.when(F.count(value) == F.count(F.lit(1)), add)
 
     def source(self, df: DataFrame, node: Node) -> DataFrame:
@@ -697,7 +802,7 @@ def aggregates_of(nodes: list[Node]) -> list[Node] | None:
         if n.kind == "call" and len(n.args) == 1:
             a = n.args[0]
             plain = n.value == "length" and a.kind == "name" and a.value == "rows"
-            of_field = n.value in ("sum", "min", "max", "average") and a.kind == "field" and a.args[0].kind == "name" and a.args[0].value == "rows"
+            of_field = n.value in ("sum", "min", "max", "average", "product") and a.kind == "field" and a.args[0].kind == "name" and a.args[0].value == "rows"
             if plain or of_field:
                 found[repr(n)] = n
                 return True
