@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.patterns import to_jvm
+from tarn.operators.commands import tagged
 
 OPERATORS = {
     "=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
@@ -94,7 +95,7 @@ def assign_class(records: DataFrame, field: str | None, tags: str | None, by_tag
     """Class of a record: its own field, else a tag (or a tag above it), else the last query that matches, else the fallback."""
     choices = [F.nullif(F.col(field), F.lit(""))] if field else []
     if tags:
-        choices += [F.when(F.exists(tags, lambda x, t=t: (x == t) | x.startswith(t + "/")), F.lit(c)) for t, c in by_tag.items()]
+        choices += [F.when(tagged(t, tags), F.lit(c)) for t, c in by_tag.items()]
     choices += [F.when(test, F.lit(c)) for test, c in reversed(queries)]
     choices.append(F.lit(fallback).cast("string"))
     return records.withColumn("assigned_class", F.coalesce(*choices))

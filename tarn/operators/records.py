@@ -1,6 +1,6 @@
 """Validation of records against their schemas: one scan, no join, no shuffle.
 
-Schemas are known on the driver, so each becomes a Column expression: an array of violations, empty if the record is valid. A record's
+Schemas are known on the driver, so each different one becomes a Column expression: an array of violations, empty if the record is valid. A record's
 fields are either typed columns or one VARIANT; both offer the same view (:class:`Value`) to the rules. All violations are reported; within one
 field the first failing rule counts.
 """
@@ -38,13 +38,8 @@ class Value:
     element: Callable[[Column], Value] | None = None
 
     @classmethod
-    def of_variant(cls, fields: Column, name: str) -> Value:
-        path = "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
-        return cls.of_value(F.variant_get(fields, path, "variant"))
-
-    @classmethod
-    def of_value(cls, value: Column) -> Value:
-        kind = F.schema_of_variant(value)
+    def of_value(cls, value: Column, kind: Column | None = None) -> Value:
+        kind = F.schema_of_variant(value) if kind is None else kind
         is_array = kind.startswith("ARRAY")
         return cls(
             present=value.isNotNull(), null=F.coalesce(F.is_variant_null(value), F.lit(False)), string=kind == "STRING",
@@ -128,34 +123,44 @@ def violations_of(prop: Property, v: Value, modulo_steps: bool = False) -> Colum
     return F.when(~v.present, missing).otherwise(shaped)
 
 
-def schema_violations(schema: Schema, fields: Column | Mapping[str, tuple[Column, T.DataType]], modulo_steps: bool = False) -> Column:
+def schema_violations(schema: Schema, values: Mapping[str, Value], modulo_steps: bool = False) -> Column:
     """Array of all violations of a record by the schema's resolved properties, sorted by property name."""
-    parts = []
-    for prop in sorted(schema.effective, key=lambda p: p.name):
-        if isinstance(fields, Mapping):
-            absent = (F.lit(None).cast("string"), T.StringType())
-            value = Value.of_column(*fields.get(prop.name, absent))
-        else:
-            value = Value.of_variant(fields, prop.name)
-        parts.append(violations_of(prop, value, modulo_steps))
+    absent = Value.of_column(F.lit(None).cast("string"), T.StringType())
+    parts = [violations_of(p, values.get(p.name, absent), modulo_steps) for p in sorted(schema.effective, key=lambda p: p.name)]
     return F.concat(*parts) if parts else F.array().cast(f"array<{VIOLATION}>")
 
 
 def validate(records: DataFrame, schemas: Mapping[str, Schema], fields: str | list[str], schema_column: str | None = None, schema: str | None = None, modulo_steps: bool = False) -> DataFrame:
     """Adds ``violations`` (array) and ``valid``. Fields are a VARIANT column, or a list of typed columns. The schema is fixed, or named by a
     column, matched exactly; an unknown name is itself a violation."""
-    source: Column | Mapping = F.col(fields) if isinstance(fields, str) else {c: (F.col(c), records.schema[c].dataType) for c in fields}
+    groups: dict[tuple[Property, ...], list[str]] = {}
+    for key in [schema] if schema is not None else sorted(schemas):  # schemas that agree share one rule set, whatever their number
+        groups.setdefault(schemas[key].effective, []).append(key)
+    if isinstance(fields, str):
+        base, source = extracted(records, fields, sorted({p.name for own in groups for p in own}))
+    else:
+        base, source = records, {c: Value.of_column(F.col(c), records.schema[c].dataType) for c in fields}
     if schema is not None:
         found = schema_violations(schemas[schema], source, modulo_steps)
     else:
         name = F.col(schema_column)
-        case = None
-        for key in sorted(schemas):
-            own = schema_violations(schemas[key], source, modulo_steps)
-            case = F.when(name == key, own) if case is None else case.when(name == key, own)
         unknown = F.array(F.struct(F.lit("fileClass").alias("field"), F.lit("schema not found").alias("reason"), F.lit("schema").alias("constraint"), name.cast("string").alias("value")))
+        case = None
+        for keys in groups.values():
+            own = schema_violations(schemas[keys[0]], source, modulo_steps)
+            case = F.when(name.isin(keys), own) if case is None else case.when(name.isin(keys), own)
         found = unknown if case is None else case.otherwise(unknown)
-    return records.withColumn("violations", found).withColumn("valid", F.size("violations") == 0)
+    checked = base.withColumn("violations", found).drop(*(c for c in base.columns if c not in records.columns))
+    return checked.withColumn("valid", F.size("violations") == 0)
+
+
+def extracted(records: DataFrame, fields: str, names: list[str]) -> tuple[DataFrame, dict[str, Value]]:
+    """The records with what the rules need of each property in a column of its own, and these as values: each property is taken out of its VARIANT
+    once, however many rules and schemas look at it."""
+    path = lambda name: "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    taken = records.select("*", *(F.variant_get(F.col(fields), path(n), "variant").alias(f"__value{i}") for i, n in enumerate(names)))
+    kinds = taken.select("*", *(F.schema_of_variant(f"__value{i}").alias(f"__kind{i}") for i in range(len(names))))
+    return kinds, {n: Value.of_value(F.col(f"__value{i}"), F.col(f"__kind{i}")) for i, n in enumerate(names)}
 
 
 def violation_rows(validated: DataFrame, keep: list[str]) -> DataFrame:

@@ -351,10 +351,13 @@ class Compiler:
         """Type of an expression over lambda variables, which can't be selected alone."""
         if not self.names or not mentions(node, set(self.names)):
             return None
-        if node.kind == "field" and node.args[0].kind == "name" and node.args[0].value in self.names:
-            outer = self.names[node.args[0].value][1]
-            return outer[node.value].dataType if isinstance(outer, T.StructType) and node.value in outer.names else T.StringType()
-        return T.BooleanType() if node.kind in ("compare", "and", "or", "not") else T.StringType()
+        alone = {name: (F.lit(None).cast(kind), kind) for name, (_, kind) in self.names.items()}
+        return self.kind(Compiler(self.df, self.clock, self.this, alone, self.look_up).plain(node))
+
+    def plain(self, node: Node) -> Column:
+        """Compiles with variables that are columns of their own."""
+        self.element_kind = lambda _: None  # type: ignore[method-assign]
+        return self.compile(node)
 
     def true(self, node: Node) -> Column:
         if node.kind in ("and", "or", "not"):
@@ -479,6 +482,8 @@ class Compiler:
         raise QueryError(f"unknown field file.{name}")
 
     def literal(self, node: Node) -> Any:
+        if node.kind == "arithmetic" and node.value == "-" and repr(node.args[0]) == repr(Node("literal", 0)):
+            return -self.literal(node.args[1])
         if node.kind != "literal":
             raise QueryError("this argument must be a literal")
         return node.value

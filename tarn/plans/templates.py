@@ -168,7 +168,7 @@ def compile_template(content: str, data: Callable[[str], Column] = F.col, clock:
             else:
                 out.append(shown(pipeline(p.text, p.line)))
         if inner:
-            raise TemplateError("missing end", parts[-1].line)
+            raise TemplateError("missing end", max(p.line for p in parts))
         return F.concat(*out) if out else F.lit(""), i, ""
 
     return block(0, False)[0]

@@ -194,3 +194,15 @@ def test_table_form_agrees_with_driver_form(spark):
         spark.createDataFrame([(s.name, x) for s in schemas for x in s.excludes], "schema string, property string"),
     ).collect()
     assert {(r.schema, r.property, r.definition) for r in got} == {(n, p.name, p.type) for n, s in resolve_all(schemas).items() for p in s.resolved}
+
+
+def test_many_schemas_share_rule_sets(spark):
+    same = Schema("x", (Property("a", "number", min=1), Property("b", required=True)))
+    df = spark.createDataFrame([(f"s{i % 600}", '{"a": %d}' % (i % 3)) for i in range(60)], "name string, text string").withColumn("fields", F.parse_json("text"))
+    one, many = (records.validate(df, {f"s{i}": same for i in range(n)}, "fields", schema_column="name") for n in (60, 500))
+    size = lambda d: len(d._jdf.queryExecution().optimizedPlan().toString())
+    rows = many.collect()
+    assert [len(r.violations) for r in rows] == [1 + (i % 3 == 0) for i in range(60)] and [r.violations for r in rows] == [r.violations for r in one.collect()]
+    assert size(many) < size(one) + 500 * 20  # names only
+    # a property's VARIANT is looked up once for all rules
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("$['a']") <= 2
