@@ -44,8 +44,8 @@ WINDOW, ANCHOR = 100, 40
 CHUNK = 1 << 16
 #: Bytes of contexts that are sorted as one text, and bytes of many texts that are sorted in step.
 TEXT_BYTES, STEP_BYTES = 32_768, 1 << 20
-#: Rows that are judged at a time where they stream by.
-STREAM_ROWS = 1 << 16
+#: Rows that are judged, and bytes of contexts that are compared, at a time where they stream by.
+STREAM_ROWS, STREAM_BYTES = 1 << 16, 1 << 24
 _rng = np.random.default_rng(20)
 #: A random number for each byte value; hashes are polynomials of these in an odd base modulo 2^64.
 VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -296,7 +296,7 @@ def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places.append(a[open_])
         texts += batch.column(4).filter(pa.array(open_)).to_pylist()
         total += int((b - a)[open_].sum())
-        if total > STEP_BYTES:  # all whole anchors; the last one may go on
+        if total > STREAM_BYTES:  # all whole anchors; the last one may go on
             key, doc, place = np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
             n = len(key) - int((key[::-1] != key[-1]).argmax()) if key[0] != key[-1] else 0
             if n:

@@ -89,6 +89,7 @@ def test_pieces_of_a_hot_anchor(spark, monkeypatch, most):
     monkeypatch.setattr(suffixes, "TEXT_BYTES", most)
     monkeypatch.setattr(suffixes, "STEP_BYTES", 4 * most)
     monkeypatch.setattr(suffixes, "STREAM_ROWS", 7)
+    monkeypatch.setattr(suffixes, "STREAM_BYTES", 4 * most)
     rng = random.Random(8)
     word = lambda k: "".join(rng.choice("ab") for _ in range(k))
     phrase = "".join(rng.choice("klmnopqrst") for _ in range(55))
