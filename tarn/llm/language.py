@@ -136,12 +136,12 @@ def learn(df: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = labelled.where(place <= parts[F.col("lang")]).groupBy("lang", place.alias("place")).agg(F.first("text").alias("text"))
 
     def work(lang: pa.Array, place: pa.Array, texts: list) -> dict:
-        bags = [bag(t) if LETTER.search(t) else ([], []) for t in texts]
-        return {"lang": lang, "place": place, "rows": [b[0] for b in bags], "counts": [b[1] for b in bags]}
+        bags = [np.array(bag(t), np.uint32).tobytes() if LETTER.search(t) else b"" for t in texts]
+        return {"lang": lang, "place": place, "bag": bags}
 
-    rows = map_rows(chosen, ["lang", "place", "text"], work, "lang string, place bigint, rows array<int>, counts array<int>").collect()
-    ordered = sorted(((r.lang, r.place, r.rows, r.counts) for r in rows if r.rows))
-    return fit([(np.array(r), np.array(n), lang) for lang, _, r, n in ordered])
+    rows = map_rows(chosen, ["lang", "place", "text"], work, "lang string, place bigint, bag binary").collect()
+    ordered = sorted((r.lang, r.place, r.bag) for r in rows if r.bag)
+    return fit([(*np.frombuffer(b, np.uint32).reshape(2, -1), lang) for lang, _, b in ordered])
 
 
 def identify(df: DataFrame, model: Model | None = None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
