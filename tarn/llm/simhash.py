@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.batches import checkpointed, map_rows
@@ -167,17 +167,30 @@ def close_edges(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return grouped.mapInArrow(run, "u bigint, v bigint")
 
 
+def clusters(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """(f, cluster, component_id) of each fingerprint in ``distinct`` (fp, rep: its smallest id): the smallest fingerprint and id of its component."""
+    labels = checkpointed(components(close_edges(distinct.select("fp", F.col("fp").alias("rep")), most)))
+    least = distinct.join(labels, F.col("fp") == F.col("node")).groupBy("component").agg(F.min("rep").alias("least")).withColumnRenamed("component", "c")
+    named = labels.join(least, F.col("component") == F.col("c")).select("node", "component", "least")
+    ids = distinct.join(named, F.col("fp") == F.col("node"), "left")
+    # written once, so that a join of rows with it is a plain one whose hot fingerprints Spark can split over tasks
+    return checkpointed(ids.select(F.col("fp").alias("f"), F.coalesce("component", "fp").alias("cluster"), F.coalesce("least", "rep").alias("component_id")))
+
+
 def labelled(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", most: int = MOST_BITS) -> DataFrame:
     """The ``keep`` columns (with doc_id), ``fp``, ``cluster`` (the smallest fingerprint of the component) and ``component_id`` of every row.
     Fingerprints are the nodes, so rows without an id link others too."""
     hashed = checkpointed(fingerprints(df, keep, text))
     distinct = checkpointed(hashed.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    labels = checkpointed(components(close_edges(distinct.select("fp", F.col("fp").alias("rep")), most)))
-    least = distinct.join(labels, F.col("fp") == F.col("node")).groupBy("component").agg(F.min("rep").alias("least")).withColumnRenamed("component", "c")
-    named = labels.join(least, F.col("component") == F.col("c")).select("node", "component", "least")
-    ids = distinct.join(named, F.col("fp") == F.col("node"), "left")
-    ids = ids.select(F.col("fp").alias("f"), F.coalesce("component", "fp").alias("cluster"), F.coalesce("least", "rep").alias("component_id"))
-    return hashed.join(ids, F.col("fp") == F.col("f")).select(*keep, "fp", "cluster", "component_id")
+    return hashed.join(clusters(distinct, most), F.col("fp") == F.col("f")).select(*keep, "fp", "cluster", "component_id")
+
+
+def firsts(hashed: DataFrame, order: list[Column], most: int = MOST_BITS) -> DataFrame:
+    """The row of ``hashed`` (fp and the columns of ``order``) that comes first by ``order`` in each component. Rows meet as minima by
+    fingerprint, so thousands of copies are one row of every join."""
+    distinct = checkpointed(hashed.groupBy("fp").agg(F.min(F.struct(*order)).alias("best")))
+    found = clusters(distinct.select("fp", F.lit(None).cast("long").alias("rep")), most)
+    return distinct.join(found, F.col("fp") == F.col("f")).groupBy("cluster").agg(F.min("best").alias("best")).select("best.*")
 
 
 def group(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", most: int = MOST_BITS) -> DataFrame:
