@@ -216,6 +216,46 @@ WITH sized AS (
   FROM placed
 )
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM taken
+""",
+    # PageRank by 300 rounds of a recursive query, when 0.85^300 of the start is left
+    "op8_urls": r"""
+WITH RECURSIVE parsed AS (
+  SELECT page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), matched AS (
+  SELECT *, CASE WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/' WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parsed
+), ruled AS (
+  SELECT *, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS decided FROM matched
+), hosts AS (
+  SELECT host, count(*) AS pages, count(*) FILTER (WHERE decided = 'allow') AS allowed, count(*) FILTER (WHERE decided = 'block') AS blocked FROM ruled WHERE host <> '' GROUP BY host
+), links AS (
+  SELECT DISTINCT host AS src, translate(unnest(regexp_extract_all(html, '(?is)href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM ruled
+), ways AS (
+  SELECT 'trust' AS kind, src, dst FROM links WHERE src <> '' AND dst <> '' AND src <> dst UNION ALL SELECT 'distrust', dst, src FROM links WHERE src <> '' AND dst <> '' AND src <> dst
+), parts AS (
+  SELECT kind, src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind, src) AS part FROM ways
+), seeds AS (
+  SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS weight
+  FROM (SELECT 'trust' AS kind, host FROM hosts WHERE allowed * 2 > pages UNION ALL SELECT 'distrust', host FROM hosts WHERE blocked * 2 > pages)
+), nodes AS (
+  SELECT kind, host FROM (VALUES ('trust'), ('distrust')) k(kind), (SELECT host FROM hosts UNION SELECT dst FROM links WHERE dst <> '') h
+), walk AS (
+  SELECT 0 AS step, n.kind, n.host, coalesce(s.weight, 0.0)::DOUBLE AS score FROM nodes n LEFT JOIN seeds s ON n.kind = s.kind AND n.host = s.host
+  UNION ALL
+  SELECT w.step + 1, w.kind, w.host,
+         0.85::DOUBLE * coalesce(g.got, 0.0) + (1.0::DOUBLE - 0.85::DOUBLE * coalesce(sum(g.got) OVER (PARTITION BY w.kind), 0.0)) * coalesce(s.weight, 0.0)
+  FROM walk w
+  LEFT JOIN (SELECT p.kind, p.dst, sum(x.score * p.part) AS got FROM walk x JOIN parts p ON x.kind = p.kind AND x.host = p.src GROUP BY p.kind, p.dst) g ON g.kind = w.kind AND g.dst = w.host
+  LEFT JOIN seeds s ON s.kind = w.kind AND s.host = w.host
+  WHERE w.step < 300
+), scores AS (
+  SELECT host, sum(score) FILTER (WHERE kind = 'trust') AS trust, sum(score) FILTER (WHERE kind = 'distrust') AS distrust FROM walk WHERE step = 300 GROUP BY host
+)
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.decided, CASE WHEN s.distrust > s.trust + 0.05::DOUBLE / (SELECT count(*) FROM hosts) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN scores s ON r.host = s.host AND r.host <> ''
 """,
     # exact search (factor 1): products are added in the order of the dimensions, as the operator does
     "op9_neighbours": """
