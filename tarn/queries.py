@@ -488,12 +488,12 @@ def text_functions(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT doc_id, string_split(left(text, 60), ' ') AS l FROM documents)
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS l FROM documents)
 SELECT doc_id, len(l) AS n, array_to_string(list_sort(l), '|') AS sorted, array_to_string(list_reverse(l), '|') AS backwards, array_to_string(l[1:3], '|') AS head, list_contains(l, 'the') AS has_the,
   len(list_filter(l, lambda x: length(x) > 4)) AS long, array_to_string(list_transform(l, lambda x: length(x)), ' ') AS lengths FROM w
 """)
 def list_functions(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("doc_id", F.split(F.left("text", F.lit(60)), " ").alias("l"))
+    df = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("l"))
     kind = df.schema["l"].dataType
     item = F.col("l")
     return df.select(
