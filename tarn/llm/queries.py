@@ -80,6 +80,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality": op2_quality,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_neighbours": op9_neighbours,
     "op10_bpe": op10_bpe,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
