@@ -80,6 +80,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tarn.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.path("piece_bpe_32k.model"), with_groups=False)[0]
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.whitening import whiten
 
@@ -97,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_neighbours": op9_neighbours,
     "op10_bpe": op10_bpe,
+    "op12_alignment": op12_alignment,
     "op13_whitening": op13_whitening,
 }
 
