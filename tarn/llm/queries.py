@@ -80,6 +80,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.exact import deduplicate
+
+    return deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_neighbours": op9_neighbours,
     "op10_bpe": op10_bpe,
+    "op11_exact": op11_exact,
     "op12_alignment": op12_alignment,
     "op13_whitening": op13_whitening,
 }
@@ -203,6 +210,16 @@ WITH docs AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND measure IS NULL AS kept, CASE WHEN base_failed THEN 'base' ELSE measure END AS reason
 FROM based LEFT JOIN broken USING (id)
+""",
+    # groups by the text itself; the digest is only shown
+    "op11_exact": r"""
+WITH texts AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content, row_number() OVER () AS at FROM documents
+), ranked AS (
+  SELECT doc_id, content, count(*) OVER (PARTITION BY content) AS group_size, first_value(doc_id) OVER o AS keep_id, row_number() OVER o = 1 AS kept
+  FROM texts WINDOW o AS (PARTITION BY content ORDER BY chars DESC, doc_id NULLS LAST, at)
+)
+SELECT doc_id, keep_id, group_size, kept, sha256(content) AS text_sha256 FROM ranked
 """,
     # the documents of a source in the order of their hashes, up to the one at which the sum comes nearest to the rest of its target
     "op7_mixing": r"""
