@@ -214,10 +214,10 @@ FROM based LEFT JOIN broken USING (id)
     # groups by the text itself; the digest is only shown
     "op11_exact": r"""
 WITH texts AS (
-  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content, row_number() OVER () AS at FROM documents
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content, row_number() OVER () AS place FROM documents
 ), ranked AS (
   SELECT doc_id, content, count(*) OVER (PARTITION BY content) AS group_size, first_value(doc_id) OVER o AS keep_id, row_number() OVER o = 1 AS kept
-  FROM texts WINDOW o AS (PARTITION BY content ORDER BY chars DESC, doc_id NULLS LAST, at)
+  FROM texts WINDOW o AS (PARTITION BY content ORDER BY chars DESC, doc_id NULLS LAST, place)
 )
 SELECT doc_id, keep_id, group_size, kept, sha256(content) AS text_sha256 FROM ranked
 """,
