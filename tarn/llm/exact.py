@@ -30,11 +30,12 @@ from tarn.llm.batches import shared_folder
 SPACE = r"[\x20\x09-\x0D]"
 BUCKET_BITS = 17
 LOCATOR = ("file", "row")
-#: RocksDB keeps the state on disk; its memory is bounded for an executor, whatever the number of its state partitions.
+#: RocksDB keeps the state on disk; its memory is bounded for an executor, whatever the number of its state partitions, and no disk is set aside before it is used.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
