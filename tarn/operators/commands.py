@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tarn.functions import dynamic
 from tarn.functions.values import truthy
+from tarn.plans import groups
 
 # ---- sources ----
 
@@ -52,6 +54,24 @@ def group_rows(df: DataFrame, key: Column, name: str = "key", order: list[Column
     return df.groupBy(key.alias(name)).agg(F.array_sort(rows).alias("rows"))
 
 
+def grouped(df: DataFrame, key: Column, kind: T.DataType, name: str, aggregates: dict[str, Column], with_rows: bool) -> DataFrame:
+    """Groups by a key of any type with some aggregates and, if wanted, the list of their rows (in the order of all fields that can be compared)."""
+    found = [c.alias(n) for n, c in aggregates.items()]
+    if with_rows:
+        order = [c for c in df.schema if groups.orderable(c.dataType)]
+        field_ = lambda f: F.col(f"`{f.name}`")
+        if len(order) == len(df.columns):
+            rows = F.array_sort(F.collect_list(F.struct(*map(field_, df.schema))))
+        else:
+            keyed = F.collect_list(F.struct(F.struct(*map(field_, order)).alias("order"), F.struct(*map(field_, df.schema)).alias("row")))
+            rows = F.transform(F.array_sort(keyed, lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0)), lambda x: x["row"])
+        found.append(rows.alias("rows"))
+    if dynamic.is_value(kind):
+        return df.groupBy(dynamic.key(key).alias("__key")).agg(F.first(key).alias(name), *found).drop("__key")
+    key = key.alias(name)
+    return df.groupBy(key).agg(*found) if found else df.select(key).distinct()
+
+
 def group_aggregate(df: DataFrame, keys: dict[str, Column] | None, aggregates: dict[str, Column]) -> DataFrame:
     """Aggregates of groups, summed up before the shuffle; without keys one row for everything."""
     exprs = [c.alias(n) for n, c in aggregates.items()]

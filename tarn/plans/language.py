@@ -12,12 +12,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.functions import dates, durations, paths, values
+from tarn.functions import dates, durations, dynamic, paths, values
 from tarn.operators import commands, links, tasks
+from tarn.plans import groups
 
 
 class QueryError(ValueError):
@@ -75,6 +77,9 @@ class Query:
     with_id: bool
     commands: list[tuple[str, Any]]
 
+    def expressions(self) -> list[Node]:
+        return [n for n, _ in self.columns] + [n for w, p in self.commands for n in nodes_of(w, p)]
+
 
 class Reader:
     def __init__(self, text: str):
@@ -255,6 +260,11 @@ class Reader:
 
     # the query
 
+    def command(self) -> bool:
+        """Whether a command follows, not a function of its name (``sort(…)`` without a blank)."""
+        after = self.tokens[self.at + 1] if self.at + 1 < len(self.tokens) else None
+        return self.peek(*COMMANDS) and not (after and after.text == "(" and after.start == self.tokens[self.at].end)
+
     def named(self) -> tuple[Node, str | None]:
         start = self.at
         node = self.expression()
@@ -272,7 +282,7 @@ class Reader:
             self.need("ID")
             with_id = False
         columns: list[tuple[Node, str | None]] = []
-        while self.at < len(self.tokens) and not self.peek(*COMMANDS):
+        while self.at < len(self.tokens) and not self.command():
             if columns:
                 self.need(",")
             columns.append(self.named())
@@ -334,25 +344,53 @@ EACH: dict[str, Callable[[Column], Column]] = {
 class Compiler:
     """Expressions over a DataFrame's columns."""
 
-    def __init__(self, df: DataFrame, clock: Column, this: dict[str, Any], names: dict[str, tuple[Column, T.DataType]] | None = None, look_up: Callable[[str, str], Any] | None = None):
-        self.df, self.clock, self.this, self.names = df, clock, this, names or {}
-        self.look_up = look_up or (lambda target, name: None)
+    def __init__(self, df: DataFrame, clock: Column, this: dict[str, Any], names: dict[str, tuple[Column, T.DataType]] | None = None, look_up: Callable[[str, str], Any] | None = None, blank: DataFrame | None = None):
+        self.df, self.clock, self.this, self.names, self.blank = df, clock, this, names or {}, blank
+        self.kinds = {f.name: f.dataType for f in df.schema}
+        self.look_up = look_up or (lambda target, name: F.lit(None).cast("string"))
 
     def kind(self, column: Column) -> T.DataType:
-        return self.df.select(column.alias("t")).schema[0].dataType
+        if self.blank is None:  # types are asked of an empty table of this schema, whose plan is small however long the query
+            self.blank = self.df.sparkSession.createDataFrame([], self.df.schema)
+        return self.blank.select(column.alias("t")).schema[0].dataType
+
+    def inside(self, names: dict[str, tuple[Column, T.DataType]]) -> Compiler:
+        """The compiler of a lambda's body."""
+        return Compiler(self.df, self.clock, self.this, names, self.look_up, self.blank)
 
     def typed(self, node: Node) -> tuple[Column, T.DataType]:
         if node.kind == "name" and node.value in self.names:
             return self.names[node.value]
         column = self.compile(node)
-        return column, self.element_kind(node) or self.kind(column)
+        kind = self.known_kind(node) or self.element_kind(node) or self.kind(column)
+        return (dynamic.of_variant(column), dynamic.VALUE) if isinstance(kind, T.VariantType) else (column, kind)
+
+    def value(self, node: Node) -> Column:
+        """An expression of any type as a value that carries its type."""
+        return dynamic.of(*self.typed(node))
+
+    def coerced(self, node: Node, name: str) -> Column:
+        """An expression where a function wants one type: that part of a value, other columns as they are."""
+        column, kind = self.typed(node)
+        return value_part(column, name) if dynamic.is_value(kind) else column
+
+    def known_kind(self, node: Node) -> T.DataType | None:
+        """Type of a literal or a column, which needs no planning."""
+        if node.kind == "literal":
+            return {str: T.StringType(), bool: T.BooleanType(), type(None): T.NullType()}.get(type(node.value))
+        path = dotted(node)
+        if not path or path[0] in self.names:
+            return None
+        names = [path[0]] if len(path) == 1 else []
+        found = next((n for n in (*names, LINKED + ".".join(path), HEADER + ".".join(path)) if n in self.kinds), None)
+        return found and self.kinds[found]
 
     def element_kind(self, node: Node) -> T.DataType | None:
         """Type of an expression over lambda variables, which can't be selected alone."""
         if not self.names or not mentions(node, set(self.names)):
             return None
         alone = {name: (F.lit(None).cast(kind), kind) for name, (_, kind) in self.names.items()}
-        return self.kind(Compiler(self.df, self.clock, self.this, alone, self.look_up).plain(node))
+        return self.kind(self.inside(alone).plain(node))
 
     def plain(self, node: Node) -> Column:
         """Compiles with variables that are columns of their own."""
@@ -362,12 +400,13 @@ class Compiler:
     def true(self, node: Node) -> Column:
         if node.kind in ("and", "or", "not"):
             return self.compile(node)
-        return values.truthy(*self.typed(node))
+        column, kind = self.typed(node)
+        return dynamic.truthy(dynamic.of(column, kind)) if dynamic.is_value(kind) else values.truthy(column, kind)
 
     def column(self, name: str) -> Column:
         if name in self.names:
             return self.names[name][0]
-        found = [c for c in self.df.columns if c == name] or [c for c in self.df.columns if clean(c) == clean(name)]
+        found = [c for c in self.df.columns if c == name] or [c for c in self.df.columns if clean(c) == clean(name) or c == HEADER + name]
         return F.col(f"`{found[0]}`") if found else F.lit(None).cast("string")
 
     def compile(self, node: Node) -> Column:
@@ -390,8 +429,12 @@ class Compiler:
             return self.arithmetic(node.value, *args)
         if k == "field":
             return self.field(args[0], node.value)
+        if k == "index" and args[0].kind == "name" and args[0].value == "row" and args[1].kind == "literal" and "row" not in self.names:
+            return self.column(str(args[1].value))
         if k == "index":
             holder, kind = self.typed(args[0])
+            if dynamic.is_value(kind):
+                return dynamic.at(holder, self.value(args[1]))
             if isinstance(kind, T.ArrayType):
                 return F.get(holder, self.compile(args[1]).cast("int"))
             if args[1].kind == "literal":
@@ -402,8 +445,11 @@ class Compiler:
         raise QueryError(f"{k} is not a value")
 
     def compare(self, op: str, a: Node, b: Node) -> Column:
-        """Comparison of values of one type; null equals null, and values of different types are never equal."""
+        """Comparison of values of one type; null equals null, and values of different types are never equal. Where a type is only known row by row, as in
+        headers, values of different types have an order too, and null is below all others (:func:`dynamic.key`); a column that is null has no order."""
         (left, lk), (right, rk) = self.typed(a), self.typed(b)
+        if any(map(dynamic.is_value, (lk, rk))) or any(map(dynamic.is_list, (lk, rk))):
+            return dynamic.compare(op, dynamic.key_of(left, lk), dynamic.key_of(right, rk))
         same = values.type_name(lk) == values.type_name(rk) or isinstance(lk, T.NullType) or isinstance(rk, T.NullType)
         if isinstance(lk, T.StructType) and {"path", "embed"} <= set(lk.names):
             left, lk = left["path"], T.StringType()
@@ -412,6 +458,7 @@ class Compiler:
         same = same or (isinstance(lk, T.StringType) and isinstance(rk, T.StringType))
         if not same:
             return F.lit(op == "!=")
+        left, right = (durations.length(c) if values.type_name(k) == "duration" else c for c, k in ((left, lk), (right, rk)))
         if op == "=":
             return left.eqNullSafe(right)
         if op == "!=":
@@ -421,14 +468,34 @@ class Compiler:
     def arithmetic(self, op: str, a: Node, b: Node) -> Column:
         (left, lk), (right, rk) = self.typed(a), self.typed(b)
         ln, rn = values.type_name(lk), values.type_name(rk)
+        if dynamic.is_value(lk) or dynamic.is_value(rk):
+            left, right = dynamic.of(left, lk), dynamic.of(right, rk)
+            if a.kind == "literal" and a.value == 0 and op == "-":  # a minus before a value
+                return dynamic.scale("*", right, dynamic.make("number", number=F.lit(-1.0)))
+            return dynamic.add(left, right, 1 if op == "+" else -1) if op in "+-" else dynamic.scale(op, left, right)
+        if "null" in (ln, rn) and "string" not in (ln, rn):
+            return F.lit(None)
         if op == "+" and "string" in (ln, rn):
-            return F.concat(F.coalesce(left.cast("string"), F.lit("")), F.coalesce(right.cast("string"), F.lit("")))
+            shown = [F.coalesce(durations.text(c) if n == "duration" else c.cast("string"), F.lit("")) for c, n in ((left, ln), (right, rn))]
+            return F.concat(*shown)
         if op == "*" and ln == "string":
             return F.repeat(left, right.cast("int"))
-        if ln == "date" and rn == "duration":
+        if op in "+-" and ln == "date" and rn == "duration":
             return durations.plus(left, right, 1 if op == "+" else -1)
+        if op == "+" and ln == "duration" and rn == "date":
+            return durations.plus(right, left)
         if ln == "date" and rn == "date" and op == "-":
             return F.struct(F.lit(0).alias("months"), (F.unix_micros(left.cast("timestamp")) - F.unix_micros(right.cast("timestamp"))).alias("micros"))
+        if op in "+-" and ln == rn == "duration":
+            return durations.add(left, right, 1 if op == "+" else -1)
+        if op in "*/" and ln == "duration" and rn == "number":
+            return durations.times(left, right if op == "*" else F.try_divide(F.lit(1.0), right))
+        if op == "*" and ln == "number" and rn == "duration":
+            return durations.times(right, left)
+        if op == "-" and rn == "duration" and a.kind == "literal" and a.value == 0:
+            return durations.times(right, F.lit(-1))
+        if (ln, rn) != ("number", "number"):
+            raise QueryError(f"{op} is not defined for {ln} and {rn}")
         return {"+": lambda: left + right, "-": lambda: left - right, "*": lambda: left * right, "/": lambda: F.try_divide(left, right), "%": lambda: left % F.nullif(right, F.lit(0))}[op]()
 
     def field(self, holder: Node, name: str) -> Column:
@@ -441,17 +508,31 @@ class Compiler:
         if holder.kind == "name" and holder.value == "file" and "file" not in self.df.columns and "file" not in self.names:
             return self.file_field(name, self.column("path"), {c: F.col(f"`{c}`") for c in self.df.columns})
         if holder.kind == "link":
-            return F.lit(self.look_up(holder.value[0], name))
-        if holder.kind == "name" and f"__{holder.value}.{name}" in self.df.columns:
-            return F.col(f"`__{holder.value}.{name}`")
+            known = f"{LINKED}[[{holder.value[0]}]].{name}"
+            return F.col(f"`{known}`") if known in self.df.columns else self.look_up(holder.value[0], name)
+        path = dotted(Node("field", name, [holder]))
+        if path and path[0] not in self.names:
+            for prefix in (LINKED, HEADER):
+                if prefix + ".".join(path) in self.df.columns:
+                    return F.col(f"`{prefix}{'.'.join(path)}`")
+        if dotted(holder) == ["file", "frontmatter"]:
+            whole = self.compile(holder)
+            if isinstance(self.kind(whole), T.VariantType):
+                return dynamic.of_variant(header_part(whole, name))
         column, kind = self.typed(holder)
+        if dynamic.is_value(kind):
+            return dynamic.field(column, name)
+        if dynamic.is_list(kind):
+            return F.transform(column, lambda x: dynamic.field(x, name))
         if isinstance(kind, T.ArrayType):
             inner = kind.elementType
             if isinstance(inner, T.StructType):
-                found = next((c for c in inner.names if clean(c) == clean(name)), None)
+                found = next((c for c in inner.names if clean(c) == clean(name) or c == HEADER + name), None)
                 return F.transform(column, lambda x: x[found]) if found else F.lit(None).cast("array<string>")
+        if values.type_name(kind) == "duration" and name in durations.PARTS:
+            return durations.part(column, name)
         if isinstance(kind, T.StructType):
-            found = next((c for c in kind.names if clean(c) == clean(name)), None)
+            found = next((c for c in kind.names if clean(c) == clean(name) or c == HEADER + name), None)
             return column[found] if found else F.lit(None).cast("string")
         if isinstance(kind, T.MapType):
             return F.try_element_at(column, F.lit(name))
@@ -493,46 +574,155 @@ class Compiler:
         if node.kind != "lambda":
             raise QueryError("expected a function such as (x) => x")
         name = node.value[0]
-        return lambda x: Compiler(self.df, self.clock, self.this, {**self.names, name: (x, kind)}, self.look_up).compile(node.args[0])
+        return lambda x: self.inside({**self.names, name: (x, kind)}).compile(node.args[0])
+
+    def key(self, node: Node, kind: T.DataType) -> Callable[[Column], Column]:
+        """A lambda as a function to something that can be ordered."""
+        if node.kind != "lambda":
+            raise QueryError("expected a function such as (x) => x")
+        name = node.value[0]
+        return lambda x: order_of(*self.inside({**self.names, name: (x, kind)}).typed(node.args[0]))
+
+    def nullable(self, node: Node) -> bool:
+        """Whether an expression is a plain field, which may be unset in a row."""
+        return node.kind in ("name", "field") and not (node.kind == "name" and node.value in self.names)
+
+    def of_value(self, name: str, value: Column, args: list[Node]) -> Column | None:
+        """Functions of a value whose type is known row by row; None for those that take its text, its date or its elements."""
+        rest = [self.value(a) for a in args[1:] if a.kind != "lambda"] if name in ("contains", "icontains", "econtains", "default", "ldefault") else []
+        if name == "length":
+            return dynamic.length(value)
+        if name in ("lower", "upper"):
+            change = EACH[name]
+            return dynamic.each(value, lambda v: F.when(v["kind"] == "string", dynamic.make("string", text=change(v["text"]))).otherwise(v))
+        if name in ("floor", "ceil", "trunc", "round"):
+            digits = self.literal(args[1]) if len(args) > 1 else 0
+            change = (lambda c: F.round(c, digits)) if name == "round" else EACH[name]
+            return dynamic.each(value, lambda v: F.when(v["kind"] == "number", dynamic.make("number", number=change(v["number"]))).otherwise(dynamic.null()))
+        if name == "number":
+            found = lambda v: F.when(v["kind"] == "number", v["number"]).otherwise(values.number(dynamic.scalar_text(v)))
+            return found(value)
+        if name == "string":
+            return dynamic.text(value)
+        if name == "join":
+            return values.join(F.transform(dynamic.items(value), dynamic.text), self.literal(args[1]) if len(args) > 1 else ", ")
+        if name in ("contains", "icontains", "econtains"):
+            fold = (lambda c: F.lower(c)) if name == "icontains" else (lambda c: c)
+            part = rest[0]
+            wanted = fold(dynamic.scalar_text(part))
+            same = lambda x: dynamic.key(x).eqNullSafe(dynamic.key(part)) if name != "icontains" else fold(dynamic.scalar_text(x)) == wanted
+            named = F.map_contains_key(F.try_variant_get(value["raw"], "$", "map<string,variant>"), F.coalesce(part["text"], F.lit("")))
+            inside = F.contains(fold(value["text"]), wanted)
+            return F.when(value["kind"] == "array", F.exists(dynamic.items(value), same)).when(value["kind"] == "object", named).otherwise(F.coalesce(inside, F.lit(False)))
+        if name in ("default", "ldefault"):
+            each = dynamic.each if name == "default" else (lambda v, f: f(v))
+            return each(value, lambda v: F.when(v["kind"] == "null", rest[0]).otherwise(v))
+        if name == "meta":
+            return self.compile(args[0])
+        if name == "extract":
+            keys = [self.literal(a) for a in args[1:]]
+            return F.to_variant_object(F.map_filter(F.try_variant_get(value["raw"], "$", "map<string,variant>"), lambda k, v: k.isin(keys)))
+        return None
+
+    def of_values(self, name: str, column: Column, args: list[Node]) -> Column | None:
+        """Functions of a list whose elements each have their own type; None for those that work on any list."""
+        if len(args) == 1 and name in ("sum", "product", "average"):
+            return {"sum": dynamic.total, "product": dynamic.product, "average": dynamic.average}[name](column)
+        if len(args) == 1 and name in ("min", "max"):
+            return F.coalesce(dynamic.extreme(F.filter(column, lambda x: x["kind"] != "null"), dynamic.key, name == "max"), dynamic.null())
+        if name in ("unique", "distinct"):
+            return values.distinct_by(column, self.key(args[1], dynamic.VALUE) if len(args) > 1 else dynamic.key)
+        if name == "nonnull":
+            return F.filter(column, lambda x: x["kind"] != "null")
+        if name == "join":
+            return values.join(F.transform(column, dynamic.text), self.literal(args[1]) if len(args) > 1 else ", ")
+        if name == "flat":
+            return F.flatten(F.transform(column, dynamic.items))
+        if name in ("contains", "icontains", "econtains", "indexof"):
+            wanted = dynamic.key(self.value(args[1]))
+            if name == "indexof":
+                return F.coalesce(F.array_position(F.transform(column, dynamic.key), wanted), F.lit(0)) - 1
+            return F.exists(column, lambda x: dynamic.key(x).eqNullSafe(wanted))
+        if name in ("all", "any", "none", "every", "some") and len(args) == 1:
+            name = {"every": "all", "some": "any"}.get(name, name)
+            found = F.forall(column, dynamic.truthy) if name == "all" else F.exists(column, dynamic.truthy)
+            return ~found if name == "none" else found
+        if name in EACH or name == "round":
+            return F.transform(column, lambda x: dynamic.of(self.of_value(name, x, args), T.DoubleType() if name == "number" else T.StringType() if name == "string" else dynamic.VALUE))
+        return None
 
     def test(self, node: Node, kind: T.DataType) -> Callable[[Column], Column]:
         name = node.value[0]
-        return lambda x: Compiler(self.df, self.clock, self.this, {**self.names, name: (x, kind)}, self.look_up).true(node.args[0])
+        return lambda x: self.inside({**self.names, name: (x, kind)}).true(node.args[0])
 
     def call(self, name: str, args: list[Node]) -> Column:
         if name in ("list", "array"):
-            return F.array(*map(self.compile, args))
+            found = [self.typed(a) for a in args]
+            if len({values.type_name(k) for _, k in found} - {"null"}) > 1 or any(dynamic.is_value(k) for _, k in found):
+                return F.array(*(dynamic.of(c, k) for c, k in found))
+            return F.array(*(c for c, _ in found))
         if name == "object":
             return F.struct(*(self.compile(v).alias(self.literal(k)) for k, v in zip(args[::2], args[1::2])))
         if name == "date":
             if args[0].kind == "name" and args[0].value in ("today", "now", "tomorrow", "yesterday", "sow", "som", "soy", "eow", "eom", "eoy"):
                 return dates.keyword(args[0].value, self.clock)
             column, kind = self.typed(args[0])
+            if dynamic.is_value(kind):
+                linked = F.when(column["kind"] == "link", dates.file_day(column["text"]).cast("timestamp"))
+                return F.coalesce(dynamic.moment(column), linked, dates.date(dynamic.string(column), self.literal(args[1]) if len(args) > 1 else None))
             if values.type_name(kind) == "date":
                 return column
             if values.type_name(kind) == "link":
                 return dates.file_day(column["path"]).cast("timestamp")
             return dates.date(column, self.literal(args[1]) if len(args) > 1 else None)
         if name == "dur":
-            return durations.duration(self.compile(args[0]))
+            column, kind = self.typed(args[0])
+            if dynamic.is_value(kind):
+                return F.coalesce(dynamic.duration(column), durations.duration(dynamic.string(column)))
+            return column if values.type_name(kind) == "duration" else durations.duration(column)
         if name == "link":
-            return values.link(self.compile(args[0]), self.compile(args[1]) if len(args) > 1 else None)
+            return values.link(self.coerced(args[0], "string"), self.coerced(args[1], "string") if len(args) > 1 else None)
         if name == "embed":
             inner = self.compile(args[0])
             return values.link(inner["path"], inner["display"], embed=True)
         if name == "elink":
             return values.external_link(self.compile(args[0]), self.compile(args[1]) if len(args) > 1 else None)
         if name == "typeof":
-            return F.lit(values.type_name(self.typed(args[0])[1]))
+            column, kind = self.typed(args[0])
+            return column["kind"] if dynamic.is_value(kind) else F.when(column.isNull(), "null").otherwise(values.type_name(kind)) if self.nullable(args[0]) else F.lit(values.type_name(kind))
         if name == "meta":
             return self.compile(args[0])
         if name == "choice":
-            return F.when(self.true(args[0]), self.compile(args[1])).otherwise(self.compile(args[2]))
+            (yes, yk), (no, nk) = self.typed(args[1]), self.typed(args[2])
+            if dynamic.is_value(yk) or dynamic.is_value(nk) or len({values.type_name(k) for k in (yk, nk)} - {"null"}) > 1:
+                yes, no = dynamic.of(yes, yk), dynamic.of(no, nk)
+            return F.when(self.true(args[0]), yes).otherwise(no)
         if name in ("min", "max") and len(args) > 1:
-            return (F.least if name == "min" else F.greatest)(*map(self.compile, args))
+            found = [self.typed(a) for a in args]
+            if any(dynamic.is_value(k) for _, k in found) or len({values.type_name(k) for _, k in found} - {"null"}) > 1:
+                return dynamic.extreme(F.array(*(dynamic.of(c, k) for c, k in found)), dynamic.key, name == "max")
+            if all(values.type_name(k) == "duration" for _, k in found):
+                return values.by_key(F.array(*(c for c, _ in found)), durations.length, name == "max")
+            return (F.least if name == "min" else F.greatest)(*(c for c, _ in found))
         if not args:
             raise QueryError(f"{name} needs an argument")
         column, kind = self.typed(args[0])
+        if dynamic.is_value(kind):
+            found = self.of_value(name, column, args)
+            if found is not None:
+                return found
+            if name in TEXT_FUNCTIONS:
+                column, kind = dynamic.string(column), T.StringType()
+            elif name in DATE_FUNCTIONS:
+                column, kind = dynamic.moment(column), T.TimestampType()
+            elif name == "durationformat":
+                column = dynamic.duration(column)
+            else:
+                column, kind = dynamic.items(column), dynamic.LIST
+        if dynamic.is_list(kind):
+            found = self.of_values(name, column, args)
+            if found is not None:
+                return found
         many = isinstance(kind, T.ArrayType)
         inner = kind.elementType if many else kind
         if name == "striptime":
@@ -546,14 +736,25 @@ class Compiler:
             "sum": values.total, "product": values.product, "average": values.average, "min": F.array_min, "max": F.array_max, "reverse": F.reverse, "nonnull": F.array_compact,
             "length": lambda c: F.size(c) if isinstance(kind, (T.ArrayType, T.MapType)) else F.length(c), "unique": F.array_distinct, "flat": F.flatten,
         }
-        if name == "sum" and many and values.type_name(inner) == "duration":
-            return durations.total(column)
+        if many and values.type_name(inner) == "duration":
+            if name in ("sum", "average"):
+                whole = F.when(F.size(column) > 0, durations.total(column))
+                return whole if name == "sum" else durations.times(whole, F.try_divide(F.lit(1.0), F.size(column)))
+            if name in ("min", "max"):
+                return values.by_key(column, durations.length, name == "max")
         if name in simple and len(args) == 1:
             return simple[name](column)
         if name == "sort":
-            return F.array_sort(column) if len(args) == 1 else F.transform(F.array_sort(F.transform(column, lambda x: F.struct(self.function(args[1], inner)(x).alias("k"), x.alias("v")))), lambda s: s["v"])
+            way = self.literal(args[-1]) if len(args) > 1 and args[-1].kind == "literal" else "asc"
+            if way not in ("asc", "desc"):
+                raise QueryError(f"sort goes asc or desc, not {way}")
+            if len(args) > 1 and args[1].kind == "lambda":
+                return dynamic.sorted_by(column, self.key(args[1], inner), way == "desc")
+            if way == "asc" and groups.orderable(inner) and values.type_name(inner) != "duration":
+                return F.array_sort(column)
+            return dynamic.sorted_by(column, lambda x: order_of(x, inner), way == "desc")
         if name in ("minby", "maxby"):
-            return values.by_key(column, self.function(args[1], inner), name == "maxby")
+            return values.by_key(column, self.key(args[1], inner), name == "maxby")
         if name in ("contains", "icontains", "econtains"):
             return values.contains(column, self.compile(args[1]), kind, fold=name == "icontains")
         if name == "containsword":
@@ -579,6 +780,8 @@ class Compiler:
             return F.transform(column, self.function(args[1], inner))
         if name in ("regextest", "regexmatch"):
             subject, subject_kind = self.typed(args[1])
+            if dynamic.is_value(subject_kind):
+                subject, subject_kind = dynamic.string(subject), T.StringType()
             return values.each(subject, lambda c: values.regex_test(self.literal(args[0]), c, name == "regexmatch"), isinstance(subject_kind, T.ArrayType))
         if name == "regexreplace":
             return values.regex_replace(column, self.literal(args[1]), self.literal(args[2]), many)
@@ -624,6 +827,60 @@ class Compiler:
         raise QueryError(f"unknown function {name}")
 
 
+#: Functions that read the text, and those that read the date, of a value whose type is known row by row.
+TEXT_FUNCTIONS = {"containsword", "regextest", "regexmatch", "regexreplace", "replace", "split", "startswith", "endswith", "padleft", "padright", "substring", "truncate"}
+DATE_FUNCTIONS = {"dateformat", "striptime", "localtime"}
+#: Columns that the engine adds: header fields by their path, and fields of linked notes.
+HEADER, LINKED = "__header.", "__linked."
+
+
+def with_fields(known: list[str], names: list[str]) -> Callable[[Column], Column]:
+    """A struct of values with more of them: ``a.b`` is the field b of the struct's a."""
+    return lambda s: F.struct(*(s[k].alias(k) for k in known), *(dynamic.field(s[n.rpartition(".")[0]], n.rpartition(".")[2]).alias(n) for n in names))
+
+
+def value_part(value: Column, name: str) -> Column:
+    return {"string": dynamic.string, "moment": dynamic.moment, "duration": dynamic.duration, "number": lambda v: v["number"]}[name](value)
+
+
+def order_of(column: Column, kind: T.DataType) -> Column:
+    """Something that Spark can sort and compare, in the order of the language; null for null."""
+    if dynamic.is_value(kind):
+        return F.when(column["kind"] != "null", dynamic.key(column))
+    if dynamic.is_list(kind) or isinstance(kind, (T.VariantType, T.MapType)):
+        return F.when(column.isNotNull(), dynamic.key_of(column, kind))
+    return durations.length(column) if values.type_name(kind) == "duration" else column
+
+
+#: Names with a meaning of their own in ``date(today)`` and the like.
+KEYWORDS = {"today", "now", "tomorrow", "yesterday", "sow", "som", "soy", "eow", "eom", "eoy"}
+LINK_PARTS = ("path", "display", "subpath", "type", "embed")
+
+
+def as_shown(column: Column, kind: T.DataType) -> Column:
+    """A result's column: values by their text."""
+    if dynamic.is_value(kind):
+        return dynamic.text(column)
+    return F.transform(column, dynamic.text) if dynamic.is_list(kind) else column
+
+
+def dotted(node: Node) -> list[str]:
+    """``a.b.c`` as its names; empty for other expressions."""
+    if node.kind == "name":
+        return [node.value]
+    if node.kind == "field":
+        before = dotted(node.args[0])
+        return before and [*before, node.value]
+    return []
+
+
+def header_part(header: Column, name: str) -> Column:
+    """The VARIANT below a name: as it is written, else in the cleaned form of names."""
+    path = lambda n: '$["' + n.replace("\\", "\\\\").replace('"', '\\"') + '"]'
+    found = F.try_variant_get(header, path(name), "variant")
+    return found if clean(name) == name else F.coalesce(found, F.try_variant_get(header, path(clean(name)), "variant"))
+
+
 def clean(name: str) -> str:
     return re.sub(r"[^\w]+", "-", name.strip().lower())
 
@@ -646,28 +903,100 @@ class Engine:
     path: str = "path"
     tags: str = "tags"
     views: dict[str, Callable[[Engine, Any], DataFrame]] = field(default_factory=dict)
+    #: Header fields that hold links and may be followed (columns of links always may).
+    link_fields: tuple[str, ...] = ()
 
-    def look_up(self, target: str, name: str) -> Any:
-        """A field of the note with this path or name; null if there is none."""
-        wanted = next((c for c in self.notes.columns if clean(c) == clean(name)), None)
-        if wanted is None:
-            return None
+    def look_up(self, target: str, name: str) -> Column:
+        """A field of the note with this path or name, as a subquery of one row; null if there is none."""
         path = F.col(self.path)
-        row = self.notes.where((path == target) | (path == target + ".md") | (paths.basename(path) == target)).select(F.col(f"`{wanted}`")).orderBy(path).first()
-        return None if row is None else row[0]
+        own = self.notes.where((path == target) | (path == target + ".md") | (paths.basename(path) == target))
+        own = self.with_headers(own, [Node("name", name)])
+        return own.agg(F.min_by(Compiler(own, self.now, self.this).column(name), path)).scalar()
+
+    @property
+    def now(self) -> Column:
+        return F.current_timestamp() if self.clock is None else self.clock
+
+    def header(self) -> str | None:
+        """The VARIANT column with the notes' own fields: header and inline fields together, else the header alone."""
+        return next((c for c in ("metadata", "fields") if c in self.notes.columns and isinstance(self.notes.schema[c].dataType, T.VariantType)), None)
+
+    def unknown_names(self, nodes: list[Node]) -> list[list[str]]:
+        """Names, and paths that begin with them, that are no columns: header fields, if anything."""
+        bound = {name for n in nodes for x in walk(n) if x.kind == "lambda" for name in x.value}
+        columns = {clean(c) for c in self.notes.columns} | bound | {"this", "file", "row", "rows"}
+        found: dict[str, list[str]] = {}
+        for n in (x for node in nodes for x in walk(node)):
+            path = [n.args[1].value] if n.kind == "index" and repr(n.args[0]) == repr(Node("name", "row")) and isinstance(n.args[1].value, str) else dotted(n)
+            path = path[1:] if path[:1] == ["rows"] else path
+            if path and path[0] not in columns and clean(path[0]) not in columns:
+                for n in range(1, len(path) + 1):
+                    found[".".join(path[:n])] = path[:n]
+        return sorted(found.values(), key=len)
+
+    def with_headers(self, df: DataFrame, nodes: list[Node]) -> DataFrame:
+        """A column for each header path that the expressions name, each path taken out of the VARIANT once."""
+        header, wanted = self.header(), {".".join(p): p for p in self.unknown_names(nodes) if HEADER + ".".join(p) not in df.columns}
+        if header is None or not wanted:
+            return df
+        depths: dict[int, list[str]] = {}
+        for name, path in wanted.items():
+            depths.setdefault(len(path), []).append(name)
+        found = F.struct(*(dynamic.of_variant(header_part(F.col(header), n)).alias(n) for n in depths.pop(1)))
+        known = [n for n, path in wanted.items() if len(path) == 1]
+        for _, names in sorted(depths.items()):
+            found, known = dynamic.bind(found, with_fields(known, names)), known + names
+        # one row from one row: unlike a projection, a generator isn't repeated in every filter and column that reads it
+        df = df.select("*", F.explode(F.array(found)).alias("__headers"))
+        return df.select(*(F.col(f"`{c}`") for c in df.columns if c != "__headers"), *(F.col("__headers")[n].alias(HEADER + n) for n in known))
 
     def with_linked(self, df: DataFrame, nodes: list[Node]) -> DataFrame:
-        """Fields of linked notes that the query reads (``owner.age``, owner being a link), joined once for each link column."""
-        wanted: dict[str, set[str]] = {}
-        for n in (x for node in nodes for x in walk(node)):
-            if n.kind == "field" and n.args[0].kind == "name" and n.args[0].value in df.columns and values.type_name(df.schema[n.args[0].value].dataType) == "link":
-                if n.value not in df.schema[n.args[0].value].dataType.names and n.value in self.notes.columns:
-                    wanted.setdefault(n.args[0].value, set()).add(n.value)
-        for column, names in wanted.items():
-            target = self.notes.select(F.col(self.path).alias("__key"), *(F.col(f"`{x}`").alias(f"__{column}.{x}") for x in sorted(names)))
-            df = df.join(target, F.col(column)["path"] == F.col("__key"), "left").drop("__key")
+        """Fields of linked notes that the expressions read (``owner.team.name``): the tail of a chain is joined to the notes of the hop before it, each note once, and rows are
+        joined to the whole chain in one join. Paths that begin alike share their hops."""
+        bound = {name for n in nodes for x in walk(n) if x.kind == "lambda" for name in x.value}
+        roots: dict[str, dict] = {}
+        for path in (dotted(x) for node in nodes for x in walk(node)):
+            if len(path) > 1 and path[0] not in bound and self.is_link(df, path[0]):
+                tree = roots
+                for name in path:
+                    tree = tree.setdefault(name, {})
+        for n in (x for node in nodes for x in walk(node) if x.kind == "field" and x.args[0].kind == "link"):
+            if (column := f"{LINKED}[[{n.args[0].value[0]}]].{n.value}") not in df.columns:
+                df = df.withColumn(column, self.look_up(n.args[0].value[0], n.value))
+        for root, tree in roots.items():
+            if set(tree) - set(LINK_PARTS):
+                df = self.followed(df, Compiler(df, self.now, self.this).column(root), root, tree)
         return df
 
+    def is_link(self, df: DataFrame, name: str) -> bool:
+        return name in self.link_fields or (name in df.columns and values.type_name(df.schema[name].dataType) == "link")
+
+    def followed(self, df: DataFrame, link: Column, root: str, tree: dict) -> DataFrame:
+        """The rows with ``tree`` of the notes that a link column names, under the name of the path."""
+        tree = {name: below for name, below in tree.items() if name not in LINK_PARTS}  # these are the link's own
+        kind = df.select(link.alias("t")).schema[0].dataType
+        target = F.when(link["kind"] == "link", link["text"]) if dynamic.is_value(kind) else link["path"]
+        pages = self.pages(tree)
+        renamed = pages.select(F.col("__key"), *(F.col(f"page.`{c}`").alias(f"{LINKED}{root}.{c}") for c in pages.schema["page"].dataType.names))
+        return df.join(renamed, target == F.col("__key"), "left").drop("__key")
+
+    def pages(self, tree: dict) -> DataFrame:
+        """(__key, page) for every name that a link may use: a note's path with or without its ending, or its base name (the first path of several). ``page`` has a
+        field for each path of the tree."""
+        notes = self.with_headers(self.notes, [Node("name", name) for name in tree])
+        for name, below in tree.items():
+            compiler = Compiler(notes, self.now, self.this)
+            if set(below) - set(LINK_PARTS) and self.is_link(notes, name):
+                notes = self.followed(notes, compiler.column(name), name, below)
+        compiler = Compiler(notes, self.now, self.this)
+        path = F.col(self.path)
+        short = F.regexp_replace(path, r"\.md$", "")
+        keys = F.array_distinct(F.array(path, short, paths.basename(path), paths.basename(short)))
+        shown = [compiler.column(name).alias(name) for name in tree]
+        deeper = [F.col(f"`{c}`").alias(c.removeprefix(LINKED)) for c in notes.columns if c.startswith(LINKED)]
+        found = notes.select(F.explode(keys).alias("__key"), path.alias("__path"), F.struct(*shown, *deeper).alias("page"))
+        return found.groupBy("__key").agg(F.min_by("page", "__path").alias("page"))
+
     def view(self, name: str, given: Any = None) -> DataFrame:
         """The result of a registered script."""
         if name not in self.views:
@@ -685,9 +1014,16 @@ class Engine:
         return result.select(commands.markdown_table(result).alias("line"))
 
     def query(self, text: str) -> DataFrame:
-        parsed = read(text)
-        df = self.with_linked(self.notes, [n for n, _ in parsed.columns] + [n for w, p in parsed.commands for n in nodes_of(w, p)])
-        now = F.current_timestamp() if self.clock is None else self.clock
+        return self.planned(read(text))
+
+    def planned(self, parsed: Query) -> DataFrame:
+        every = parsed.expressions()
+        folds, whole = groups.folds_in(every, Node)
+        every += [n for fold in folds.values() for n in fold.nodes()]
+        if whole:  # fields of listed rows may be header fields too
+            every += [Node("name", n.value) for node in every for n in walk(node) if n.kind == "field"]
+        df = self.with_linked(self.with_headers(self.notes, every), every)
+        now = self.now
         steps, at = parsed.commands, 0
         grouped = False
         columns = list(parsed.columns)
@@ -700,59 +1036,67 @@ class Engine:
             elif word == "where":
                 df = df.where(compiler.true(part))
             elif word == "flatten":
-                node, name = part
-                df = commands.flatten(df, compiler.compile(node), name)
+                column, kind = compiler.typed(part[0])
+                if dynamic.is_value(kind):
+                    df = commands.flatten(df, dynamic.items(column), part[1])
+                    df = df.withColumn(part[1], F.coalesce(F.col(f"`{part[1]}`"), dynamic.null()))
+                else:
+                    df = commands.flatten(df, column, part[1])
             elif word == "sort":
-                df = commands.sort(df, *((compiler.compile(n), way) for n, way in part))
+                df = commands.sort(df, *((order_of(*compiler.typed(n)), way) for n, way in part))
             elif word == "limit":
                 df = df.limit(part)
             else:
                 node, name = part
                 rest = [n for w, p in steps[at:] for n in nodes_of(w, p)] + [n for n, _ in columns]
-                direct = aggregates_of(rest)
-                if direct is not None:
-                    made = {f"__agg{i}": self.aggregate(compiler, n) for i, n in enumerate(direct)}
-                    swap = {repr(n): Node("name", k) for k, n in zip(made, direct)}
-                    key = compiler.compile(node).alias(name)
-                    df = df.groupBy(key).agg(*(c.alias(k) for k, c in made.items())) if made else df.select(key).distinct()
-                    steps = steps[:at] + [(w, rewrite(p, swap)) for w, p in steps[at:]]
-                    columns = [(rewrite(n, swap), t) for n, t in columns]
-                else:
-                    df = commands.group_rows(df, compiler.compile(node), name)
+                found, whole = groups.folds_in(rest, Node)
+                made = {f"__agg{i}": groups.aggregate(compiler, fold) for i, fold in enumerate(found.values())}
+                swap = {text: Node("name", k) for k, text in zip(made, found)}
+                df = commands.grouped(df, *compiler.typed(node), name, made, whole)
+                steps = steps[:at] + [(w, rewrite(p, swap)) for w, p in steps[at:]]
+                columns = [(rewrite(n, swap), t) for n, t in columns]
                 grouped, self_key = True, name
         compiler = Compiler(df, now, self.this, look_up=self.look_up)
         if parsed.form == "CALENDAR":
-            return commands.calendar(df, compiler.compile(columns[0][0]))
+            column, kind = compiler.typed(columns[0][0])
+            return commands.calendar(df, dynamic.moment(column) if dynamic.is_value(kind) else column)
         if parsed.form == "TASK":
             return df if grouped or not {"line", "parent_line"} <= set(df.columns) else tasks.with_children(self.notes, df)
-        shown = [compiler.compile(n).alias(t or f"value{i}") for i, (n, t) in enumerate(columns)]
+        shown = [as_shown(*compiler.typed(n)).alias(t or f"value{i}") for i, (n, t) in enumerate(columns)]
         if parsed.with_id:
             ident = self_key if grouped else self.ident
-            shown = [F.col(f"`{ident}`"), *shown]
+            shown = [as_shown(F.col(f"`{ident}`"), df.schema[ident].dataType).alias(ident), *shown]
         return df.select(*(shown or [F.col(f"`{self.ident}`")]))
 
     def value(self, expression: str, row: DataFrame) -> DataFrame:
         """One expression on one context row."""
-        compiler = Compiler(row, F.current_timestamp() if self.clock is None else self.clock, self.this, look_up=self.look_up)
-        return row.limit(1).select(compiler.compile(Reader(expression).expression()).alias("value"))
+        node = Reader(expression).expression()
+        row = self.with_headers(row, [node])
+        return row.limit(1).select(as_shown(*Compiler(row, self.now, self.this, look_up=self.look_up).typed(node)).alias("value"))
 
     def try_query(self, text: str) -> tuple[DataFrame | None, str | None]:
-        """(result, error) instead of an exception."""
+        """(result, error) instead of an exception. Unlike :meth:`query`, it also reports a name that is in no column and, after one look at the notes, in no header."""
         try:
-            return self.query(text), None
+            parsed = read(text)
+            if missing := self.missing(parsed):
+                return None, f"unknown field {missing}"
+            return self.planned(parsed), None
         except QueryError as error:
             return None, str(error)
-
-    def aggregate(self, compiler: Compiler, node: Node) -> Column:
-        """Direct aggregate of ``sum(rows.x)`` and the like, with the same nulls as the list form."""
-        inner = node.args[0]
-        if node.value == "length":
-            return F.count(F.lit(1))
-        value = compiler.column(inner.value)
-        if node.value in ("min", "max"):
-            return (F.min if node.value == "min" else F.max)(value)
-        add = {"sum": F.sum, "average": F.avg, "product": F.product}[node.value](value.cast("double"))
-        return F.when(F.count(value) == F.count(F.lit(1)), add)
+        except AnalysisException as error:
+            return None, str(error).split("\n")[0]
+
+    def missing(self, parsed: Query) -> str | None:
+        """The first name of a query that nothing defines."""
+        every = parsed.expressions()
+        given = {clean(p[1]) for w, p in parsed.commands if w in ("group", "flatten")}
+        names = sorted({path[0] for path in self.unknown_names(every)} - KEYWORDS)
+        names = [n for n in names if clean(n) not in given]
+        if not names or self.header() is None:
+            return names[0] if names else None
+        rows = self.with_headers(self.notes, [Node("name", n) for n in names])
+        seen = rows.agg(*(F.bool_or(F.col(f"`{HEADER}{n}`.kind") != "null").alias(f"n{i}") for i, n in enumerate(names))).first()
+        return next((n for i, n in enumerate(names) if not seen[i]), None)
 
     def source(self, df: DataFrame, node: Node) -> DataFrame:
         """Notes of a source. Tags and folders are predicates; link sources are marked by a join on the distinct ends of the links."""
@@ -797,27 +1141,6 @@ def nodes_of(word: str, part: Any) -> list[Node]:
     return [part] if isinstance(part, Node) else []
 
 
-def aggregates_of(nodes: list[Node]) -> list[Node] | None:
-    """The distinct aggregates over ``rows`` in the expressions; None if ``rows`` is used in any other way."""
-    found: dict[str, Node] = {}
-
-    def scan(n: Any) -> bool:
-        if not isinstance(n, Node):
-            return True
-        if n.kind == "call" and len(n.args) == 1:
-            a = n.args[0]
-            plain = n.value == "length" and a.kind == "name" and a.value == "rows"
-            of_field = n.value in ("sum", "min", "max", "average", "product") and a.kind == "field" and a.args[0].kind == "name" and a.args[0].value == "rows"
-            if plain or of_field:
-                found[repr(n)] = n
-                return True
-        if n.kind == "name" and n.value == "rows":
-            return False
-        return all(scan(a) for a in n.args)
-
-    return list(found.values()) if all(scan(n) for n in nodes) else None
-
-
 def rewrite(part: Any, swap: dict[str, Node]) -> Any:
     if isinstance(part, Node):
         return swap.get(repr(part)) or Node(part.kind, part.value, [rewrite(a, swap) for a in part.args])

@@ -576,9 +576,9 @@ def language_links(spark, sf_dir):
 
 
 def _add_other_modules() -> None:
-    from tarn import definition_queries, file_queries, language_queries, lookup_queries, note_queries
+    from tarn import definition_queries, file_queries, header_queries, language_queries, lookup_queries, note_queries
 
-    for module in (note_queries, language_queries, definition_queries, lookup_queries, file_queries):
+    for module in (note_queries, language_queries, header_queries, definition_queries, lookup_queries, file_queries):
         QUERIES.update(module.QUERIES)
         ORACLES.update(module.ORACLES)
 

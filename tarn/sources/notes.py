@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.functions import paths
+from tarn.functions import dynamic, paths
 from tarn.sources.guards import MOST_BYTES
 
 HEADER = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n?^---[ \t]*(?:\r?\n|\z)"
@@ -89,7 +89,7 @@ def file_class(fields: Column, key: str = "fileClass") -> Column:
 def notes(spark: SparkSession, root: str, **options) -> DataFrame:
     found = with_frontmatter(scan(spark, root, **options))
     p = F.col("path")
-    return found.select("path", paths.basename(p).alias("basename"), paths.folder(p).alias("folder"), "mod_time", "size", "file_class", "fields", "body", "header_error", "too_large")
+    return found.select("path", paths.basename(p).alias("basename"), paths.folder(p).alias("folder"), "mod_time", "size", "file_class", "fields", metadata(F.col("fields"), F.col("body")).alias("metadata"), "body", "header_error", "too_large")
 
 
 def clean_key(key: Column) -> Column:
@@ -109,6 +109,49 @@ def inline_fields(rows: DataFrame, key: str = "path", body: str = "body") -> Dat
     return found.groupBy(key, "name").agg(F.transform(ordered, lambda x: x["value"]).alias("values"))
 
 
+NUMBERS = r"^\s*-?\d+(?:\.\d+)?(?:\s*,\s*-?\d+(?:\.\d+)?)+\s*$"
+QUOTED = r"""^\s*"(?:[^"\\]|\\.)*"(?:\s*,\s*"(?:[^"\\]|\\.)*")*\s*,?\s*$"""
+
+
+def inline_value(text: Column) -> Column:
+    """VARIANT of an inline field's text: a number, true or false, a list of numbers or of quoted texts, else the text itself. Dates, durations and links stay texts, which the
+    query language reads by their form."""
+    whole = F.trim(text)
+    listed = F.try_parse_json(F.concat(F.lit("["), F.regexp_replace(whole, r",\s*$", ""), F.lit("]")))
+    return (
+        F.when(F.regexp_like(whole, F.lit(r"^-?\d+(?:\.\d+)?$")), F.try_parse_json(whole))
+        .when(F.lower(whole).isin("true", "false"), F.try_parse_json(F.lower(whole)))
+        .when(F.regexp_like(whole, F.lit(NUMBERS)) | (F.regexp_like(whole, F.lit(QUOTED)) & F.contains(whole, F.lit(","))), listed)
+        .when(F.regexp_like(whole, F.lit(QUOTED)), F.get(F.try_variant_get(listed, "$", "array<variant>"), F.lit(0)))
+        .otherwise(whole.cast("variant"))
+    )
+
+
+def clean_name(key: Column) -> Column:
+    """A key in the form in which queries may also name it: lower case, dashes for what no name has."""
+    return F.regexp_replace(F.lower(F.trim(key)), r"[^\p{L}\p{N}_]+", "-")
+
+
+def metadata(fields: Column, body: Column) -> Column:
+    """All fields of a note as one VARIANT object: the header's and the inline fields' of its text. A key that occurs more than once has the list of its values, in
+    order, header first; keys are there as they are written and in their cleaned form. All inside the row: nothing is shuffled."""
+    found = F.regexp_extract_all(body, F.lit(INLINE), F.lit(0))
+    part = lambda raw, *g: F.coalesce(*(F.nullif(F.regexp_extract(raw, INLINE, i), F.lit("")) for i in g), F.lit(""))
+    written = F.transform(found, lambda raw: F.struct(F.regexp_replace(F.trim(part(raw, 1, 3, 5)), r"[*_~`]", "").alias("key"), inline_value(part(raw, 2, 4, 6)).alias("value")))
+    entry = "array<struct<key: string, value: variant>>"
+    header = F.map_entries(F.try_variant_get(fields, "$", "map<string,variant>"))
+    every = F.concat(F.coalesce(header.cast(entry), F.array().cast(entry)), F.coalesce(written.cast(entry), F.array().cast(entry)))
+    named = F.transform(every, lambda e: F.struct(e["key"].alias("key"), clean_name(e["key"]).alias("clean"), e["value"].alias("value")))
+
+    def gathered(named: Column) -> Column:
+        keys = F.array_distinct(F.concat(F.transform(named, lambda e: e["key"]), F.transform(named, lambda e: e["clean"])))
+        own = lambda k: F.transform(F.filter(named, lambda e: (e["key"] == k) | (e["clean"] == k)), lambda e: e["value"])
+        value = lambda k: dynamic.bind(own(k), lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))).otherwise(v.cast("variant")))
+        return F.to_variant_object(F.map_from_arrays(keys, F.transform(keys, value)))
+
+    return dynamic.bind(named, gathered)
+
+
 def tags(body: str = "body") -> Column:
     """Tags of a text, each with the tags above it."""
     found = F.regexp_extract_all(body, F.lit(r"(?:^|\s)(#[\p{L}\p{N}_/-]+)"), F.lit(1))

@@ -4,11 +4,11 @@ import os
 
 import pytest
 
-from tarn import definition_queries, file_queries, language_queries, lookup_queries
+from tarn import definition_queries, file_queries, header_queries, language_queries, lookup_queries, note_queries
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
-CASES = [(m, n) for m in (language_queries, definition_queries, lookup_queries, file_queries) for n in m.QUERIES]
+CASES = [(m, n) for m in (note_queries, language_queries, header_queries, definition_queries, lookup_queries, file_queries) for n in m.QUERIES]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
 
 
