@@ -126,7 +126,9 @@ class Deduplicator:
         located = "struct<file: string, row: bigint>"
         states = self.table("registry", f"key binary, n bigint, first {located}, stays struct<id: {self.kind}, file: string, row: bigint>, batch bigint")
         last = states.groupBy("key").agg(F.max_by(F.struct("n", "first", "stays"), "batch").alias("state"))
-        return last.select("key", "state.*")
+        path = f"{shared_folder(self.spark, 'known')}/rows"  # a table, so that Spark can split the rows of a hot digest in the joins
+        last.select("key", "state.*").write.parquet(path)
+        return self.spark.read.schema(f"key binary, n bigint, first {located}, stays struct<id: {self.kind}, file: string, row: bigint>").parquet(path)
 
     def fetch(self, wanted: DataFrame) -> DataFrame:
         """``wanted`` rows with the whole normalised text that their locators name. Texts that surely aren't wanted are left out before the shuffle."""
