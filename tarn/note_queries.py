@@ -82,6 +82,14 @@ def task_children(spark, sf_dir):
     return tasks.matching_with_children(items, F.col("completed")).groupBy("path").agg(F.count(F.lit(1)).alias("items"))
 
 
+@query(SQL_ITEMS + """
+SELECT path, r.line AS root, unnest(CASE r.line WHEN 1 THEN [1, 2, 3, 4] WHEN 2 THEN [2, 3] ELSE [r.line] END) AS line FROM i WHERE r.k > 0 AND n % r.k = 0
+""")
+def task_expand(spark, sf_dir):
+    items = task_notes(spark, sf_dir)
+    return tasks.expand(items, items.where("completed")).select("path", F.col("root_line").alias("root"), "line")
+
+
 @query("""
 SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 'Brand#12' WHEN 'Brand#12' THEN 'Brand#13' ELSE 'Brand#11' END AS next, CASE WHEN p_size > 10 THEN 'big' ELSE 'small' END AS choice,
   coalesce(CASE WHEN p_size % 2 = 0 THEN p_size END, -1) AS filled, list_sum([p_size, 1, 2])::DOUBLE AS total, p_size * 2.0::DOUBLE AS product

@@ -8,14 +8,16 @@ from pyspark.sql.window import Window
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Cuts lineage between the rounds of a loop: in the folder that ``spark.checkpoint.dir`` names, else in local mode on this machine."""
+    """Cuts lineage between the rounds of a loop by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; a temporary one in local mode without the setting."""
     context = df.sparkSession.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            return df.localCheckpoint(eager=True)
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="tarn-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 

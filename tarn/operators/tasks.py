@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarn.operators.inheritance import settled
-
 ITEM = r"^(\s*)(?:[-*+]|\d+[.)])\s+(?:\[(.)\]\s+)?(.*)$"
 #: Date marks in a task's text (fixed values) and the field each one sets.
 DATE_MARKS = {"due": ("🗓️", "🗓", "📅"), "completion": ("✅",), "created": ("➕",), "start": ("🛫",), "scheduled": ("⏳",)}
@@ -17,23 +18,66 @@ DATE_MARKS = {"due": ("🗓️", "🗓", "📅"), "completion": ("✅",), "creat
 PRIORITIES = (("⏫", "A"), ("🔼", "B"), ("🔽", "D"))
 
 
+ITEM_LINE = re.compile(ITEM, re.ASCII)
+HEADING = re.compile(r"^#{1,6}\s+(.*)$", re.ASCII)
+
+
+def numbers(parents: list[int | None]) -> list[int]:
+    """The number of the last item below each item, itself if there is none. Items are numbered in pre-order, and ``parents`` has the number of each one's parent."""
+    last = list(range(len(parents)))
+    for i in range(len(parents) - 1, -1, -1):
+        if parents[i] is not None:
+            last[parents[i]] = max(last[parents[i]], last[i])
+    return last
+
+
+def items_of(body: str) -> dict[str, list]:
+    """The list items of one text in one pass: a stack holds the items that the next one may lie below."""
+    out: dict[str, list] = {n: [] for n in ("line", "indent", "status", "text", "section", "parent_line", "nth", "last")}
+    stack: list[tuple[int, int]] = []  # indent and number, indents rising
+    parents: list[int | None] = []
+    section = None
+    for at, line in enumerate(re.split("\r?\n", body)):
+        if heading := HEADING.match(line):
+            section = heading[1] or section
+        found = ITEM_LINE.match(line)
+        if not found:
+            continue
+        indent = len(found[1].replace("\t", "    "))
+        while stack and stack[-1][0] >= indent:
+            stack.pop()
+        parent = stack[-1][1] if stack else None
+        stack.append((indent, len(parents)))
+        row = {"line": at, "indent": indent, "status": found[2], "text": found[3], "section": section, "parent_line": None if parent is None else out["line"][parent], "nth": len(parents)}
+        for name, value in row.items():
+            out[name].append(value)
+        parents.append(parent)
+    out["last"] = numbers(parents)
+    return out
+
+
 def items(notes: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
-    """One row for each list line: path, line, indent, task, status, checked, completed, text, section and the line of its parent."""
-    lines = notes.select(F.col(path).alias("path"), F.posexplode(F.split(F.col(body), "\r?\n")).alias("line", "raw"))
-    in_note = Window.partitionBy("path").orderBy("line")
-    heading = F.nullif(F.regexp_extract("raw", r"^#{1,6}\s+(.*)$", 1), F.lit(""))
-    lines = lines.withColumn("section", F.last(heading, ignorenulls=True).over(in_note.rowsBetween(Window.unboundedPreceding, 0)))
-    found = lines.where(F.col("raw").rlike(ITEM))
-    status = F.nullif(F.regexp_extract("raw", ITEM, 2), F.lit(""))
-    found = found.select(
-        "path", "line", F.length(F.regexp_replace(F.regexp_extract("raw", ITEM, 1), "\t", "    ")).alias("indent"),
-        status.isNotNull().alias("task"), status.alias("status"), F.coalesce(status != " ", F.lit(False)).alias("checked"),
-        F.coalesce(status.isin("x", "X"), F.lit(False)).alias("completed"), F.regexp_extract("raw", ITEM, 3).alias("text"), "section",
+    """One row for each list line: path, line, indent, task, status, checked, completed, text, section, the line of its parent, and its interval in the note's tree: ``nth``,
+    its place among the items, and ``last``, the place of the last item below it. Notes are read one by one, in time linear in their lines."""
+    kind = notes.schema[path].dataType.simpleString()
+    schema = f"path {kind}, line int, indent int, status string, text string, section string, parent_line int, nth int, last int"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if text := batch.column(1)[i].as_py():
+                    found = items_of(text)
+                    own = pa.array([batch.column(0)[i].as_py()] * len(found["line"]), batch.column(0).type)
+                    types = {"status": pa.string(), "text": pa.string(), "section": pa.string()}
+                    yield pa.record_batch([own, *(pa.array(v, types.get(n, pa.int32())) for n, v in found.items())], names=["path", *found])
+
+    order = "path, line, indent, status, text, section, parent_line, nth, last".split(", ")
+    found = notes.select(F.col(path).alias("path"), F.col(body).alias("body")).mapInArrow(run, schema).select(*order)
+    status = F.col("status")
+    return found.select(
+        "path", "line", "indent", status.isNotNull().alias("task"), "status", F.coalesce(status != " ", F.lit(False)).alias("checked"), F.coalesce(status.isin("x", "X"), F.lit(False)).alias("completed"),
+        "text", "section", "parent_line", "nth", "last",
     )
-    # the parent is the last line before with a smaller indent; the lines of a note fit in one row of its window
-    earlier = F.collect_list(F.struct("line", "indent")).over(in_note.rowsBetween(Window.unboundedPreceding, -1))
-    above = F.filter(earlier, lambda x: x["indent"] < F.col("indent"))
-    return found.withColumn("parent_line", F.try_element_at(above, F.lit(-1))["line"])
 
 
 def marked_date(text: Column, field: str) -> Column:
@@ -78,42 +122,71 @@ def timeline(tasks: DataFrame) -> DataFrame:
     return happenings(tasks).groupBy("day", "what").agg(F.count(F.lit(1)).alias("tasks"))
 
 
-def closure(found: DataFrame, key: str = "path") -> DataFrame:
-    """(path, ancestor, line, depth): every item with each item above it, itself at depth 0, at any depth. Each round doubles the levels that are
-    joined; items that lie above themselves are an error."""
-    items_ = found.select(F.col(key).alias("path"), "line", "parent_line")
-    reach = settled(items_.select("path", "line", F.col("line").alias("ancestor"), F.lit(0).alias("depth")))
-    jump = settled(items_.where("parent_line is not null").select("path", "line", F.col("parent_line").alias("to")))
-    most = reach.groupBy("path").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    levels = 1
-    while not jump.isEmpty():
-        if levels > most:
+def numbered(found: DataFrame) -> DataFrame:
+    """Items with their intervals ``nth`` and ``last``. Items of :func:`items` have them; others get them from ``parent_line``, note by note. Items that lie above themselves
+    are an error."""
+    if {"nth", "last"} <= set(found.columns):
+        return found
+    kind = found.schema["path"].dataType.simpleString()
+
+    def number(table: pa.Table) -> pa.Table:
+        lines, above = table["line"].to_pylist(), dict(zip(table["line"].to_pylist(), table["parent_line"].to_pylist()))
+        below: dict[int | None, list[int]] = {}
+        for line in sorted(lines, reverse=True):
+            below.setdefault(above[line] if above[line] in above else None, []).append(line)
+        nth, parents, stack = {}, [], [(line, None) for line in below.get(None, [])]
+        while stack:
+            line, parent = stack.pop()
+            nth[line] = len(parents)
+            parents.append(parent)
+            stack += [(child, nth[line]) for child in below.get(line, [])]
+        if len(nth) < len(above):
             raise ValueError("items lie above themselves")
-        above = reach.select(F.col("path").alias("p"), F.col("line").alias("l"), "ancestor", "depth")
-        more = jump.join(above, (F.col("path") == F.col("p")) & (F.col("to") == F.col("l"))).select("path", "line", "ancestor", (F.col("depth") + levels).alias("depth"))
-        reach = settled(reach.union(more))
-        onward = jump.select(F.col("path").alias("p"), F.col("line").alias("l"), F.col("to").alias("next"))
-        jump = settled(jump.join(onward, (F.col("path") == F.col("p")) & (F.col("to") == F.col("l"))).select("path", "line", F.col("next").alias("to")))
-        levels *= 2
-    return reach.select("path", "ancestor", "line", "depth")
+        last = numbers(parents)
+        return pa.table({"path": table["path"], "line": table["line"].cast(pa.int32()), "nth": pa.array([nth[x] for x in lines], pa.int32()), "last": pa.array([last[nth[x]] for x in lines], pa.int32())})
+
+    ids = found.select("path", F.col("line").cast("int").alias("line"), F.col("parent_line").cast("int").alias("parent_line"))
+    intervals = ids.groupBy("path").applyInArrow(number, f"path {kind}, line int, nth int, last int")
+    renamed = intervals.select(F.col("path").alias("p"), F.col("line").alias("l"), "nth", "last")
+    return found.join(renamed, F.col("path").eqNullSafe(F.col("p")) & (F.col("line") == F.col("l"))).drop("p", "l")
+
+
+def expand(found: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(path, root_line, …): each chosen item with every item below it, in any depth, as rows of ``found``. The interval of an item names its descendants, so the work is that of the
+    result."""
+    roots = numbered(chosen).select(F.col("path").alias("p"), F.col("line").alias("root_line"), F.explode(F.sequence("nth", "last")).alias("n"))
+    columns = [c for c in found.columns if c != "path"]
+    joined = numbered(found).join(roots, F.col("path").eqNullSafe(F.col("p")) & (F.col("nth") == F.col("n")))
+    return joined.select("path", "root_line", *columns)
+
+
+def closure(found: DataFrame) -> DataFrame:
+    """(path, ancestor, line, depth): every item with each item above it, itself at depth 0. As large as all chains together; the functions below do without it."""
+    depth = F.row_number().over(Window.partitionBy("path", "line").orderBy(F.desc("root_line"))) - 1
+    return expand(found, found).select("path", F.col("root_line").alias("ancestor"), "line", depth.alias("depth"))
 
 
 def fully_completed(found: DataFrame) -> DataFrame:
-    """(path, line, fully_completed): a task and all tasks below it are completed."""
-    below = closure(found).join(found.select(F.col("path").alias("p"), F.col("line").alias("l"), "task", "completed"), (F.col("path") == F.col("p")) & (F.col("line") == F.col("l")))
-    return below.groupBy("path", F.col("ancestor").alias("line")).agg(F.bool_and(~F.col("task") | F.col("completed")).alias("fully_completed"))
+    """(path, line, fully_completed): a task and all tasks below it are completed. Open tasks are counted along the note; an interval without any is completed."""
+    open_ = (F.col("task") & ~F.col("completed")).cast("int")
+    along = Window.partitionBy("path").orderBy("nth")
+    rows = numbered(found).select("path", "line", "nth", "last", open_.alias("open")).withColumn("upto", F.sum("open").over(along))
+    ends = rows.select(F.col("path").alias("p"), F.col("nth").alias("end"), F.col("upto").alias("end_upto"))
+    joined = rows.join(ends, F.col("path").eqNullSafe(F.col("p")) & (F.col("last") == F.col("end")))
+    return joined.select("path", "line", (F.col("end_upto") == F.col("upto") - F.col("open")).alias("fully_completed"))
 
 
 def matching_with_children(found: DataFrame, test: Column) -> DataFrame:
-    """Items that meet the test or lie below one that does."""
-    return with_children(found, found.where(test))
+    """Items that meet the test or lie below one that does. Intervals are nested, so an item lies in one of those before it exactly if the farthest of them reaches it."""
+    reach = F.max(F.when(test, F.col("last"))).over(Window.partitionBy("path").orderBy("nth"))
+    return numbered(found).withColumn("__reach", reach).where(F.col("__reach") >= F.col("nth")).select(*found.columns)
 
 
 def with_children(found: DataFrame, chosen: DataFrame) -> DataFrame:
     """Items of ``found`` that are among the chosen or lie below one of them."""
-    hit = chosen.select(F.col("path").alias("p"), F.col("line").alias("a"))
-    below = closure(found).join(hit, (F.col("path") == F.col("p")) & (F.col("ancestor") == F.col("a")), "left_semi").select(F.col("path").alias("p"), F.col("line").alias("l")).distinct()
-    return found.join(below, (F.col("path") == F.col("p")) & (F.col("line") == F.col("l")), "left_semi")
+    hit = chosen.select(F.col("path").alias("p"), F.col("line").alias("l"), F.lit(True).alias("__hit")).distinct()
+    marked = found.join(hit, F.col("path").eqNullSafe(F.col("p")) & (F.col("line") == F.col("l")), "left").drop("p", "l")
+    return matching_with_children(marked, F.coalesce("__hit", F.lit(False))).select(*found.columns)
 
 
 #: Filters of task lists by name; each takes the task's columns and a date where it needs one.
