@@ -186,7 +186,7 @@ def customer_notes(spark: SparkSession, sf_dir: str) -> Engine:
     none = F.lit(None).cast("string")
     nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("nations/"), "n_name", F.lit(".md")).alias("path"), F.col("n_name").alias("title"), F.col("n_regionkey").alias("region"), values.link(none).alias("nation"), F.lit("nation").alias("type"))
     names = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    own = table(spark, sf_dir, "customer").join(F.broadcast(names), F.col("c_nationkey") == F.col("n_nationkey"))
+    own = table(spark, sf_dir, "customer").join(names, F.col("c_nationkey") == F.col("n_nationkey"))
     people = own.select(F.concat(F.lit("people/"), "c_name", F.lit(".md")).alias("path"), F.col("c_name").alias("title"), F.lit(None).cast(nations.schema["region"].dataType).alias("region"), values.link(F.concat(F.lit("nations/"), "n_name", F.lit(".md"))).alias("nation"), F.lit("person").alias("type"))
     return Engine(people.union(nations), clock=clock(), this={"path": "nations/FRANCE.md"})
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import dates, durations, numbers, paths, values
 from tarn.operators import commands, inheritance, links, lookups, records, tasks
+from tarn.operators.asof import as_of_join
 from tarn.operators.definitions import Property, Schema, resolve_all
 from tarn.plans.language import Engine
 from tarn.plans.templates import render
@@ -349,8 +350,40 @@ def previous_next(spark, sf_dir):
 @query("SELECT event_id, ts FROM events WHERE ts < (SELECT ts FROM events WHERE event_id = 50) ORDER BY ts DESC LIMIT 1")
 def previous_record(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts")
-    moment = events.where("event_id = 50").select("ts").first()[0]
-    return commands.as_of(events, "ts", F.lit(moment).cast("timestamp_ntz"))
+    moment = events.where("event_id = 50").select("ts").scalar()  # a subquery of the plan
+    return commands.as_of(events, "ts", moment)
+
+
+SQL_MOMENTS = """
+WITH e AS (SELECT event_id, event_type, user_id % 10 AS u, TIMESTAMP '1995-06-01' + to_days((event_id * 7919 % 1400)::INTEGER) + to_hours(event_id % 5) AS t FROM events),
+o AS (SELECT o_orderkey, o_custkey % 10 AS u, o_orderdate AS t FROM orders)
+"""
+
+
+def moments(spark, sf_dir):
+    """Events moved among the days of the orders, many at one moment, and orders, both by the last digit of their user."""
+    n = F.col("event_id")
+    moved = F.timestamp_micros(F.unix_micros(F.lit("1995-06-01 00:00:00").cast("timestamp")) + (n * 7919 % 1400 * 24 + n % 5) * F.lit(3_600_000_000)).cast("timestamp_ntz")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 10).alias("u"), moved.alias("happened"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 10).alias("u"), F.col("o_orderdate").cast("timestamp_ntz").alias("t")), events
+
+
+@query(SQL_MOMENTS + """
+, last AS (SELECT t, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM e GROUP BY t)
+SELECT o_orderkey, last.event_id, last.event_type FROM o ASOF LEFT JOIN last ON last.t < o.t
+""")
+def last_event_before(spark, sf_dir):
+    orders, events = moments(spark, sf_dir)
+    return as_of_join(orders, events, "t", "happened", values=("event_id", "event_type"), order=("event_id",)).select("o_orderkey", "event_id", "event_type")
+
+
+@query(SQL_MOMENTS + """
+, last AS (SELECT u, t, max(event_id) AS event_id FROM e GROUP BY u, t)
+SELECT o_orderkey, last.event_id, last.t AS happened FROM o ASOF LEFT JOIN last ON o.u = last.u AND last.t <= o.t
+""")
+def last_event_of_user(spark, sf_dir):
+    orders, events = moments(spark, sf_dir)
+    return as_of_join(orders, events, "t", "happened", ("u",), values=("event_id", "happened"), order=("event_id",), strict=False).select("o_orderkey", "event_id", "happened")
 
 
 SQL_RUNS = """
