@@ -566,6 +566,28 @@ def template_rendering(spark, sf_dir):
     return render(df, text, F.lit(datetime.datetime(2024, 1, 15, 12))).select("p_partkey", "rendered")
 
 
+@query("""
+WITH l AS (
+  SELECT l_orderkey AS k, count(*) AS n, min(l_linenumber) AS first,
+         string_agg(l_linenumber || ':' || l_quantity::BIGINT || CASE WHEN l_returnflag = 'R' THEN ' (BACK ' || o_orderkey || ')' ELSE '' END, ', ' ORDER BY l_linenumber, l_quantity, l_returnflag = 'R') AS lines
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey
+)
+SELECT o_orderkey, '# ' || o_orderkey || chr(10) || coalesce(lines, 'none') || chr(10) || CASE WHEN coalesce(n, 0) > 4 THEN 'many' WHEN coalesce(n, 0) = 0 THEN 'empty' ELSE 'few' END || ' of ' || coalesce(n, 0)
+       || ' ' || coalesce(first || '', '<no value>') || ' -- ' || lower(o_orderpriority) || ' of ' || o_custkey || ' 012' AS rendered
+FROM orders LEFT JOIN l ON o_orderkey = k
+""")
+def template_blocks(spark, sf_dir):
+    line = F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("bigint").alias("quantity"), F.when(F.col("l_returnflag") == "R", "back").alias("note"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    df = orders.select("o_orderkey", F.col("o_orderkey").alias("key"), F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)).alias("lines"), F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("by")).alias("head"))
+    text = """{{- define "foot" }}-- {{ toLower .priority }} of {{ .by }}{{ end -}}
+# {{ .key }}
+{{ range $i, $l := .lines }}{{ if $i }}, {{ end }}{{ .line }}:{{ $l.quantity }}{{ with .note }} ({{ . | toUpper }} {{ $.key }}){{ end }}{{ else }}none{{ end }}
+{{ $n := len .lines }}{{ if gt $n 4 }}many{{ else if eq $n 0 }}empty{{ else }}few{{ end }} of {{ $n }} {{ (index .lines 0).line }} {{ template "foot" .head }} {{ range 3 }}{{ . }}{{ end }}"""
+    return render(df, text).select("o_orderkey", "rendered")
+
+
 # ---- query language ----
 
 
