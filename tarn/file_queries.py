@@ -5,6 +5,7 @@ The files are made from the rows of small tables in a scratch folder, so SQL can
 from __future__ import annotations
 
 import datetime
+import functools
 import json
 import os
 import uuid
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tarn.plans import templates
 from tarn.sources import definitions, guards, notes, settings, sinks, tables
+from tarn.sources.cache import NoteCache
 
 QUERIES = {}
 ORACLES = {}
@@ -117,6 +119,32 @@ def note_cache(spark, sf_dir):
     return current.select("k", "body", "file_class", F.get_json_object("fields", "$.size").cast("bigint").alias("size"), F.lit(cached is not None).alias("same_version"), F.lit(none).alias("rebuilt"))
 
 
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_name AS name, p_size AS n FROM part),
+v AS (
+  SELECT 1 AS version, k, 'old ' || name AS body, n FROM p UNION ALL SELECT 2, k, CASE WHEN k % 2 = 0 THEN 'new ' ELSE 'old ' END || name, n FROM p
+  UNION ALL SELECT 2, -1, 'added', 0 UNION ALL SELECT 3, k, CASE WHEN k % 2 = 0 THEN 'new ' ELSE 'old ' END || name, n FROM p WHERE k % 3 <> 0 UNION ALL SELECT 3, -1, 'added', 0
+)
+SELECT version, k, body, n FROM v UNION ALL SELECT 4, k, body, n FROM v WHERE version = 3 UNION ALL SELECT 5, k, 'back ' || name, n FROM p WHERE k % 9 = 0 UNION ALL SELECT 5, k, body, n FROM v WHERE version = 3 AND k % 5 <> 0
+""")
+def cache_versions(spark, sf_dir):
+    """Written, rewritten, deleted, compacted and written again; every version as it was."""
+    cache = NoteCache(spark, "file://" + scratch(spark))
+    key = F.col("p_partkey")
+    path = F.concat(F.lit("parts/"), key.cast("string"), F.lit(".md"))
+    parts = table(spark, sf_dir, "part").select(path.alias("path"), key.alias("k"), F.concat(F.lit("old "), "p_name").alias("body"), F.to_variant_object(F.struct(F.col("p_size").alias("n"))).alias("fields"))
+    anew = lambda word: F.concat(F.lit(word), F.substring("body", 5, 1000))
+    extra = parts.limit(1).select(F.lit("added.md").alias("path"), F.lit(-1).cast("bigint").alias("k"), F.lit("added").alias("body"), F.parse_json(F.lit('{"n": 0}')).alias("fields"))
+    cache.write(parts)
+    cache.write(parts.where("k % 2 = 0").withColumn("body", anew("new ")).unionByName(extra))
+    cache.write(gone=parts.where("k % 3 = 0"))
+    cache.compact()
+    cache.write(parts.where("k % 9 = 0").withColumn("body", anew("back ")), gone=parts.where("k % 5 = 0 AND k % 9 <> 0"))
+    size = F.get_json_object("fields", "$.n").cast("int")
+    shown = [cache.read(v).select(F.lit(v).alias("version"), "k", "body", size.alias("n")) for v in cache.versions()]
+    return functools.reduce(DataFrame.unionByName, shown)
+
+
 @query("""
 SELECT n_nationkey::BIGINT AS k, n_name AS name, n_regionkey::BIGINT AS region FROM nation
 """)

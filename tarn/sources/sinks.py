@@ -40,6 +40,18 @@ def write_rows_as_files(rows: DataFrame, directory: str, name: str = "name", con
     rows.select(name, content).foreachPartition(save)
 
 
+def delete_rows_as_files(rows: DataFrame, directory: str, name: str = "name", suffix: str = ".md") -> None:
+    """Delete ``<name>.md`` for each row, by the executors; files that are gone already are left out, so a retry does no harm."""
+
+    def remove(part: Iterable) -> None:
+        for row in part:
+            path = os.path.join(directory, check_file(f"{row[0]}{suffix}", suffix))
+            if os.path.exists(path):
+                os.unlink(path)
+
+    rows.select(name).foreachPartition(remove)
+
+
 def save_registry(entries: dict, path: str) -> None:
     write_file(path, json.dumps(entries, sort_keys=True, ensure_ascii=False).encode())
 
