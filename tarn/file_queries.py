@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tarn.plans import templates
 from tarn.sources import definitions, guards, notes, settings, sinks, tables
 from tarn.sources.cache import NoteCache
+from tarn.sources.note_source import read_notes
 
 QUERIES = {}
 ORACLES = {}
@@ -119,6 +120,25 @@ def note_cache(spark, sf_dir):
     return current.select("k", "body", "file_class", F.get_json_object("fields", "$.size").cast("bigint").alias("size"), F.lit(cached is not None).alias("same_version"), F.lit(none).alias("rebuilt"))
 
 
+@query("""
+SELECT s_suppkey AS key, 'nation-' || s_nationkey AS file_class, s_suppkey * 2 AS twice, 'about ' || s_name AS body, 'all' AS what FROM supplier
+UNION ALL SELECT s_suppkey, 'nation-' || s_nationkey, s_suppkey * 2, 'about ' || s_name, 'class' FROM supplier WHERE s_nationkey = 3
+UNION ALL SELECT s_suppkey, 'nation-' || s_nationkey, s_suppkey * 2, 'about ' || s_name, 'folder' FROM supplier WHERE s_suppkey % 4 = 1
+""")
+def notes_format(spark, sf_dir):
+    """Files of all suppliers through the notes format: whole, by class, by folder."""
+    folder = scratch(spark)
+    key = F.col("s_suppkey")
+    text = F.concat(F.lit("---\nfileClass: nation-"), F.col("s_nationkey").cast("string"), F.lit("\ntwice: "), (key * 2).cast("string"), F.lit("\n---\nabout "), F.col("s_name"))
+    for n in range(4):
+        sinks.write_rows_as_files(table(spark, sf_dir, "supplier").where(key % 4 == n).select(key.cast("string").alias("name"), text.alias("content")), f"{folder}/f{n}")
+    rows = read_notes(spark, folder)
+    shown = lambda df, what: df.select(
+        F.regexp_extract("path", r"(\d+)\.md$", 1).cast("bigint").alias("key"), "file_class", F.try_variant_get("fields", "$.twice", "bigint").alias("twice"), "body", F.lit(what).alias("what")
+    )
+    return shown(rows, "all").union(shown(read_notes(spark, folder, file_class="nation-3"), "class")).union(shown(read_notes(spark, folder, under="f1/"), "folder"))
+
+
 @query("""
 WITH p AS (SELECT p_partkey AS k, p_name AS name, p_size AS n FROM part),
 v AS (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -223,3 +225,37 @@ def language_chain(spark, sf_dir):
         'TABLE WITHOUT ID title, nation.title AS country, nation.region.title AS continent, nation.region.path AS target, nation.title = [[NATION_7]].title AS here WHERE nation.region.title AND nation.region.title != "ASIA"'
     )
     return found.select("title", "country", "continent", F.concat(F.lit("regions/"), "target", F.lit(".md")).alias("page"), "here")
+
+
+# ---- query text from parts ----
+
+
+@query("""
+WITH n AS (
+  SELECT o_orderkey AS key, ['project', 'parent_task'][(o_orderkey % 2 + 1)::INTEGER] AS c, ['done', 'in_progress', 'to_do', 'on_hold', 'discarded'][(o_orderkey % 5 + 1)::INTEGER] AS s, o_orderdate::DATE AS d,
+         CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate::DATE + 30 END AS e FROM orders
+)
+SELECT 'done' AS what, key FROM n WHERE c = 'project' AND s = 'done' AND e BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'
+UNION ALL SELECT 'done one day', key FROM n WHERE c = 'parent_task' AND s = 'done' AND e = DATE '1996-05-05'
+UNION ALL SELECT 'overdue', key FROM n WHERE c = 'project' AND s NOT IN ('done', 'discarded', 'rejected') AND e <= DATE '1995-12-31'
+UNION ALL SELECT 'new', key FROM n WHERE c = 'parent_task' AND d BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'
+UNION ALL SELECT 'active', key FROM n WHERE c = 'project' AND s IN ('to_do', 'in_progress') UNION ALL SELECT 'schedule', key FROM n WHERE c = 'parent_task' AND s = 'on_hold'
+""")
+def task_query_text(spark, sf_dir):
+    """Orders as project and task notes; each query is put together from its parts, printed, read again and run."""
+    from tarn.operators import commands
+    from tarn.plans import writer
+
+    n, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    among = lambda words, turn: F.element_at(F.array(*map(F.lit, words)), (turn + 1).cast("int"))
+    header = F.struct(
+        among(("project", "parent_task"), n % 2).alias("file_class"), among(("done", "in_progress", "to_do", "on_hold", "discarded"), n % 5).alias("status"), day.cast("string").alias("date_created"),
+        F.when(n % 7 > 0, F.date_add(day, 30).cast("string")).alias("task_end"), n.cast("string").alias("title"),
+    )
+    engine = Engine(table(spark, sf_dir, "orders").select(n.cast("string").alias("path"), n.alias("key"), F.to_variant_object(header).alias("fields")))
+    d = datetime.date
+    asked = {
+        "done": ("project", "done", d(1996, 1, 1), d(1997, 6, 30)), "done one day": ("parent", "done", d(1996, 5, 5)), "overdue": ("project", "overdue", d(1995, 12, 31)), "new": ("parent", "new", d(1998, 1, 1), d(1998, 3, 31)),
+        "active": ("project", "active"), "schedule": ("parent", "schedule"),
+    }
+    return commands.union_all(*(engine.query(writer.task_query_text(*parts, columns=("key",))).select(F.lit(what).alias("what"), "key") for what, parts in asked.items()))

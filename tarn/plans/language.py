@@ -192,7 +192,7 @@ class Reader:
         if t.kind == "number":
             return Node("literal", float(t.text) if "." in t.text else int(t.text))
         if t.kind == "string":
-            return Node("literal", re.sub(r'\\(["\\])', r"\1", t.text[1:-1]))
+            return Node("literal", unescaped(t.text))
         if t.kind == "link":
             target, _, shown = t.text[2:-2].partition("|")
             return Node("link", (target, shown or None))
@@ -270,7 +270,7 @@ class Reader:
         node = self.expression()
         if self.take("AS"):
             t = self.next()
-            return node, t.text[1:-1] if t.kind == "string" else t.text
+            return node, unescaped(t.text) if t.kind == "string" else t.text
         return node, source_text(self.tokens[start : self.at])
 
     def query(self) -> Query:
@@ -321,6 +321,11 @@ class Reader:
         return Query(form, columns, with_id, steps)
 
 
+def unescaped(text: str) -> str:
+    """The content of a quoted text."""
+    return re.sub(r'\\(["\\])', r"\1", text[1:-1])
+
+
 def source_text(tokens: list[Token]) -> str:
     out = ""
     for t in tokens:
