@@ -66,6 +66,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def refuse_names(keep: tuple[str, ...], own: set[str]) -> None:
+    """Columns to keep must not have names that the operator gives to its own columns."""
+    if clash := {c.lower() for c in keep} & {c.lower() for c in own}:
+        raise ValueError(f"columns to keep have names of the operator's own: {sorted(clash)}")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, for tables that all executors read; a temporary one in local mode without the setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,10 +7,11 @@ the root holds no mergeable pair.
 
 Two forms share that design: :meth:`Tokenizer.merge_one` walks one tree in plain Python (long pre-tokens), and
 :meth:`Tokenizer.merge_many` runs the trees of many short pre-tokens in step as NumPy arrays (one tree per row).
-Results are cached by pre-token, so a frequent word is merged once however often it occurs. The cache keeps two generations of a fixed
-number of entries, so memory is bounded; results don't depend on it.
+Results are cached by pre-token, so a frequent word is merged once however often it occurs. Only pre-tokens of up to ``STEP_BYTES`` are cached, in two generations of at most
+``CACHE_BYTES`` each, counted with what Python needs for an entry; results don't depend on it.
 
-Defined results: a null text encodes like the empty text (no ids); texts of any length are encoded whole.
+Defined results: a null text encodes like the empty text (no ids); texts of any length are encoded whole; rows that repeat are each returned, null ids too; an empty table gives
+none; other columns are ignored, and a column to keep that is named like one of the result is an error.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tarn.llm.batches import arrow_schema, bounded_batches, record_batch
+from tarn.llm.batches import arrow_schema, bounded_batches, record_batch, refuse_names
 
 #: Fixed values of byte-level BPE: the pre-tokenizer's pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,7 +38,8 @@ LATIN = re.compile(
 NO_PAIR = np.iinfo(np.int32).max
 #: Pre-tokens up to this many bytes are merged in step; longer ones each walk their own tree.
 STEP_BYTES = 64
-CACHE_ENTRIES = 300_000
+#: Bytes of a generation of the cache, and of an entry besides its two texts.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 220
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -78,8 +80,9 @@ class Tokenizer:
         self.split_special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)
         #: pre-token -> its ids as decimal text, comma-joined
-        self.cache: dict[str, str] = {t: str(i) for t, i in self.special.items()}
+        self.cache: dict[str, str] = {}
         self.old: dict[str, str] = {}
+        self.cached_bytes = 0
         self.text_bytes = {str(i): b for i, b in self.bytes_of.items()}
         self.names = {i: str(i) for i in self.bytes_of}
 
@@ -202,11 +205,22 @@ class Tokenizer:
                 out[i] = ids
         return out
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode the pre-tokens that the cache lacks."""
-        new, names, cache = list(pieces), self.names, self.cache
+    def learn(self, pieces: Iterable[str]) -> dict[str, str]:
+        """The ids of pre-tokens that the cache lacks. Short ones go into it; a full generation becomes the old one."""
+        new, names, found = list(pieces), self.names, {}
         for piece, ids in zip(new, self.merge([p.encode() for p in new])):
-            cache[piece] = names[ids[0]] if len(ids) == 1 else ",".join([names[i] for i in ids])
+            found[piece] = names[ids[0]] if len(ids) == 1 else ",".join([names[i] for i in ids])
+        for piece, ids in found.items():
+            if len(piece) <= STEP_BYTES:
+                self.keep(piece, ids)
+        return found
+
+    def keep(self, piece: str, ids: str) -> None:
+        size = ENTRY_BYTES + 4 * len(piece) + len(ids)  # a character takes four bytes at most
+        if self.cached_bytes + size > CACHE_BYTES:
+            self.old, self.cache, self.cached_bytes = self.cache, {}, 0
+        self.cache[piece] = ids
+        self.cached_bytes += size
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens."""
@@ -219,6 +233,7 @@ class Tokenizer:
     def encode_texts(self, texts: list[str | None]) -> list[str]:
         """The ids of each text as comma-joined decimals."""
         parts: list[list[str]] = []
+        known = {t: str(i) for t, i in self.special.items()}
         for text in texts:
             found: list[str] = []
             for k, part in enumerate(self.split_special.split(text or "") if self.split_special else [text or ""]):
@@ -227,15 +242,18 @@ class Tokenizer:
                 elif part:
                     found += self.split(part)
             parts.append(found)
-        wanted = set().union(*parts)
-        if len(self.cache) + len(wanted) > CACHE_ENTRIES:  # the older half goes; what is still in use moves over
-            self.old, self.cache = self.cache, {t: str(i) for t, i in self.special.items()}
+        wanted = set().union(*parts).difference(known)
         cache, old = self.cache, self.old
-        wanted.difference_update(cache)
-        again = wanted & old.keys()
-        cache.update(zip(again, map(old.__getitem__, again)))
-        self.learn(wanted - again)
-        return [",".join(map(cache.__getitem__, found)) for found in parts]
+        hits = wanted & cache.keys()
+        known.update(zip(hits, map(cache.__getitem__, hits)))
+        wanted -= hits
+        again = wanted & old.keys()  # what is still in use moves over
+        moved = dict(zip(again, map(old.__getitem__, again)))
+        known.update(moved)
+        for piece, ids in moved.items():
+            self.keep(piece, ids)
+        known.update(self.learn(wanted - again))
+        return [",".join(map(known.__getitem__, found)) for found in parts]
 
     def encode(self, text: str | None) -> list[int]:
         ids = self.encode_texts([text])[0]
@@ -273,6 +291,7 @@ def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", keep: t
     vocabulary (about 1.5 MB, its size set by the file, not by the data) is read on the driver and broadcast once.
     """
     spark = df.sparkSession
+    refuse_names(keep, {"n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"})
     bounded_batches(spark)
     spec = spark.sparkContext.broadcast(read_spec(vocabulary))
     kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
