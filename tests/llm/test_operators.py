@@ -66,13 +66,29 @@ def test_bpe_trees_agree(vocabulary):
 
 
 def test_bpe_cache_is_bounded(vocabulary, monkeypatch, texts):
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 50)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 12_000)
     small, large = bpe.Tokenizer(bpe.read_spec(vocabulary)), bpe.Tokenizer(bpe.read_spec(vocabulary))
     found = [small.encode(t) for t in texts]
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 10**6)
+    assert small.old and len(small.cache) < 60
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 10**9)
     assert found == [large.encode(t) for t in texts]
 
 
+def test_bpe_cache_is_bounded_in_bytes(vocabulary, monkeypatch):
+    """Long pre-tokens are never kept, and what Python holds for the rest stays within both generations."""
+    import sys
+
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 500_000)
+    tokenizer = bpe.Tokenizer(bpe.read_spec(vocabulary))
+    rng = random.Random(9)
+    for _ in range(12):
+        tokenizer.encode_texts(["".join(rng.choice("abcdefé日") for _ in range(20_000)) for _ in range(3)])
+        tokenizer.encode_texts([" ".join("".join(rng.choice("abcdefé日") for _ in range(rng.randint(1, 64))) for _ in range(500))])
+        held = [sys.getsizeof(d) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in d.items()) for d in (tokenizer.cache, tokenizer.old)]
+        assert max(held) < 600_000 and max(map(len, [*tokenizer.cache, *tokenizer.old, ""])) <= bpe.STEP_BYTES
+    assert tokenizer.old
+
+
 def test_bpe_documents(odd, vocabulary):
     rows = bpe.encode_documents(odd, vocabulary).collect()
     assert len(rows) == odd.count()
@@ -290,6 +306,29 @@ def test_language_letters_and_rare_languages(spark, texts):
     assert model.languages == ("aa", "bb") and model.predict(rare[0][::-1])[0] == "bb"
 
 
+def test_language_of_many_languages_stays_small(spark):
+    """500 languages: the driver gets BAG_BYTES at most, and the table that is sent has WIDTH columns."""
+    rng = random.Random(5)
+    alphabets = ["".join(chr(0x4E00 + 40 * i + j) for j in range(12)) for i in range(500)]
+    rows = [(i, "".join(rng.choice(alphabets[i % 500]) for _ in range(30)), f"l{i % 500:03}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+    model = language.learn(df)
+    assert len(model.languages) == 500 and model.table.shape == (1 << language.BITS, language.WIDTH) and model.layer.shape == (language.WIDTH, 500)
+    found = language.identify(df, model).collect()
+    assert {r.lang_pred for r in found} <= set(model.languages) and all(0 <= r.score <= 1 for r in found)
+
+
+def test_language_bags_are_thinned(spark, texts, monkeypatch):
+    rows, counts = language.bag("abcdefgh" * 50 + "xyz")
+    kept, n = language.thinned(rows, counts, 5)
+    assert len(kept) == 5 and dict(zip(rows.tolist(), counts.tolist())).items() >= dict(zip(kept.tolist(), n.tolist())).items()
+    monkeypatch.setattr(language, "BAG_BYTES", 8 * 10 * language.SAMPLE)  # ten subwords a row
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda samples: seen.extend(len(r) for r, *_ in samples))
+    language.learn(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    assert seen and max(seen) <= 10
+
+
 def test_language_fold_and_edges(spark, odd):
     ids = spark.range(50).select(F.col("id").alias("doc_id"), language.fold().alias("f") if False else (F.crc32(F.col("id").cast("string")) % 5).alias("f"))
     assert all(r.f == zlib.crc32(str(r.doc_id).encode()) % 5 for r in ids.collect())
