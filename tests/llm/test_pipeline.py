@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tarn.llm import bpe, mixing, pii, quality, simhash
+from tarn.llm import bpe, mixing, neardup, pii, quality
 
 pytest.importorskip("public_tokenizers")
 
@@ -35,10 +35,11 @@ def test_stages(spark, folder):
 
     unique = corpus_pipeline.deduplicate(spark, kept, folder).cache()
     ids = sorted(r.doc_id for r in unique.collect())
-    fps = {r.doc_id: simhash.fingerprint(r.text) % 2**64 for r in kept.collect()}
-    assert not any(i in ids for i in range(200, 220))
-    for i in ids:
-        assert not any(j < i and (fps[i] ^ fps[j]).bit_count() <= 3 for j in ids)
+    sets = {r.doc_id: set(neardup.shingles(r.text).tolist()) for r in kept.collect()}
+    assert not any(i in ids for i in (*range(200, 220), *range(300 + 30, 300 + 40)))
+    for i in sets:
+        near = [j for j in sets if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        assert (i in ids) == (not near)
 
     masked = corpus_pipeline.mask(spark, unique, folder).cache()
     found = {r.doc_id: r for r in masked.collect()}
