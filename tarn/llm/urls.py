@@ -7,20 +7,21 @@ score. Seeds are the hosts most of whose pages an allow or a block rule decides,
 
 Everything runs as DataFrame joins over host edges: edges are made distinct with map-side aggregation, and contributions are summed
 before the shuffle, so a host with a third of all pages or links is an ordinary row. The loop ends once scores are settled to a thousandth of the share
-that blocks a host, however long the ways from the seeds are; lineage is cut in the shared checkpoint folder.
+that blocks a host, however long the ways from the seeds are; every round is a table in the shared checkpoint folder.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and verdict ``allow``, as no score speaks against it. Null html has
-no links. Repeated rows get equal results. With no seeds of a kind all its scores are 0.
+no links. Columns to keep that are named like the operator's own are an error. Repeated rows get equal results. With no seeds of a kind all its scores are 0.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.batches import checkpointed
+from tarn.llm.batches import checkpointed, refuse_names, remove_folder, shared_folder
 
 #: (verdict, host, path) of the query's rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -29,6 +30,8 @@ DAMPING = 0.85
 #: host). Every round shrinks the distance by DAMPING, so ROUNDS is never reached but by a fault, and is an error.
 ROUNDS, SETTLED, PRECISION = 400, 1e-6, 1e-3
 THRESHOLD, FLOOR = 1.0, 0.05
+#: Links of a source that are one part of its links.
+SALT_LINKS = 100_000
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 HREF = r"""(?is)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,26 +62,58 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
+def rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, settled: float = SETTLED, folder: str | None = None) -> DataFrame:
     """Personalised PageRank: (host, score) from ``seeds`` (host, weight; weights sum to 1) along ``edges`` (src, dst).
     What hosts without links hold goes back to the seeds. The sum of all errors is at most ``settled``; scores that don't get there in
-    ``rounds`` are an error."""
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("links"))
-    weighed = checkpointed(edges.join(out, "src").select("src", "dst", (1.0 / F.col("links")).alias("part")))
-    now = checkpointed(seeds.select("host", F.col("weight").alias("score")))
-    for _ in range(rounds):
-        sent = weighed.join(now, F.col("src") == F.col("host")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("score") * F.col("part")).alias("got"))
-        moved = sent.agg(F.sum("got")).first()[0] or 0.0
-        back = 1 - damping * moved  # restarts, and the mass of hosts without links
-        fresh = sent.join(seeds, F.col("to") == F.col("host"), "full").select(
-            F.coalesce("to", "host").alias("host"), (damping * F.coalesce("got", F.lit(0.0)) + back * F.coalesce("weight", F.lit(0.0))).alias("score")
-        )
-        fresh = checkpointed(fresh)
-        change = fresh.join(now.withColumnsRenamed({"host": "h", "score": "was"}), F.col("host") == F.col("h"), "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
-        now = fresh
-        if not change or change * damping <= settled * (1 - damping):  # what all later rounds can still change
-            return now
-    raise RuntimeError(f"scores did not settle in {rounds} rounds")
+    ``rounds`` are an error.
+
+    Edges are written once, in buckets by source and salt, a source having a salt for every ``SALT_LINKS`` links. A round shuffles the scores to them, one row for each source and salt,
+    and the parts that are added up for each target; it writes one small table, reads one row of sums from it, and the table before the last is deleted."""
+    spark = edges.sparkSession
+    folder = folder or shared_folder(spark, "ranks")
+    degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("links")).withColumn("salts", F.ceil(F.col("links") / F.lit(SALT_LINKS)).cast("int"))
+    degrees.write.parquet(f"{folder}/degrees")
+    degrees = spark.read.schema("src string, links bigint, salts int").parquet(f"{folder}/degrees")
+    names = degrees.select(F.col("src").alias("s"), "links", "salts")
+    weighed = edges.join(names, F.col("src") == F.col("s")).select("src", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("salt"), "dst", (1.0 / F.col("links")).alias("part"))
+    table = f"tarn_links_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    weighed.write.option("path", f"{folder}/links").bucketBy(buckets, "src", "salt").sortBy("src", "salt").saveAsTable(table)
+    try:
+        seeds.select("host", F.col("weight").alias("score")).write.parquet(f"{folder}/round-0")
+        now = scores_at(spark, folder, 0)
+        moved = passed_on(now, names)
+        for i in range(1, rounds + 1):
+            sends = now.join(names, F.col("host") == F.col("s")).select(F.col("s"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("t"), "score")
+            met = spark.table(table).join(sends, (F.col("src") == F.col("s")) & (F.col("salt") == F.col("t")))
+            sent = met.groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("score") * F.col("part")).alias("got"))
+            back = 1 - damping * moved  # restarts, and the mass of hosts without links
+            fresh = sent.join(seeds, F.col("to") == F.col("host"), "full").select(
+                F.coalesce("to", "host").alias("host"), (damping * F.coalesce("got", F.lit(0.0)) + back * F.coalesce("weight", F.lit(0.0))).alias("score")
+            )
+            fresh.write.parquet(f"{folder}/round-{i}")
+            fresh = scores_at(spark, folder, i)
+            both = fresh.join(now.withColumnsRenamed({"host": "h", "score": "was"}), F.col("host") == F.col("h"), "full").join(names, F.col("host") == F.col("s"), "left")
+            change = F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))
+            change, moved = both.agg(change, F.coalesce(F.sum(F.when(F.col("s").isNotNull(), F.col("score"))), F.lit(0.0))).first()
+            now = fresh
+            if i > 1:
+                remove_folder(spark, f"{folder}/round-{i - 2}")
+            if not change or change * damping <= settled * (1 - damping):  # what all later rounds can still change
+                return now
+        raise RuntimeError(f"scores did not settle in {rounds} rounds")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove_folder(spark, f"{folder}/links")
+
+
+def scores_at(spark: SparkSession, folder: str, i: int) -> DataFrame:
+    return spark.read.schema("host string, score double").parquet(f"{folder}/round-{i}")
+
+
+def passed_on(scores: DataFrame, names: DataFrame) -> float:
+    """The score that hosts with links hold, all of which they pass on."""
+    return scores.join(names, F.col("host") == F.col("s")).agg(F.sum("score")).first()[0] or 0.0
 
 
 def host_scores(pages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -99,6 +134,7 @@ def host_scores(pages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
 
 def judge(df: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, keep: tuple[str, ...] = ("page_id",), url: str = "url", html: str = "html") -> DataFrame:
     """The ``keep`` columns with host, path, rule, verdict, trust and distrust."""
+    refuse_names(keep, {"host", "path", "html", "rule", "ruled", "verdict", "trust", "distrust", "host_verdict", "h", "pages"})
     parsed = df.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumn("rule", rule).withColumn("ruled", ruled)

@@ -595,6 +595,22 @@ def test_url_propagation_against_power_iteration(spark):
     assert abs(sum(found.values()) - 1) < 1e-9
 
 
+def test_url_rounds_leave_two_tables_and_split_hot_sources(spark, monkeypatch, tmp_path):
+    """A source with a third of all links has many salts, its links are shuffled once, and old rounds go."""
+    monkeypatch.setattr(urls, "SALT_LINKS", 10)
+    edges = [("hub", f"h{i}") for i in range(100)] + [(f"h{i}", f"h{(i * 7 + 1) % 100}") for i in range(100)] + [(f"h{i}", "hub") for i in range(0, 100, 3)]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    s = spark.createDataFrame([("h1", 1.0)], "host string, weight double")
+    found = {r.host: r.score for r in urls.rank(e, s, folder=f"file://{tmp_path}/ranks").collect()}
+    assert len([p for p in (tmp_path / "ranks").iterdir() if p.name.startswith("round-")]) <= 2
+    assert not (tmp_path / "ranks" / "links").exists() and not [t for t in spark.catalog.listTables() if t.name.startswith("tarn_links")]
+    monkeypatch.setattr(urls, "SALT_LINKS", 10**6)
+    plain = {r.host: r.score for r in urls.rank(e, s).collect()}
+    assert found.keys() == plain.keys() and all(abs(found[h] - plain[h]) < 1e-9 for h in plain) and abs(sum(plain.values()) - 1) < 1e-9
+    with pytest.raises(ValueError, match="operator's own"):
+        urls.judge(spark.createDataFrame([(1, "u", "h", "x")], "page_id long, url string, html string, host string"), keep=("page_id", "host"))
+
+
 def test_url_links_spread_distrust(spark):
     page = lambda i, host, *to: (i, f"https://{host}/p", "".join(f"<a href='https://{t}/'>" for t in to))
     rows = [page(1, "bad.net", "bad.net"), page(2, "farm.info", "bad.net"), page(3, "good.info", "news.info"), page(4, "news.info"), (5, "https://x.org/fr/1", '<a href="https://news.info/a">')]
