@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarn.llm.batches import checkpointed
+from tarn.llm.batches import checkpointed, refuse_names
 
 MOST_GROUPS = 4096
 #: Rows that one local permutation should hold at most; it sets into how many slices a shard is cut.
@@ -112,9 +112,10 @@ def mixed(seed: int, *columns: Column) -> Column:
 
 def shuffle(df: DataFrame, shards: int = 24, seed: int = 11, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Adds ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard) to the rows of ``df``; columns of these names are replaced, all
-    others are kept."""
+    others are kept. Names that begin with two underscores are the operator's own, and columns with one of those it uses are an error."""
     if shards < 1:
         raise ValueError("at least one shard")
+    refuse_names(tuple(df.columns), {"__at", "__key", "__g", "__cuts", "__rank", "__slice", "__s", "__q", "__offset"})
     row = (1 << 33) - 1  # an id is the partition's number in the upper 31 bits, the row's number in it below
     placed = checkpointed(df.drop("shard", "slot"))
     if placed.select(F.spark_partition_id().alias("p")).distinct().count() > MOST_GROUPS:
