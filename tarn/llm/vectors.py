@@ -7,13 +7,14 @@ larger factors prune more. Distances only choose what to score: every point with
 exactly and ranked by that score, then by id. Queries go down the tree as a batch: first each to its own leaf, which gives a good k-th distance, then once
 over all nodes with the queries that can't skip them.
 
-Shards are dealt by a hash of the id and hold a bounded number of rows. A shard's rows come before its queries in its partition, so its trees are built once and
+Shards are dealt by a hash of id and vector and hold a bounded number of rows. A shard's rows come before its queries in its partition, so its trees are built once and
 queries stream through them batch by batch: no task holds all vectors or all queries. Each batch gives the k best of its queries; a second step merges k rows for each
 shard and query. Equal vectors of a shard are one point of its tree with its smallest ids (k, and as many as a query has rows of its own), so thousands of
 copies neither unbalance a tree nor crowd out a result.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers take no part; vectors of different lengths are
-never compared. A query is not its own candidate (by id). Ties go to the smaller id. With fewer than k candidates all are
+never compared. A query is not its own candidate, nor is any other row with its id. Rows with a null id are candidates, after all others in ties, but no queries; the largest long, which stands for
+null in between, must not be an id. Ties go to the smaller id. With fewer than k candidates all are
 returned; an empty table gives an empty result. Scores are sums over the dimensions in order, in double precision, of the stored numbers.
 """
 
@@ -297,14 +298,17 @@ def usable(column: str) -> Column:
 
 def nearest(df: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), the neighbour's id and score: the k best of all rows for each row where ``is_query`` holds."""
-    rows = df.where(usable(vector) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    number, none = F.col(id_column).cast("long"), F.lit(2**63 - 1).cast("long")
+    asks = F.coalesce(is_query, F.lit(False)) & number.isNotNull()
+    rows = df.where(usable(vector)).select(F.coalesce(number, none).alias("id"), F.col(vector).cast("array<double>").alias("v"), asks.alias("q"))
     bounded_batches(df.sparkSession)
     total = rows.count()
     shards = max(1, -(-total // SHARD_ROWS), min(SPREAD, -(-total // LEAST_ROWS)))
-    deal = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(shards)).cast("int")
+    deal = F.pmod(F.xxhash64(F.lit(1), "id", "v"), F.lit(shards)).cast("int")
     stored = rows.select(deal.alias("shard"), F.size("v").alias("size"), F.lit(False).alias("q"), "id", "v")
     queries = rows.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.size("v").alias("size"), "q", "id", "v")
     dealt = stored.union(queries).repartition(shards, "shard").sortWithinPartitions("shard", "size", "q", "id")
     found = dealt.mapInArrow(lambda batches: stream(batches, k, factor), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.nullif("vec_id", none).alias("vec_id"), "score")

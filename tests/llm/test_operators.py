@@ -389,6 +389,11 @@ def test_shards_of_more_partitions_than_the_matrix_has(spark, monkeypatch):
     assert sorted(Counter(r.shard for r in rows).values()) == [25] * 4 and sorted(r.id for r in rows) == list(range(100))
 
 
+def test_shards_refuse_their_own_names(spark):
+    with pytest.raises(ValueError, match="operator's own"):
+        shards.shuffle(spark.range(3).withColumn("__at", F.lit(1)), 2)
+
+
 def test_shards_keep_other_columns(spark):
     df = spark.range(40).select("id", *(F.col("id").alias(c) for c in ("s", "q", "g", "cuts", "offset", "slot")))
     for slice_rows in (50_000, 2):

@@ -27,7 +27,7 @@ def folder(spark, tmp_path_factory):
         pages.append((i, f"https://{rng.choice(hosts)}/{rng.choice(['en', 'fr', 'de', ''])}/{i}", linked + "<a href='/here'>"))
     pages += [(900, None, None), (901, "no scheme", "<a href='http://h1.net'>"), (902, "http://", ""), (903, pages[0][1], None)]
     spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{path}/pages.parquet")
-    vectors = [(i, [float(rng.randint(-2, 2)) for _ in range(6)]) for i in range(300)] + [(400, None), (420, [0.0] * 6), (440, [1.0, None]), (460, [float("nan")] * 6)]
+    vectors = [(i, [float(rng.randint(-2, 2)) for _ in range(6)]) for i in range(300)] + [(400, None), (420, [0.0] * 6), (440, [1.0, None]), (460, [float("nan")] * 6), (None, [2.0, 1.0, 2.0, -1.0, 0.0, 1.0]), (None, [2.0, 1.0, 2.0, -1.0, 0.0, 1.0])]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
     return path
 
