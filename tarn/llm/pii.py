@@ -2,17 +2,19 @@
 
 Two layers. The base layer finds e-mail, ip, card and phone spans by fixed patterns. The model layer scores whole candidate segments of up
 to ``MOST_TOKENS`` tokens with features of the span as a whole (shape, digit count, check digit, separators, the words before it),
-and a semi-Markov Viterbi search with that bound on entity length chooses boundaries and kinds jointly. Base spans are kept as they
+and each pair of neighbouring labels has a weight (``none``, the label of single tokens, included), so a segment's kind depends on what stands beside it. A semi-Markov Viterbi search with
+that bound on entity length, whose state is the last label, chooses boundaries and kinds jointly. Base spans are kept as they
 are; the model only labels tokens outside them (obfuscated addresses, phone numbers without a plus sign, grouped numbers).
 
 The weights are trained here, on the driver: :func:`train` maximises the conditional likelihood of generated sentences by stochastic gradient descent,
 with the segment forward-backward recursions. Generation is seeded, so every run has the same weights.
 
 Only stretches around an at-word, or around enough digits within ``MOST_TOKENS`` tokens, can hold an entity, so the search runs there; texts are scanned
-whole. A stretch has all tokens of any segment that holds its digits or at-word, and the tokens beside it that features look at, however many characters
+whole. A stretch begins and ends with tokens that no entity can hold (two such tokens have no weight as a pair); it has all tokens of any segment that holds its digits or at-word, and the tokens beside it that features look at, however many characters
 they have; so cutting changes no result.
 
-Defined results: a null or empty text has no spans. Offsets are code points, ends exclusive. Repeated rows give equal results.
+Defined results: a null or empty text has no spans. Offsets are code points, ends exclusive. Repeated rows give equal results, an empty table gives none, null ids are kept, and other columns are
+ignored; a column to keep that is named like one of the result is an error.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tarn.llm.batches import map_rows
+from tarn.llm.batches import map_rows, refuse_names
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base layer; the empty alternative consumes a digit run that can't start a match, so long runs stay linear.
@@ -178,11 +180,12 @@ def candidates(words: list[str]) -> list[tuple[int, int]]:
 
 
 class Model:
-    """Weights by (feature, kind); the score of ``none`` is zero for each token."""
+    """Weights by (feature, kind) and by pairs of labels, the kinds and then ``none``; a token that is ``none`` scores zero, and so do two of them."""
 
     def __init__(self) -> None:
         self.at: dict[str, int] = {}
         self.weights = np.zeros((0, len(KINDS)))
+        self.pairs = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
 
     def index(self, names: list[str], grow: bool = False) -> list[int]:
         if grow:
@@ -202,53 +205,89 @@ class Model:
         if not spans:
             return []
         scores, _ = self.score(words, spans)
-        kinds, best = scores.argmax(1), scores.max(1)
+        none, n, pairs = len(KINDS), len(words), self.pairs
+        # a segment that can't make up for the single tokens in its place, whatever stands beside it, is left out
+        hope = scores + pairs[:, :none].max(0) + pairs[:none].max(1)
+        worth = np.flatnonzero((hope > pairs[:, none].min() + pairs[none].min()).any(1))
+        if not len(worth):
+            return []
+        first, scores = np.array([spans[i][0] for i in worth.tolist()]), scores[worth]
         ending: dict[int, list[int]] = {}
-        for i, (_, b) in enumerate(spans):
-            if best[i] > 0:
-                ending.setdefault(b, []).append(i)
-        value, back = [0.0], [-1]
-        for t in range(1, len(words) + 1):
-            v, p = value[t - 1], -1
-            for i in ending.get(t, ()):
-                if (w := value[spans[i][0]] + best[i]) > v:
-                    v, p = w, i
-            value.append(v)
-            back.append(p)
-        out, t = [], len(words)
+        for i, j in enumerate(worth.tolist()):
+            ending.setdefault(spans[j][1], []).append(i)
+        spans = [spans[j] for j in worth.tolist()]
+        value = np.full((n + 1, none + 1), -np.inf)  # best score up to a token, by the last label
+        value[0, none] = 0.0
+        back = [[(-1, none)] * (none + 1) for _ in range(n + 1)]  # the segment (-1: a token without one) and the label before it
+        for t in range(1, n + 1):
+            before = value[t - 1] + pairs[:, none]
+            y = int(before.argmax())
+            value[t, none], back[t][none] = before[y], (-1, y)
+            if t in ending:
+                at = np.array(ending[t])
+                into = value[first[at]][:, :, None] + pairs[None, :, :none]
+                total = into.max(1) + scores[at]
+                best = total.argmax(0)
+                value[t, :none] = total[best, np.arange(none)]
+                for k, i in enumerate(best.tolist()):
+                    back[t][k] = (int(at[i]), int(into[i, :, k].argmax()))
+        out, t = [], n
+        y = none if value[n, none] >= value[n].max() else int(value[n].argmax())
         while t > 0:
-            if (i := back[t]) >= 0:
-                out.append((*spans[i], KINDS[kinds[i]]))
-                t = spans[i][0]
-            else:
-                t -= 1
+            i, before = back[t][y]
+            if i >= 0:
+                out.append((*spans[i], KINDS[y]))
+            t, y = spans[i][0] if i >= 0 else t - 1, before
         return out[::-1]
 
+    def expected(self, scores: np.ndarray, spans: list[tuple[int, int]], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of each labelled segment, and the expected number of each pair of labels, by the segment forward-backward recursions."""
+        none = len(KINDS)
+        first, stop = np.array(spans).T
+        ends, starts = ([np.flatnonzero(x == t) for t in range(n + 1)] for x in (stop, first))
+        pair, segment = np.exp(self.pairs), np.exp(scores)  # sentences are short: no sum leaves the range of doubles
+        forward, backward = np.zeros((n + 1, none + 1)), np.ones((n + 1, none + 1))
+        forward[0, none] = 1.0
+        for t in range(1, n + 1):
+            forward[t, none] = forward[t - 1] @ pair[:, none]
+            if len(i := ends[t]):
+                forward[t, :none] = (forward[first[i]] @ pair[:, :none] * segment[i]).sum(0)
+        for t in range(n - 1, -1, -1):
+            backward[t] = pair[:, none] * backward[t + 1, none]
+            if len(i := starts[t]):
+                backward[t] += pair[:, :none] @ (segment[i] * backward[stop[i], :none]).sum(0)
+        whole = forward[n].sum()
+        joint = forward[first][:, :, None] * pair[None, :, :none] * (segment * backward[stop, :none])[:, None, :] / whole
+        pairs = np.zeros_like(self.pairs)
+        pairs[:, :none] = joint.sum(0)
+        pairs[:, none] = (forward[:-1] * backward[1:, none][:, None]).sum(0) * pair[:, none] / whole
+        return joint.sum(1), pairs
+
     def step(self, words: list[str], gold: list[tuple[int, int, str]], rate: float) -> None:
-        """One gradient step on log p(gold | words): observed minus expected features, by the segment forward-backward recursions."""
+        """One gradient step on log p(gold | words): observed minus expected features and pairs."""
         spans = candidates(words)
         if not spans:
             return
         scores, rows = self.score(words, spans, grow=True)
-        n = len(words)
-        ends: list[list[int]] = [[] for _ in range(n + 1)]
-        starts: list[list[int]] = [[] for _ in range(n + 1)]
-        for i, (a, b) in enumerate(spans):
-            ends[b].append(i)
-            starts[a].append(i)
-        whole = np.logaddexp.reduce(scores, axis=1)
-        forward, backward = np.zeros(n + 1), np.zeros(n + 1)
-        for t in range(1, n + 1):
-            forward[t] = np.logaddexp.reduce([forward[t - 1], *(forward[spans[i][0]] + whole[i] for i in ends[t])])
-        for t in range(n - 1, -1, -1):
-            backward[t] = np.logaddexp.reduce([backward[t + 1], *(backward[spans[i][1]] + whole[i] for i in starts[t])])
+        chance, pairs = self.expected(scores, spans, len(words))
         right = {(a, b): KINDS.index(k) for a, b, k in gold}
-        for i, (a, b) in enumerate(spans):
-            slope = -np.exp(scores[i] + forward[a] + backward[b] - forward[n])
-            if (k := right.get((a, b))) is not None:
+        for i, span in enumerate(spans):
+            slope = -chance[i]
+            if (k := right.get(span)) is not None:
                 slope[k] += 1
             if np.abs(slope).max() > 1e-4:
                 np.add.at(self.weights, rows[i], rate * slope)
+        last, at = len(KINDS), 0
+        for a, b, k in sorted(gold):
+            for y in [len(KINDS)] * (a - at) + [KINDS.index(k)]:
+                pairs[last, y] -= 1
+                last = y
+            at = b
+        for y in [len(KINDS)] * (len(words) - at):
+            pairs[last, y] -= 1
+            last = y
+        self.pairs -= rate * pairs
+        self.pairs[-1, -1] = 0.0
 
 
 def example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
@@ -420,6 +459,7 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 def find_spans(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_text: bool = True) -> DataFrame:
     """Per row: the ``keep`` columns, counts of base spans, ``base`` and ``spans`` as joined text and, with ``with_text``, the redacted text."""
 
+    refuse_names(keep, {*(f"n_{k}" for k in KINDS), "base_sha256", "base", "spans", "redacted"})
     model = shared_model()
 
     def work(*columns: list) -> dict:
