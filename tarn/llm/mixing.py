@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarn.llm.batches import checkpointed
+from tarn.llm.batches import checkpointed, refuse_names
 from tarn.llm.shards import local_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -138,6 +138,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EP
 
     The numbers of each row are written once (checkpoint). With ``twice`` only those that the plan needs are, and the rows are read a second time
     for the result: for ``keep`` columns as large as the texts, which then are neither written nor shuffled."""
+    refuse_names(keep, {"source", "size", "hash", "source_size", "target", "taken", "copies", "passes", "left", "end", "tie", "tie_left", "s", "e", "__place", "__again"})
     named = df.select(*keep, "source", word_count(F.col("text")).alias("size"), place_in_order(seed, F.col("doc_id"), F.col("text")).alias("hash"))
     sized = checkpointed(named.select("source", "size", "hash") if twice else named)
     targets = checkpointed(source_targets(sized, weights, most))

@@ -8,7 +8,7 @@ the wider sketch and large ones follow their own. A limit is the upper quartile
 beyond a limit are rejected by one joined filter.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept. Null languages and sources form
-groups of their own. Repeated rows are judged alike, one result row for each input row. An empty table gives an empty result.
+groups of their own. Repeated rows are judged alike, one result row for each input row. Columns to keep that are named like the operator's own are an error. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarn.llm.batches import checkpointed, map_rows
+from tarn.llm.batches import checkpointed, map_rows, refuse_names
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -154,6 +154,7 @@ def judge(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), t
     filter need them: rows of a few numbers instead of a second pass over the texts. With ``twice`` texts are counted a second time instead, so
     that large ``keep`` columns (the texts themselves) can go along and are neither written nor shuffled.
     """
+    refuse_names(keep, {*COUNTS, "base_failed", "kept", "reason", "limit_lang", "limit_source", *(f"max_{m.name}" for m in MEASURES)})
     counted = count_texts(df, keep, text).withColumn("base_failed", base_failed())
     if not twice:
         counted = checkpointed(counted)

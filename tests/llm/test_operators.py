@@ -180,19 +180,66 @@ def test_pii_model_on_held_out_sentences():
     assert right / found > 0.97 and right / gold > 0.97
 
 
-def test_pii_viterbi_is_the_best_segmentation():
-    model = pii.shared_model()
-    words = [w for w, _, _ in pii.tokens_of("call (415) 555-1234")]
-    spans = pii.candidates(words)
-    scores, _ = model.score(words, spans)
-
-    def best(t):
-        if t == 0:
-            return 0.0
-        return max([best(t - 1), *(best(a) + scores[i].max() for i, (a, b) in enumerate(spans) if b == t)])
-
-    chosen = model.decode(words)
-    assert abs(sum(scores[spans.index((a, b))][pii.KINDS.index(k)] for a, b, k in chosen) - best(len(words))) < 1e-9
+def segmentations(n, spans):
+    """Every way to cover n tokens by labelled segments and single tokens: lists of (segment or None, label)."""
+    none = len(pii.KINDS)
+
+    def build(t):
+        if t == n:
+            yield []
+            return
+        for rest in build(t + 1):
+            yield [(None, none), *rest]
+        for i, (a, b) in enumerate(spans):
+            if a == t:
+                for rest in build(b):
+                    for k in range(none):
+                        yield [(i, k), *rest]
+
+    return build(0)
+
+
+def test_pii_search_and_sums_against_all_segmentations():
+    """The best segmentation, and the chances of segments and label pairs, against listing all of them."""
+    model, rng = pii.shared_model(), np.random.default_rng(4)
+    none = len(pii.KINDS)
+    tried = 0
+    for text in ("(415) 555-1234", "a at b dot com", "10.0.0.1 4111", "1-2345678 90", "555 1234 at x"):
+        words = [w for w, _, _ in pii.tokens_of(text)]
+        spans = pii.candidates(words)[:6]
+        if not spans:
+            continue
+        tried += 1
+        scores = model.score(words, spans)[0] + rng.normal(0, 2, (len(spans), none))
+        pairs = rng.normal(0, 1.5, (none + 1, none + 1))
+        pairs[-1, -1] = 0.0
+        other = pii.Model()
+        other.pairs = pairs
+        totals, chance, counts = [], np.zeros_like(scores), np.zeros_like(pairs)
+        every = list(segmentations(len(words), spans))
+        for path in every:
+            labels = [none, *(k for _, k in path)]
+            totals.append(sum(scores[i, k] for i, k in path if i is not None) + sum(pairs[x, y] for x, y in zip(labels, labels[1:])))
+        weights = np.exp(np.array(totals) - np.logaddexp.reduce(totals))
+        for path, w in zip(every, weights):
+            labels = [none, *(k for _, k in path)]
+            for i, k in path:
+                if i is not None:
+                    chance[i, k] += w
+            for x, y in zip(labels, labels[1:]):
+                counts[x, y] += w
+        got_chance, got_counts = other.expected(scores, spans, len(words))
+        assert np.allclose(got_chance, chance) and np.allclose(got_counts, counts)
+        other.score = lambda *_, s=scores: (s, [])
+        whole = pii.candidates
+        pii.candidates = lambda _, c=spans: c
+        try:
+            chosen = other.decode(words)
+        finally:
+            pii.candidates = whole
+        best = every[int(np.argmax(totals))]
+        assert chosen == [(*spans[i], pii.KINDS[k]) for i, k in best if i is not None]
+    assert tried >= 4
 
 
 def test_pii_stretches_change_no_result(texts):
@@ -714,3 +761,16 @@ def test_tree_skips_what_it_may(monkeypatch):
     for q in range(50):
         d = ((points - queries[q]) ** 2).sum(1)
         assert set(found[q]) == set(np.argsort(d)[:5])
+
+
+# ---- names of the operators' own ----
+
+
+def test_columns_to_keep_must_not_have_the_operators_names(spark, vocabulary):
+    df = spark.createDataFrame([(1, "a", "en", "s", "x", "x", "x", "x", "x")], "doc_id long, text string, lang string, source string, n_words string, size string, spans string, score string, ids string")
+    for work in (
+        lambda: quality.judge(df, keep=("doc_id", "lang", "source", "n_words")), lambda: mixing.mix(df, keep=("doc_id", "size")), lambda: pii.find_spans(df, keep=("spans",)),
+        lambda: language.identify(df, keep=("doc_id", "Score")), lambda: bpe.encode_documents(df, vocabulary, keep=("ids",)),
+    ):
+        with pytest.raises(ValueError, match="operator's own"):
+            work()
