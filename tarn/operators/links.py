@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WIKI = r"(!?)\[\[([^\]|#]+)(?:#([^\]|]*))?(?:\|([^\]]*))?\]\]"
 
@@ -17,13 +18,27 @@ def extract_links(notes: DataFrame, path: str = "path", body: str = "body") -> D
     return found.select("src", F.trim(part(2)).alias("dst"), part(4).alias("display"), subpath.alias("subpath"), kind.alias("type"), (F.regexp_extract("raw", WIKI, 1) == "!").alias("embed"), "nth")
 
 
-def inlinks(edges: DataFrame) -> DataFrame:
-    """Sources of each target, sorted. Edges are made distinct before the lists are built."""
-    return edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("path")).agg(F.array_sort(F.collect_list("src")).alias("inlinks"))
+def link_rows(edges: DataFrame, end: str = "dst") -> DataFrame:
+    """(path, other): the distinct other ends of each note as rows, which no hub gathers in one place."""
+    other = "src" if end == "dst" else "dst"
+    return edges.select(F.col(end).alias("path"), F.col(other).alias("other")).distinct()
+
+
+def listed(edges: DataFrame, end: str, name: str, most: int | None) -> DataFrame:
+    rows = link_rows(edges, end)
+    if most is not None:  # each task hands on the first ``most`` of a note only
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("other"))).where(F.col("nth") <= most)
+    return rows.groupBy("path").agg(F.array_sort(F.collect_list("other")).alias(name))
+
+
+def inlinks(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Sources of each target, sorted; with ``most`` the first so many, so that the list of a hub has a bound. :func:`link_rows` has all of them as rows."""
+    return listed(edges, "dst", "inlinks", most)
 
 
-def outlinks(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").distinct().groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_list("dst")).alias("outlinks"))
+def outlinks(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Targets of each source, like :func:`inlinks`."""
+    return listed(edges, "src", "outlinks", most)
 
 
 def degree(edges: DataFrame, end: str = "dst") -> DataFrame:
