@@ -380,7 +380,11 @@ class Compiler:
         return value_part(column, name) if dynamic.is_value(kind) else column
 
     def known_kind(self, node: Node) -> T.DataType | None:
-        """Type of a literal or a column, which needs no planning."""
+        """Type of a literal, a column or a function with one type of result, which needs no planning."""
+        if node.kind in ("compare", "and", "or", "not") or (node.kind == "call" and node.value in TESTS):
+            return T.BooleanType()
+        if node.kind == "call" and node.value in ("typeof", "join", "dateformat"):
+            return T.StringType()
         if node.kind == "literal":
             return {str: T.StringType(), bool: T.BooleanType(), type(None): T.NullType()}.get(type(node.value))
         path = dotted(node)
@@ -835,6 +839,8 @@ class Compiler:
 #: Functions that read the text, and those that read the date, of a value whose type is known row by row.
 TEXT_FUNCTIONS = {"containsword", "regextest", "regexmatch", "regexreplace", "replace", "split", "startswith", "endswith", "padleft", "padright", "substring", "truncate"}
 DATE_FUNCTIONS = {"dateformat", "striptime", "localtime"}
+#: Functions whose result is true or false, whatever they get.
+TESTS = {"contains", "icontains", "econtains", "all", "any", "none", "every", "some"}
 #: Columns that the engine adds: header fields by their path, and fields of linked notes.
 HEADER, LINKED = "__header.", "__linked."
 
