@@ -39,7 +39,7 @@ NO_PAIR = np.iinfo(np.int32).max
 #: Pre-tokens up to this many bytes are merged in step; longer ones each walk their own tree.
 STEP_BYTES = 64
 #: Bytes of a generation of the cache, and of an entry besides its two texts.
-CACHE_BYTES, ENTRY_BYTES = 48 << 20, 220
+CACHE_BYTES, ENTRY_BYTES = 24 << 20, 220
 
 
 def byte_alphabet() -> dict[str, int]:
