@@ -172,10 +172,11 @@ FROM part GROUP BY 1 ORDER BY mean DESC
 """)
 def language_group_values(spark, sf_dir):
     engine = part_notes(spark, sf_dir)
-    direct = engine.query("TABLE WITHOUT ID brand, average(rows.size) AS mean, max(rows.size) - min(rows.size) AS spread, product(rows.size) AS product GROUP BY brand SORT average(rows.size) DESC")
+    engine.notes = engine.notes.withColumn("log", F.ln("size"))  # the product itself leaves the range of doubles from some hundred parts on
+    direct = engine.query("TABLE WITHOUT ID brand, average(rows.size) AS mean, max(rows.size) - min(rows.size) AS spread, sum(rows.log) AS logs GROUP BY brand SORT average(rows.size) DESC")
     listed = engine.query("TABLE WITHOUT ID brand AS b, minby(rows, (r) => r.size).key AS least, length(distinct(rows.kind)) AS kinds GROUP BY brand")
     joined = direct.join(listed, F.col("brand") == F.col("b")).drop("b")
-    return joined.select("brand", F.round("mean", 6).alias("mean"), "spread", F.round(F.ln("product"), 4).alias("logs"), "least", F.col("kinds").cast("bigint").alias("kinds"))
+    return joined.select("brand", F.round("mean", 6).alias("mean"), "spread", F.round("logs", 4).alias("logs"), "least", F.col("kinds").cast("bigint").alias("kinds"))
 
 
 # ---- linked notes ----
