@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarn.sources.tables import spread
+
 ITEM = r"^(\s*)(?:[-*+]|\d+[.)])\s+(?:\[(.)\]\s+)?(.*)$"
 #: Date marks in a task's text (fixed values) and the field each one sets.
 DATE_MARKS = {"due": ("🗓️", "🗓", "📅"), "completion": ("✅",), "created": ("➕",), "start": ("🛫",), "scheduled": ("⏳",)}
@@ -20,6 +22,8 @@ PRIORITIES = (("⏫", "A"), ("🔼", "B"), ("🔽", "D"))
 
 ITEM_LINE = re.compile(ITEM, re.ASCII)
 HEADING = re.compile(r"^#{1,6}\s+(.*)$", re.ASCII)
+#: Items of a batch that goes back to the JVM, unless one note has more.
+BATCH_ITEMS = 10_000
 
 
 def numbers(parents: list[int | None]) -> list[int]:
@@ -33,46 +37,58 @@ def numbers(parents: list[int | None]) -> list[int]:
 
 def items_of(body: str) -> dict[str, list]:
     """The list items of one text in one pass: a stack holds the items that the next one may lie below."""
-    out: dict[str, list] = {n: [] for n in ("line", "indent", "status", "text", "section", "parent_line", "nth", "last")}
+    line, indents, status, texts, sections, above, parents = ([] for _ in range(7))
     stack: list[tuple[int, int]] = []  # indent and number, indents rising
-    parents: list[int | None] = []
     section = None
-    for at, line in enumerate(re.split("\r?\n", body)):
-        if heading := HEADING.match(line):
+    for at, row in enumerate(body.replace("\r\n", "\n").split("\n")):
+        if row.startswith("#") and (heading := HEADING.match(row)):
             section = heading[1] or section
-        found = ITEM_LINE.match(line)
+        found = ITEM_LINE.match(row)
         if not found:
             continue
-        indent = len(found[1].replace("\t", "    "))
+        blanks, mark, rest = found.groups()
+        indent = len(blanks.replace("\t", "    "))
         while stack and stack[-1][0] >= indent:
             stack.pop()
         parent = stack[-1][1] if stack else None
         stack.append((indent, len(parents)))
-        row = {"line": at, "indent": indent, "status": found[2], "text": found[3], "section": section, "parent_line": None if parent is None else out["line"][parent], "nth": len(parents)}
-        for name, value in row.items():
-            out[name].append(value)
+        above.append(None if parent is None else line[parent])
+        line.append(at)
+        indents.append(indent)
+        status.append(mark)
+        texts.append(rest)
+        sections.append(section)
         parents.append(parent)
-    out["last"] = numbers(parents)
-    return out
+    return {"line": line, "indent": indents, "status": status, "text": texts, "section": sections, "parent_line": above, "nth": list(range(len(line))), "last": numbers(parents)}
+
+
+def item_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The items of batches of (path, body); items of many notes go into one batch."""
+    types = {"status": pa.string(), "text": pa.string(), "section": pa.string()}
+    for batch in batches:
+        owners: list[int] = []
+        found: dict[str, list] = {}
+        for i, body in enumerate(batch.column(1)):
+            if text := body.as_py():
+                own = items_of(text)
+                owners += [i] * len(own["line"])
+                for name, values in own.items():
+                    found.setdefault(name, []).extend(values)
+            if owners and (len(owners) >= BATCH_ITEMS or i == batch.num_rows - 1):
+                columns = {n: pa.array(v, types.get(n, pa.int32())) for n, v in found.items()}
+                yield pa.record_batch([batch.column(0).take(pa.array(owners)), *columns.values()], names=["path", *columns])
+                owners, found = [], {}
 
 
 def items(notes: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
     """One row for each list line: path, line, indent, task, status, checked, completed, text, section, the line of its parent, and its interval in the note's tree: ``nth``,
-    its place among the items, and ``last``, the place of the last item below it. Notes are read one by one, in time linear in their lines."""
+    its place among the items, and ``last``, the place of the last item below it. Notes are read one by one, in time linear in their lines; they are
+    dealt to all cores first, as a small file with many notes is few partitions."""
     kind = notes.schema[path].dataType.simpleString()
     schema = f"path {kind}, line int, indent int, status string, text string, section string, parent_line int, nth int, last int"
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                if text := batch.column(1)[i].as_py():
-                    found = items_of(text)
-                    own = pa.array([batch.column(0)[i].as_py()] * len(found["line"]), batch.column(0).type)
-                    types = {"status": pa.string(), "text": pa.string(), "section": pa.string()}
-                    yield pa.record_batch([own, *(pa.array(v, types.get(n, pa.int32())) for n, v in found.items())], names=["path", *found])
-
     order = "path, line, indent, status, text, section, parent_line, nth, last".split(", ")
-    found = notes.select(F.col(path).alias("path"), F.col(body).alias("body")).mapInArrow(run, schema).select(*order)
+    found = spread(notes.select(F.col(path).alias("path"), F.col(body).alias("body"))).mapInArrow(item_batches, schema).select(*order)
     status = F.col("status")
     return found.select(
         "path", "line", "indent", status.isNotNull().alias("task"), "status", F.coalesce(status != " ", F.lit(False)).alias("checked"), F.coalesce(status.isin("x", "X"), F.lit(False)).alias("completed"),

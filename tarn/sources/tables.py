@@ -17,6 +17,13 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in equal parts, three or more for each core, for steps that work long on each row: a small file with many rows is read as one partition or two."""
+    spark = rows.sparkSession
+    parts = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts)
+
+
 def write_cache(notes: DataFrame, path: str) -> None:
     """Notes as Parquet by class, so lookups of one class read one folder. Fields are kept as JSON text."""
     rows = notes.withColumn("fields", F.to_json("fields")).withColumn("cache_version", F.lit(CACHE_VERSION))

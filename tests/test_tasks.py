@@ -81,3 +81,18 @@ def test_cost_is_linear_in_lines():
         return best
 
     assert seconds(160_000) < 30 * seconds(16_000)  # a list for each line would take a hundred times as long
+
+
+def test_items_of_many_notes_share_batches_and_all_cores(spark):
+    import pyarrow as pa
+
+    texts = ["- [x] a\n  - b", None, ""] * 1000 + ["- c"]
+    given = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["path", "body"])
+    out = list(tasks.item_batches([given.slice(0, 0), given, given.slice(0, 3), given.slice(1, 2)]))
+    assert [b.num_rows for b in out] == [2001, 2]
+    assert out[0].column(0).to_pylist() == [i for i, t in enumerate(texts) for _ in range((t or "").count("- "))]
+    deep = pa.record_batch([pa.array([1, 2, 3]), pa.array(["- a\n" * tasks.BATCH_ITEMS, "- b", None])], names=["path", "body"])
+    assert [b.num_rows for b in tasks.item_batches([deep])] == [tasks.BATCH_ITEMS, 1]
+    notes = spark.createDataFrame([(i, "- a") for i in range(100)], "path long, body string").coalesce(1)
+    found = tasks.items(notes)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 100
