@@ -6,9 +6,9 @@ a SimHash fingerprint of its own, and a block is one part (short texts) or two:
 ones of every text with as many parts; the number of parts follows the number of shingles, and a text near a change of that number has the blocks of both.
 
 Texts with the same set of shingles are one node. Nodes meet by block: each is compared with the smallest node that it shares most blocks with, first by the Hamming distance of the
-whole texts' fingerprints, then by the shingles. What isn't close to that node goes into the next of ``ROUNDS`` rounds, without it. Last, nodes that are in different groups by then are compared
-if they are neighbours in a block, in the order of their fingerprints turned by a number of bits that is the block's own. So no block is ever multiplied with itself, and the shingles of nodes without
-company are never gathered.
+whole texts' fingerprints, then by the shingles. What isn't close to that node goes into the next of ``ROUNDS`` rounds, without it. The rounds only
+save work: last, all nodes that share a block and are in different groups by then are compared, so no two texts with a block in common, fingerprints within ``CLOSE_BITS`` and the similarity stay in
+different groups. Only blocks with several groups are multiplied with themselves, in chunks, and the shingles of nodes without company are never gathered.
 
 Defined results: a text with fewer words than a shingle has its whole sequence as its one shingle, texts without words (null, empty, blanks) are equal to each other. Repeated rows and null ids
 are rows like others; an empty table gives an empty result.
@@ -17,10 +17,8 @@ are rows like others; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +33,11 @@ BLOCKS = 16
 PART, SINGLE = 1.5, 16
 #: Bits in which fingerprints of close texts may differ; at 0.8 it is 10 with a deviation of 3.
 CLOSE_BITS = 24
+#: Rounds in which nodes meet one other each; what they leave is compared pair by pair.
 ROUNDS = 3
+#: Nodes of a block that one task holds while others pass by.
+CHUNK = 2000
+SETS = "node bigint, shingles array<bigint>, size int, parity array<bigint>"
 #: Words of 64 bits, as a power of two, of the map that tells which texts may be wanted.
 MAP_BITS = 17
 
@@ -63,6 +65,11 @@ def simhash(hashes: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
     return np.packbits(2 * np.diff(upto, axis=0) > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """256 bits: for each low byte whether an odd number of the shingles has it. Two texts' parities differ in no more bits than their sets differ in shingles."""
+    return np.packbits(np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) % 2 == 1).view(">i8").astype(np.int64)
+
+
 def levels(n: int) -> list[int]:
     """Powers of two of the numbers of parts of a text with n shingles: its own and that of a close text with more shingles."""
     own = lambda m: max(0, int(np.floor(np.log2(m / PART))))
@@ -118,7 +125,7 @@ def near_edges(rows: DataFrame, nodes: DataFrame, key: tuple[str, ...], folder:
     company = table(placed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select(F.col("block").alias("b")), "company", "b bigint")
     left = table(placed.join(company, F.col("block") == F.col("b"), "left_semi"), "met", "node bigint, fp bigint, block bigint")
     wanted = nodes.join(left.select(F.col("node").alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi").select("node", *key)
-    sets = table(sets_of(rows, wanted, key), "sets", "node bigint, shingles array<bigint>")
+    sets = table(sets_of(rows, wanted, key), "sets", SETS)
     met, edges = left, []
     for i in range(ROUNDS):
         pairs = centres(left)
@@ -133,7 +140,7 @@ def near_edges(rows: DataFrame, nodes: DataFrame, key: tuple[str, ...], folder:
     found = functools.reduce(DataFrame.unionByName, edges)
     labels = components(found).withColumnRenamed("node", "l")
     grouped = met.join(labels, F.col("node") == F.col("l"), "left").select("node", "fp", "block", F.coalesce("component", "node").alias("group"))
-    return found.unionByName(table(verified(neighbours(grouped), sets), "edges-last", "u bigint, v bigint"))
+    return found.unionByName(table(verified(apart(grouped, sets), sets), "edges-last", "u bigint, v bigint"))
 
 
 def centres(met: DataFrame) -> DataFrame:
@@ -146,27 +153,23 @@ def centres(met: DataFrame) -> DataFrame:
     return best.select("u", (-F.col("best.col3")).alias("v"))
 
 
-def neighbours(grouped: DataFrame) -> DataFrame:
-    """(u, v): nodes of different groups that stand next to each other, or next but one, in a block, if they are close. Sorted by ranges, so that a block of very many nodes lies
-    in several tasks."""
-    turn = F.pmod("block", F.lit(64)).cast("int")
-    turned = F.expr("shiftleft(fp, cast(pmod(block, 64L) as int))").bitwiseOR(F.expr("shiftrightunsigned(fp, 64 - cast(pmod(block, 64L) as int))"))
-    n = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = grouped.withColumn("turned", F.when(turn == 0, F.col("fp")).otherwise(turned)).repartitionByRange(n, "block", "turned", "node").sortWithinPartitions("block", "turned", "node")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = [np.zeros(0, np.int64)] * 4
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            node, fp, block, group = (np.concatenate([x, c.to_numpy()]) for x, c in zip(last, batch.columns))
-            for step in (1, 2):
-                bits = np.bitwise_count(fp[step:].view(np.uint64) ^ fp[:-step].view(np.uint64))
-                near = np.flatnonzero((block[step:] == block[:-step]) & (group[step:] != group[:-step]) & (bits <= CLOSE_BITS))
-                yield pa.record_batch([pa.array(node[near + step]), pa.array(node[near])], names=["u", "v"])
-            last = [c[-2:] for c in (node, fp, block, group)]
-
-    return placed.select("node", "fp", "block", "group").mapInArrow(run, "u bigint, v bigint").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+def apart(grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): all pairs of nodes of different groups that share a block, if their fingerprints are close, but for those whose sizes or parities alone show that their shingles aren't. A block of
+    more than ``CHUNK`` nodes is dealt by hash into chunks; each of its nodes meets the chunks one by one, so a task's memory is that of a chunk and a block of very many nodes lies in several tasks.
+    Blocks with a single group have nothing to compare."""
+    mixed = grouped.groupBy("block").agg(F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    mixed = checkpointed(mixed.select(F.col("block").alias("b"), F.ceil(F.col("n") / CHUNK).alias("chunks")))
+    placed = grouped.join(mixed, F.col("block") == F.col("b")).join(sets.select(F.col("node").alias("s"), "size", "parity"), F.col("node") == F.col("s"))
+    columns = ("node", "fp", "block", "group", "size", "parity")
+    ones = placed.select(*(F.col(c).alias(f"{c}_1") for c in columns), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk_1"))
+    others = placed.select(*columns, F.pmod(F.xxhash64("node"), "chunks").alias("chunk"))
+    met = ones.join(others, (F.col("block_1") == F.col("block")) & (F.col("chunk_1") == F.col("chunk")))
+    met = met.where((F.col("node_1") > F.col("node")) & (F.col("group_1") != F.col("group")) & (distance(F.col("fp_1"), F.col("fp")) <= CLOSE_BITS))
+    total = F.col("size_1") + F.col("size")
+    differing = functools.reduce(Column.__add__, (distance(F.get("parity_1", F.lit(i)), F.get("parity", F.lit(i))) for i in range(4)))
+    # of sets with a similarity s, (1 - s) / (1 + s) of all their members, counted in both, are in one only
+    met = met.where((F.least("size_1", "size") >= SIMILARITY * F.greatest("size_1", "size")) & (differing * (1 + SIMILARITY) <= (1 - SIMILARITY) * total + 1e-6))
+    return met.select(F.col("node_1").alias("u"), F.col("node").alias("v")).distinct()
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -184,9 +187,10 @@ def sets_of(rows: DataFrame, wanted: DataFrame, key: tuple[str, ...]) -> DataFra
     texts = maybe.join(wanted, list(key)).select("node", "text")
 
     def work(node, found: list) -> dict:
-        return {"node": node, "shingles": [shingles(t).view(np.int64) for t in found]}
+        own = [shingles(t) for t in found]
+        return {"node": node, "shingles": [x.view(np.int64) for x in own], "size": [len(x) for x in own], "parity": [parity(x) for x in own]}
 
-    return map_rows(texts, ["node", "text"], work, "node bigint, shingles array<bigint>")
+    return map_rows(texts, ["node", "text"], work, SETS)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -81,6 +81,28 @@ def test_pairs_inside_a_template_are_found(spark, words):
     assert set(range(60)) <= kept and len(kept) <= 66
 
 
+@pytest.mark.parametrize("chunk", [20, 2000])
+def test_no_pair_of_a_block_is_missed(spark, words, monkeypatch, tmp_path, chunk):
+    """Similar texts in one block with many others, far from each other in the order of fingerprints."""
+    monkeypatch.setattr(neardup, "CHUNK", chunk, raising=False)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(50)]
+    texts += [changed(rng, words, t, 1) for t in texts]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, text string").cache()
+    nodes = spark.createDataFrame([(i, i % 50 * 64 + (i // 50) * (2**62 + 1), [7], i) for i in range(100)], "node long, fp long, blocks array<bigint>, k long")
+    found = {(r.u, r.v) for r in neardup.near_edges(rows, nodes, KEY, f"file://{tmp_path}/near").collect()}
+    assert found == {(i + 50, i) for i in range(50) if texts[i] != texts[i + 50]}
+
+
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 300, 3000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.r_[a[: n // 2], rng.integers(0, 2**63, n // 3).astype(np.uint64)])
+        differing = int(np.bitwise_count((neardup.parity(a) ^ neardup.parity(b)).view(np.uint64)).sum())
+        assert len(neardup.parity(a)) == 4 and differing <= len(np.setxor1d(a, b)) and (differing - len(np.setxor1d(a, b))) % 2 == 0
+
+
 def test_edges(spark):
     texts = [None, "", " \n", "one", "one", "ONE", "a b c d", "a b c d e", "a b c d e f", "é " * 3000, "x" * 200_000, "x" * 200_000]
     df = spark.createDataFrame([(None if i == 3 else i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, k long")
