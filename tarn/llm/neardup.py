@@ -6,7 +6,8 @@ a SimHash fingerprint of its own, and a block is one part (short texts) or two:
 ones of every text with as many parts; the number of parts follows the number of shingles, and a text near a change of that number has the blocks of both.
 
 Texts with the same set of shingles are one node. Nodes meet by block: each is compared with the smallest node that it shares most blocks with, first by the Hamming distance of the
-whole texts' fingerprints, then by the shingles. What isn't close to that node goes into the next of ``ROUNDS`` rounds, without it. The rounds only
+whole texts' fingerprints, then by the shingles. What isn't close to that node goes into the next of ``ROUNDS`` rounds, without it. Then groups meet: in each of up to ``MERGES`` rounds every node is
+compared with one node of another group, drawn anew for each block, so the groups of a large cluster grow together before its pairs are formed. These rounds only
 save work: last, all nodes that share a block and are in different groups by then are compared, so no two texts with a block in common, fingerprints within ``CLOSE_BITS`` and the similarity stay in
 different groups. Only blocks with several groups are multiplied with themselves, in chunks, and the shingles of nodes without company are never gathered.
 
@@ -33,8 +34,8 @@ BLOCKS = 16
 PART, SINGLE = 1.5, 16
 #: Bits in which fingerprints of close texts may differ; at 0.8 it is 10 with a deviation of 3.
 CLOSE_BITS = 24
-#: Rounds in which nodes meet one other each; what they leave is compared pair by pair.
-ROUNDS = 3
+#: Rounds in which nodes meet one other each, and rounds in which those of different groups do; what they leave is compared pair by pair.
+ROUNDS, MERGES = 3, 4
 #: Nodes of a block that one task holds while others pass by.
 CHUNK = 2000
 SETS = "node bigint, shingles array<bigint>, size int, parity array<bigint>"
@@ -137,10 +138,20 @@ def near_edges(rows: DataFrame, nodes: DataFrame, key: tuple[str, ...], folder:
         left = table(rest.join(shared, F.col("block") == F.col("b"), "left_semi"), f"left-{i}", "node bigint, fp bigint, block bigint")
         if left.isEmpty():
             break
-    found = functools.reduce(DataFrame.unionByName, edges)
-    labels = components(found).withColumnRenamed("node", "l")
-    grouped = met.join(labels, F.col("node") == F.col("l"), "left").select("node", "fp", "block", F.coalesce("component", "node").alias("group"))
-    return found.unionByName(table(verified(apart(grouped, sets), sets), "edges-last", "u bigint, v bigint"))
+    labels = components(functools.reduce(DataFrame.unionByName, edges))
+    for i in range(MERGES):
+        edges.append(table(verified(drawn(labelled(met, labels), i), sets), f"merged-{i}", "u bigint, v bigint"))
+        if edges[-1].isEmpty():
+            break
+        labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edges[-1]))
+    edges.append(table(verified(apart(labelled(met, labels), sets), sets), "edges-last", "u bigint, v bigint"))
+    return functools.reduce(DataFrame.unionByName, edges)
+
+
+def labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes of the blocks with the group of each; a node without a label is a group of its own."""
+    named = labels.withColumnRenamed("node", "l")
+    return met.join(named, F.col("node") == F.col("l"), "left").select("node", "fp", "block", F.coalesce("component", "node").alias("group"))
 
 
 def centres(met: DataFrame) -> DataFrame:
@@ -153,6 +164,16 @@ def centres(met: DataFrame) -> DataFrame:
     return best.select("u", (-F.col("best.col3")).alias("v"))
 
 
+def drawn(grouped: DataFrame, turn: int) -> DataFrame:
+    """(u, v): each node with one node of another group, drawn by hash for each block and turn, of the drawn ones the one with the closest fingerprint. One pair a node, however large its blocks are."""
+    pivot = F.min_by(F.struct("node", "fp", "group"), F.xxhash64(F.lit(turn), "node")).alias("pivot")
+    mixed = grouped.groupBy("block").agg(F.min("group").alias("low"), F.max("group").alias("high"), pivot).where("low < high")
+    mixed = checkpointed(mixed.select(F.col("block").alias("b"), "pivot"))
+    met = grouped.join(mixed, F.col("block") == F.col("b")).where(F.col("group") != F.col("pivot.group")).withColumn("bits", distance(F.col("fp"), F.col("pivot.fp")))
+    best = met.where(F.col("bits") <= CLOSE_BITS).groupBy(F.col("node").alias("u")).agg(F.min(F.struct("bits", "pivot.node")).alias("best"))
+    return best.select(F.greatest("u", "best.node").alias("u"), F.least("u", "best.node").alias("v")).distinct()
+
+
 def apart(grouped: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): all pairs of nodes of different groups that share a block, if their fingerprints are close, but for those whose sizes or parities alone show that their shingles aren't. A block of
     more than ``CHUNK`` nodes is dealt by hash into chunks; each of its nodes meets the chunks one by one, so a task's memory is that of a chunk and a block of very many nodes lies in several tasks.

@@ -94,6 +94,30 @@ def test_no_pair_of_a_block_is_missed(spark, words, monkeypatch, tmp_path, chunk
     assert found == {(i + 50, i) for i in range(50) if texts[i] != texts[i + 50]}
 
 
+def test_a_large_cluster_merges_before_its_pairs_are_formed(spark, words, monkeypatch):
+    """Copies of a text that isn't there, each close to some of the others: their groups meet before all pairs do, and the same texts stay."""
+    rng = random.Random(6)
+    base = [rng.choice(words) for _ in range(80)]
+    texts = []
+    for _ in range(250):
+        own = list(base)
+        own[rng.randrange(80)] = rng.choice(words)
+        texts.append(" ".join(own))
+    rows = rows_of(spark, [*texts, " ".join(rng.choice(words) for _ in range(80))]).select("doc_id", "text", "k").cache()
+    formed, apart = [], neardup.apart
+
+    def counted(grouped, sets):
+        found = apart(grouped, sets)
+        formed.append(found.count())
+        return found
+
+    monkeypatch.setattr(neardup, "apart", counted)
+    kept = [r.k for r in neardup.firsts(rows, KEY).collect()]
+    monkeypatch.setattr(neardup, "MERGES", 0)
+    assert sorted(kept) == sorted(r.k for r in neardup.firsts(rows, KEY).collect()) == [0, 250]
+    assert formed[0] <= 250 < 1000 <= formed[1]
+
+
 def test_parity_bounds_the_difference():
     rng = np.random.default_rng(2)
     for n in (0, 1, 5, 300, 3000):
