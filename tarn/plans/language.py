@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -950,16 +950,37 @@ class Engine:
         header, wanted = self.header(), {".".join(p): p for p in self.unknown_names(nodes) if HEADER + ".".join(p) not in df.columns}
         if header is None or not wanted:
             return df
-        depths: dict[int, list[str]] = {}
+        depths: dict[int, list[str]] = {1: []}
         for name, path in wanted.items():
             depths.setdefault(len(path), []).append(name)
-        found = F.struct(*(dynamic.of_variant(header_part(F.col(header), n)).alias(n) for n in depths.pop(1)))
-        known = [n for n, path in wanted.items() if len(path) == 1]
+        taken = sorted({p[0] for p in wanted.values()} - set(depths[1]))  # by an earlier step
+        first = {n: dynamic.of_variant(header_part(F.col(header), n)) for n in depths.pop(1)} | {n: F.col(f"`{HEADER}{n}`") for n in taken}
+        found, known = F.struct(*(c.alias(n) for n, c in first.items())), list(first)
         for _, names in sorted(depths.items()):
             found, known = dynamic.bind(found, with_fields(known, names)), known + names
         # one row from one row: unlike a projection, a generator isn't repeated in every filter and column that reads it
         df = df.select("*", F.explode(F.array(found)).alias("__headers"))
-        return df.select(*(F.col(f"`{c}`") for c in df.columns if c != "__headers"), *(F.col("__headers")[n].alias(HEADER + n) for n in known))
+        return df.select(*(F.col(f"`{c}`") for c in df.columns if c != "__headers"), *(F.col("__headers")[n].alias(HEADER + n) for n in known if n not in taken))
+
+    def filtered(self, parsed: Query) -> tuple[DataFrame, int]:
+        """The notes behind the tests that a query begins with, and the number of commands that this does. Test by test: the header fields that a test needs are only taken out of the notes
+        that the tests before it leave. Tests of linked notes, or of fields inside of header fields, come later with all else."""
+        df, n = self.notes, 0
+        for word, part in parsed.commands:
+            tests = conjuncts(part) if word == "where" else []
+            if not tests or not all(map(self.is_plain, tests)):
+                break
+            for test in tests:
+                df = self.with_headers(df, [test])
+                df = df.where(Compiler(df, self.now, self.this, look_up=self.look_up).true(test))
+            n += 1
+        return df, n
+
+    def is_plain(self, test: Node) -> bool:
+        """Whether a test reads columns and whole header fields only."""
+        roots = {path[0] for path in map(dotted, walk(test)) if path}
+        kinds = {x.kind for x in walk(test)}
+        return not kinds & {"link", "row", "lambda"} and not roots & {"this", "file", "row"} and not any(self.is_link(self.notes, r) for r in roots) and all(len(p) == 1 for p in self.unknown_names([test]))
 
     def with_linked(self, df: DataFrame, nodes: list[Node]) -> DataFrame:
         """Fields of linked notes that the expressions read (``owner.team.name``): the tail of a chain is joined to the notes of the hop before it, each note once, and rows are
@@ -1024,18 +1045,22 @@ class Engine:
             return result.select(commands.markdown_list(result).alias("line"))
         return result.select(commands.markdown_table(result).alias("line"))
 
-    def query(self, text: str) -> DataFrame:
-        return self.planned(read(text))
+    def query(self, text: str, ordered: bool = True) -> DataFrame:
+        return self.planned(read(text), ordered)
 
-    def planned(self, parsed: Query) -> DataFrame:
+    def planned(self, parsed: Query, ordered: bool = True) -> DataFrame:
+        """The rows of a query. Unless they are to be ``ordered``, a sort that the query ends with is left out, for callers that unite, count or sort them otherwise; all rows are there either way."""
+        if not ordered and parsed.commands and parsed.commands[-1][0] == "sort":
+            parsed = replace(parsed, commands=parsed.commands[:-1])
         every = parsed.expressions()
         folds, whole = groups.folds_in(every, Node)
         every += [n for fold in folds.values() for n in fold.nodes()]
         if whole:  # fields of listed rows may be header fields too
             every += [Node("name", n.value) for node in every for n in walk(node) if n.kind == "field"]
-        df = self.with_linked(self.with_headers(self.notes, every), every)
+        df, done = self.filtered(parsed)
+        df = self.with_linked(self.with_headers(df, every), every)
         now = self.now
-        steps, at = parsed.commands, 0
+        steps, at = parsed.commands[done:], 0
         grouped = False
         columns = list(parsed.columns)
         while at < len(steps):
@@ -1152,6 +1177,11 @@ def nodes_of(word: str, part: Any) -> list[Node]:
     return [part] if isinstance(part, Node) else []
 
 
+def conjuncts(test: Node) -> list[Node]:
+    """The tests that a test joins with ``and``."""
+    return [c for a in test.args for c in conjuncts(a)] if test.kind == "and" else [test]
+
+
 def rewrite(part: Any, swap: dict[str, Node]) -> Any:
     if isinstance(part, Node):
         return swap.get(repr(part)) or Node(part.kind, part.value, [rewrite(a, swap) for a in part.args])
