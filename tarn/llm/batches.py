@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of queries that are put together inside go as soon as such a query ends. Otherwise they stay until the driver's garbage collector finds that nothing names them, and a driver with
+    little to do hardly ever looks: a loop of many small queries then leaves all its files behind."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def refuse_names(keep: tuple[str, ...], own: set[str]) -> None:
     """Columns to keep must not have names that the operator gives to its own columns."""
     if clash := {c.lower() for c in keep} & {c.lower() for c in own}:

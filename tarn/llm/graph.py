@@ -8,6 +8,8 @@ comes to the driver but one checksum for each round.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +30,14 @@ def star(edges: DataFrame, larger: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for each node of the edges (u, v); the component is its smallest node. Self-loops are ignored."""
-    now = checkpointed(edges.select("u", "v").where("u <> v").distinct())
+def components(edges: DataFrame, kept: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
+    """(node, component) for each node of the edges (u, v); the component is its smallest node. Self-loops are ignored. ``kept`` stores the edges of a round and reads them again."""
+    now = kept(edges.select("u", "v").where("u <> v").distinct())
     last = None
     for _ in range(MOST_ROUNDS):
         total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(total) == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         last = tuple(total)
-        now = checkpointed(star(star(now, True), False))
+        now = kept(star(star(now, True), False))
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

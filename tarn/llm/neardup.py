@@ -6,8 +6,8 @@ a SimHash fingerprint of its own, and a block is one part (short texts) or two:
 ones of every text with as many parts; the number of parts follows the number of shingles, and a text near a change of that number has the blocks of both.
 
 Texts with the same set of shingles are one node. Nodes meet by block: each is compared with the smallest node that it shares most blocks with, first by the Hamming distance of the
-whole texts' fingerprints, then by the shingles. What isn't close to that node goes into the next of ``ROUNDS`` rounds, without it. Then groups meet: in each of up to ``MERGES`` rounds every node is
-compared with one node of another group, drawn anew for each block, so the groups of a large cluster grow together before its pairs are formed. These rounds only
+whole texts' fingerprints, then by the shingles. What isn't close to that node goes into the next of ``ROUNDS`` rounds, without it. Then groups meet: ``MERGES`` nodes are drawn in each block, and every
+node is compared with up to that many of other groups, so the groups of a large cluster grow together before its pairs are formed. These steps only
 save work: last, all nodes that share a block and are in different groups by then are compared, so no two texts with a block in common, fingerprints within ``CLOSE_BITS`` and the similarity stay in
 different groups. Only blocks with several groups are multiplied with themselves, in chunks, and the shingles of nodes without company are never gathered.
 
@@ -18,13 +18,14 @@ are rows like others; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.batches import checkpointed, map_rows, shared_folder
+from tarn.llm.batches import checkpointed, map_rows, shared_folder, shuffles_removed
 from tarn.llm.graph import components
 
 SEED = 42
@@ -34,7 +35,7 @@ BLOCKS = 16
 PART, SINGLE = 1.5, 16
 #: Bits in which fingerprints of close texts may differ; at 0.8 it is 10 with a deviation of 3.
 CLOSE_BITS = 24
-#: Rounds in which nodes meet one other each, and rounds in which those of different groups do; what they leave is compared pair by pair.
+#: Rounds in which nodes meet one other each, and nodes of a block that are drawn for those of other groups; what they leave is compared pair by pair.
 ROUNDS, MERGES = 3, 4
 #: Nodes of a block that one task holds while others pass by.
 CHUNK = 2000
@@ -113,39 +114,57 @@ def sketches(df: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFr
     return map_rows(df, [*keep, text], work, f"{kept}, set_1 bigint, set_2 bigint, fp bigint, blocks array<bigint>")
 
 
+class Tables:
+    """Tables of one run, below a folder that all executors share. Small ones are read again by few tasks, so what follows has few shuffle files, and none has a lineage."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.numbers = spark, folder, itertools.count()
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/table-{next(self.numbers)}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def near_edges(rows: DataFrame, nodes: DataFrame, key: tuple[str, ...], folder: str) -> DataFrame:
     """(u, v) of near-duplicates among ``nodes`` (node, fp, blocks and the ``key`` of one of their rows), verified on the texts of ``rows``, which has each key once. What is found links every
     group of close texts, not every pair in it."""
-    spark = rows.sparkSession
+    return functools.reduce(DataFrame.unionByName, near_groups(rows, nodes, key, Tables(rows.sparkSession, folder))[0])
 
-    def table(df: DataFrame, name: str, schema: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(schema).parquet(f"{folder}/{name}")
 
+def near_groups(rows: DataFrame, nodes: DataFrame, key: tuple[str, ...], table: Tables) -> tuple[list[DataFrame], DataFrame]:
+    """The parts of :func:`near_edges` and the (node, component) that they make."""
     placed = nodes.select("node", "fp", F.explode("blocks").alias("block"))
-    company = table(placed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select(F.col("block").alias("b")), "company", "b bigint")
-    left = table(placed.join(company, F.col("block") == F.col("b"), "left_semi"), "met", "node bigint, fp bigint, block bigint")
+    company = table(placed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select(F.col("block").alias("b")))
+    left = table(placed.join(company, F.col("block") == F.col("b"), "left_semi"))
     wanted = nodes.join(left.select(F.col("node").alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi").select("node", *key)
-    sets = table(sets_of(rows, wanted, key), "sets", SETS)
+    sets = table(sets_of(rows, wanted, key))
     met, edges = left, []
     for i in range(ROUNDS):
-        pairs = centres(left)
-        edges.append(table(verified(pairs, sets), f"edges-{i}", "u bigint, v bigint"))
+        pairs = table(centres(left, table))
+        edges.append(table(verified(pairs, sets)))
+        if i == ROUNDS - 1:
+            break
         # linked nodes and the nodes that the others were compared with are done; a block with one node is, too
         done = edges[-1].select(F.col("u").alias("d")).union(pairs.select(F.col("v").alias("d"))).distinct()
-        rest = left.join(done, F.col("node") == F.col("d"), "left_anti")
-        shared = checkpointed(rest.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select(F.col("block").alias("b")))
-        left = table(rest.join(shared, F.col("block") == F.col("b"), "left_semi"), f"left-{i}", "node bigint, fp bigint, block bigint")
+        rest = table(left.join(done, F.col("node") == F.col("d"), "left_anti"))
+        shared = rest.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select(F.col("block").alias("b"))
+        left = table(rest.join(shared, F.col("block") == F.col("b"), "left_semi"))
         if left.isEmpty():
             break
-    labels = components(functools.reduce(DataFrame.unionByName, edges))
-    for i in range(MERGES):
-        edges.append(table(verified(drawn(labelled(met, labels), i), sets), f"merged-{i}", "u bigint, v bigint"))
-        if edges[-1].isEmpty():
-            break
-        labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edges[-1]))
-    edges.append(table(verified(apart(labelled(met, labels), sets), sets), "edges-last", "u bigint, v bigint"))
-    return functools.reduce(DataFrame.unionByName, edges)
+    labels = table(components(functools.reduce(DataFrame.unionByName, edges), table))
+    if MERGES:
+        edges.append(table(verified(drawn(labelled(met, labels), table), sets)))
+        labels = grown(labels, edges[-1], table)
+    edges.append(table(verified(apart(labelled(met, labels), sets), sets)))
+    return edges, grown(labels, edges[-1], table)
+
+
+def grown(labels: DataFrame, edges: DataFrame, table: Tables) -> DataFrame:
+    """The labels with more edges."""
+    if edges.isEmpty():
+        return labels
+    return table(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edges), table))
 
 
 def labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
@@ -154,24 +173,30 @@ def labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
     return met.join(named, F.col("node") == F.col("l"), "left").select("node", "fp", "block", F.coalesce("component", "node").alias("group"))
 
 
-def centres(met: DataFrame) -> DataFrame:
+def centres(met: DataFrame, table: Tables) -> DataFrame:
     """(u, v): each node with the smallest node of a block, of the one that it shares most blocks with, if their fingerprints are close."""
     # written, so that the nodes of a hot block stay where they are or are split
-    least = checkpointed(met.groupBy("block").agg(F.min(F.struct("node", "fp")).alias("least")).withColumnRenamed("block", "b"))
+    least = table(met.groupBy("block").agg(F.min(F.struct("node", "fp")).alias("least")).withColumnRenamed("block", "b"))
     shared = met.join(least, F.col("block") == F.col("b")).where(F.col("node") > F.col("least.node"))
     shared = shared.groupBy(F.col("node").alias("u"), F.col("least.node").alias("v")).agg(F.count("*").alias("n"), F.first(distance(F.col("fp"), F.col("least.fp"))).alias("bits"))
     best = shared.where(F.col("bits") <= CLOSE_BITS).groupBy("u").agg(F.max(F.struct("n", -F.col("bits"), -F.col("v"))).alias("best"))
     return best.select("u", (-F.col("best.col3")).alias("v"))
 
 
-def drawn(grouped: DataFrame, turn: int) -> DataFrame:
-    """(u, v): each node with one node of another group, drawn by hash for each block and turn, of the drawn ones the one with the closest fingerprint. One pair a node, however large its blocks are."""
-    pivot = F.min_by(F.struct("node", "fp", "group"), F.xxhash64(F.lit(turn), "node")).alias("pivot")
-    mixed = grouped.groupBy("block").agg(F.min("group").alias("low"), F.max("group").alias("high"), pivot).where("low < high")
-    mixed = checkpointed(mixed.select(F.col("block").alias("b"), "pivot"))
-    met = grouped.join(mixed, F.col("block") == F.col("b")).where(F.col("group") != F.col("pivot.group")).withColumn("bits", distance(F.col("fp"), F.col("pivot.fp")))
-    best = met.where(F.col("bits") <= CLOSE_BITS).groupBy(F.col("node").alias("u")).agg(F.min(F.struct("bits", "pivot.node")).alias("best"))
-    return best.select(F.greatest("u", "best.node").alias("u"), F.least("u", "best.node").alias("v")).distinct()
+def drawn(grouped: DataFrame, table: Tables) -> DataFrame:
+    """(u, v): each node with nodes of other groups. ``MERGES`` times a node is drawn by hash in each block; of those drawn at one time in its blocks, a node meets the one with the closest fingerprint. At most
+    ``MERGES`` pairs a node, however large its blocks are."""
+    pivots = [F.min_by(F.struct("node", "fp", "group"), F.xxhash64(F.lit(turn), "node")).alias(f"p{turn}") for turn in range(MERGES)]
+    mixed = grouped.groupBy("block").agg(F.min("group").alias("low"), F.max("group").alias("high"), *pivots).where("low < high")
+    mixed = table(mixed.withColumnRenamed("block", "b").drop("low", "high"))
+
+    def closest(turn: int) -> Column:
+        pivot, bits = F.col(f"p{turn}"), distance(F.col("fp"), F.col(f"p{turn}.fp"))
+        return F.min(F.when((F.col("group") != pivot["group"]) & (bits <= CLOSE_BITS), F.struct(bits.alias("bits"), pivot["node"].alias("node"))))
+
+    met = grouped.join(mixed, F.col("block") == F.col("b")).groupBy(F.col("node").alias("u")).agg(*(closest(turn).alias(f"p{turn}") for turn in range(MERGES)))
+    found = met.select("u", F.explode(F.array_compact(F.array(*(F.col(f"p{turn}.node") for turn in range(MERGES))))).alias("v"))
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def apart(grouped: DataFrame, sets: DataFrame) -> DataFrame:
@@ -226,18 +251,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def firsts(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``key`` of the row that comes first by ``order`` (null last, then by key) in each group of near-duplicates of ``rows`` (key, order, text)."""
     spark = rows.sparkSession
-    folder = shared_folder(spark, "near-duplicates")
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (*key, *order)}
-    sketches(rows, tuple(kinds)).write.parquet(f"{folder}/sketches")
-    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
-    made = spark.read.schema(f"{schema}, set_1 bigint, set_2 bigint, fp bigint, blocks array<bigint>").parquet(f"{folder}/sketches")
     rank = F.struct(*(c for o in order for c in (F.col(o).isNull(), F.col(o))), *key)
-    same = made.groupBy("set_1", "set_2").agg(F.min_by(F.struct(*kinds), rank).alias("best"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks"))
-    # numbers are given once, as the table is written
-    same.select(F.monotonically_increasing_id().alias("node"), "best.*", "fp", "blocks").write.parquet(f"{folder}/nodes")
-    nodes = spark.read.schema(f"node bigint, {schema}, fp bigint, blocks array<bigint>").parquet(f"{folder}/nodes")
-    if not made.groupBy(*key).count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(list(key))  # rows that agree in their key agree in everything; seldom, so texts are only shuffled for it if need be
-    labels = components(near_edges(rows, nodes, key, folder)).withColumnRenamed("node", "n")
+    with shuffles_removed(spark):
+        table = Tables(spark, shared_folder(spark, "near-duplicates"))
+        made = table(sketches(rows, tuple(kinds)))
+        same = made.groupBy("set_1", "set_2").agg(F.min_by(F.struct(*kinds), rank).alias("best"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks"))
+        # numbers are given once, as the table is written
+        nodes = table(same.select(F.monotonically_increasing_id().alias("node"), "best.*", "fp", "blocks"))
+        if not made.groupBy(*key).count().where("count > 1").isEmpty():
+            rows = rows.dropDuplicates(list(key))  # rows that agree in their key agree in everything; seldom, so texts are only shuffled for it if need be
+        labels = near_groups(rows, nodes, key, table)[1].withColumnRenamed("node", "n")
     named = nodes.join(labels, F.col("node") == F.col("n"), "left").select(F.coalesce("component", "node").alias("group"), F.struct(*key).alias("key"), rank.alias("rank"))
     return named.groupBy("group").agg(F.min_by("key", "rank").alias("key")).select("key.*")

@@ -118,6 +118,34 @@ def test_a_large_cluster_merges_before_its_pairs_are_formed(spark, words, monkey
     assert formed[0] <= 250 < 1000 <= formed[1]
 
 
+def test_shuffle_files_go_with_their_queries(spark, words):
+    """No garbage collection is needed for it: the rounds' small queries would leave thousands of files."""
+    import gc
+    import glob
+    import time
+
+    rng = random.Random(9)
+    base = [rng.choice(words) for _ in range(60)]
+    texts = []
+    for _ in range(80):
+        own = list(base)
+        own[rng.randrange(60)] = rng.choice(words)
+        texts.append(" ".join(own))
+    rows = rows_of(spark, texts).select("doc_id", "text", "k")
+    where = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in where for f in glob.glob(f"{d}/*/shuffle_*")}
+    gc.collect()
+    before = files()
+    first = neardup.firsts(rows, KEY)  # its own query is not run yet
+    for _ in range(50):
+        if len(files() - before) <= 60:
+            break
+        time.sleep(0.1)
+    assert len(files() - before) <= 60
+    assert [r.k for r in first.collect()] == [0]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_parity_bounds_the_difference():
     rng = np.random.default_rng(2)
     for n in (0, 1, 5, 300, 3000):
