@@ -294,6 +294,13 @@ def key(value: Column) -> Column:
     return bind(scalar_key(value), lambda k: F.struct(k["rank"].alias("rank"), k["number"].alias("number"), F.when(~listed, k["text"]).alias("text"), inner.alias("items")))
 
 
+@once
+def same_key(value: Column) -> Column:
+    """The same for values of one key and different for others, without an order. Numbers are texts, as Spark would normalise doubles anew wherever it groups by them."""
+    plain = lambda k: F.struct(k["rank"].alias("rank"), k["number"].cast("string").alias("number"), k["text"].alias("text"))
+    return bind(key(value), lambda k: F.struct(*(plain(k)[n].alias(n) for n in ("rank", "number", "text")), F.transform(k["items"], plain).alias("items")))
+
+
 def key_of(column: Column, kind: T.DataType) -> Column:
     return key(of(column, kind))
 

@@ -168,12 +168,13 @@ def aggregate(compiler: Any, fold: Fold) -> Column:
     counted = F.lit(True)
     for t in tests:
         counted = counted & t
+    counted = compiler.hold(counted) if tests else counted
     only = (lambda c: F.when(counted, c)) if tests else (lambda c: c)
     n = F.count_if(counted) if tests else F.count(F.lit(1))
     if fold.name == "length":
         return n.cast("int")
     if fold.name in ("any", "some", "all", "every", "none"):
-        test = compiler.true(fold.by)
+        test = compiler.hold(compiler.true(fold.by))
         if fold.name in ("all", "every"):
             return F.coalesce(F.bool_and(only(test)), F.lit(True))
         some = F.coalesce(F.bool_or(only(test)), F.lit(False))
@@ -181,24 +182,23 @@ def aggregate(compiler: Any, fold: Fold) -> Column:
     value, kind = compiler.typed(fold.stream.element)
     one = dynamic.is_value(kind)
     if fold.name == "distinct":
-        plain = dynamic.key(value) if one else value
+        plain = compiler.hold(dynamic.same_key(value)) if one else value
         absent = F.lit(False) if one else value.isNull()
         return (F.count_distinct(only(plain)) + F.coalesce(F.max(only(absent.cast("int"))), F.lit(0))).cast("int")
     if fold.name in ("minby", "maxby"):
         key, key_kind = compiler.typed(fold.by)
         rows = row_order(compiler.df)
-        if fold.name == "minby":
-            return F.min_by(value, only(F.struct(order(key, key_kind).alias("k"), rows.alias("row"))))
-        return F.min_by(value, only(F.struct(falling(key, key_kind).alias("k"), rows.alias("row"))))
+        least = compiler.hold((order if fold.name == "minby" else falling)(key, key_kind))
+        return F.min_by(value, only(F.struct(least.alias("k"), rows.alias("row"))))
     if fold.name in ("min", "max"):
         if one or values.type_name(kind) == "duration":
-            key = dynamic.key(value) if one else durations.length(value)
+            key = compiler.hold(dynamic.key(value)) if one else durations.length(value)
             set_ = value["kind"] != "null" if one else value.isNotNull()
             found = (F.min_by if fold.name == "min" else F.max_by)(value, F.when(counted & set_, key))
             return F.coalesce(found, dynamic.null()) if one else found
         return (F.min if fold.name == "min" else F.max)(only(value))
     if one:
-        return fold_values(fold.name, value, only, n)
+        return fold_values(fold.name, compiler.hold(value), only, n)
     if values.type_name(kind) == "duration":
         if fold.name == "product":
             raise ValueError("product is not defined for durations")

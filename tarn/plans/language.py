@@ -352,8 +352,18 @@ class Compiler:
     def __init__(self, df: DataFrame, clock: Column, this: dict[str, Any], names: dict[str, tuple[Column, T.DataType]] | None = None, look_up: Callable[[str, str], Any] | None = None, blank: DataFrame | None = None):
         self.df, self.clock, self.this, self.names, self.blank = df, clock, this, names or {}, blank
         self.kinds = {f.name: f.dataType for f in df.schema}
+        #: Expressions to be computed once a row before rows are grouped; None where nothing may be added to the rows.
+        self.held: dict[str, Column] | None = None
         self.look_up = look_up or (lambda target, name: F.lit(None).cast("string"))
 
+    def hold(self, column: Column) -> Column:
+        """An expression by name, where a plan would compute it over and over (Spark's sorts do so for each comparison)."""
+        if self.held is None:
+            return column
+        name = f"{HELD}{len(self.held)}"
+        self.held[name] = column
+        return F.col(name)
+
     def kind(self, column: Column) -> T.DataType:
         if self.blank is None:  # types are asked of an empty table of this schema, whose plan is small however long the query
             self.blank = self.df.sparkSession.createDataFrame([], self.df.schema)
@@ -843,6 +853,16 @@ DATE_FUNCTIONS = {"dateformat", "striptime", "localtime"}
 TESTS = {"contains", "icontains", "econtains", "all", "any", "none", "every", "some"}
 #: Columns that the engine adds: header fields by their path, and fields of linked notes.
 HEADER, LINKED = "__header.", "__linked."
+#: Columns that hold what a sort or a group needs of a row.
+HELD = "__held_"
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The rows with more columns, each computed once. One row from one row: unlike a projection, a generator isn't merged into the sorts and aggregates that read it."""
+    if not columns:
+        return df
+    rows = df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("__computed"))
+    return rows.select(*(F.col(f"`{c}`") for c in df.columns), *(F.col("__computed")[n].alias(n) for n in columns))
 
 
 def with_fields(known: list[str], names: list[str]) -> Callable[[Column], Column]:
@@ -1079,14 +1099,19 @@ class Engine:
                 else:
                     df = commands.flatten(df, column, part[1])
             elif word == "sort":
-                df = commands.sort(df, *((order_of(*compiler.typed(n)), way) for n, way in part))
+                typed = [compiler.typed(n) for n, _ in part]
+                keys = {f"{HELD}{i}": order_of(c, k) for i, (c, k) in enumerate(typed) if dynamic.is_value(k) or dynamic.is_list(k)}
+                order = [(F.col(f"{HELD}{i}") if f"{HELD}{i}" in keys else order_of(*typed[i]), way) for i, (_, way) in enumerate(part)]
+                df = commands.sort(computed(df, keys), *order).drop(*keys)
             elif word == "limit":
                 df = df.limit(part)
             else:
                 node, name = part
                 rest = [n for w, p in steps[at:] for n in nodes_of(w, p)] + [n for n, _ in columns]
                 found, whole = groups.folds_in(rest, Node)
+                compiler.held = None if whole else {}  # listed rows have no columns but their own
                 made = {f"__agg{i}": groups.aggregate(compiler, fold) for i, fold in enumerate(found.values())}
+                df = computed(df, compiler.held or {})
                 swap = {text: Node("name", k) for k, text in zip(made, found)}
                 df = commands.grouped(df, *compiler.typed(node), name, made, whole)
                 steps = steps[:at] + [(w, rewrite(p, swap)) for w, p in steps[at:]]
