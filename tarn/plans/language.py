@@ -853,7 +853,7 @@ DATE_FUNCTIONS = {"dateformat", "striptime", "localtime"}
 TESTS = {"contains", "icontains", "econtains", "all", "any", "none", "every", "some"}
 #: Columns that the engine adds: header fields by their path, and fields of linked notes.
 HEADER, LINKED = "__header.", "__linked."
-#: Columns that hold what a sort or a group needs of a row.
+#: Columns that hold what a group needs of a row.
 HELD = "__held_"
 
 
@@ -1099,10 +1099,7 @@ class Engine:
                 else:
                     df = commands.flatten(df, column, part[1])
             elif word == "sort":
-                typed = [compiler.typed(n) for n, _ in part]
-                keys = {f"{HELD}{i}": order_of(c, k) for i, (c, k) in enumerate(typed) if dynamic.is_value(k) or dynamic.is_list(k)}
-                order = [(F.col(f"{HELD}{i}") if f"{HELD}{i}" in keys else order_of(*typed[i]), way) for i, (_, way) in enumerate(part)]
-                df = commands.sort(computed(df, keys), *order).drop(*keys)
+                df = commands.sort(df, *((order_of(*compiler.typed(n)), way) for n, way in part))
             elif word == "limit":
                 df = df.limit(part)
             else:
