@@ -1024,17 +1024,19 @@ class Engine:
         return name in self.link_fields or (name in df.columns and values.type_name(df.schema[name].dataType) == "link")
 
     def followed(self, df: DataFrame, link: Column, root: str, tree: dict) -> DataFrame:
-        """The rows with ``tree`` of the notes that a link column names, under the name of the path."""
+        """The rows with ``tree`` of the notes that a link column names, under the name of the path. Rows without a link are dealt out by their own path: as null keys of the
+        join they would all go to one task."""
         tree = {name: below for name, below in tree.items() if name not in LINK_PARTS}  # these are the link's own
         kind = df.select(link.alias("t")).schema[0].dataType
         target = F.when(link["kind"] == "link", link["text"]) if dynamic.is_value(kind) else link["path"]
         pages = self.pages(tree)
-        renamed = pages.select(F.col("__key"), *(F.col(f"page.`{c}`").alias(f"{LINKED}{root}.{c}") for c in pages.schema["page"].dataType.names))
-        return df.join(renamed, target == F.col("__key"), "left").drop("__key")
+        renamed = pages.select("__dealt", "__key", *(F.col(f"page.`{c}`").alias(f"{LINKED}{root}.{c}") for c in pages.schema["page"].dataType.names))
+        dealt = F.xxhash64(F.coalesce(target, F.col(self.path)))
+        return df.join(renamed, (dealt == F.col("__dealt")) & (target == F.col("__key")), "left").drop("__dealt", "__key")
 
     def pages(self, tree: dict) -> DataFrame:
-        """(__key, page) for every name that a link may use: a note's path with or without its ending, or its base name (the first path of several). ``page`` has a
-        field for each path of the tree."""
+        """(__dealt, __key, page) for every name that a link may use: a note's path with or without its ending, or its base name (the first path of several). ``page`` has a
+        field for each path of the tree; ``__dealt`` is the name's hash."""
         notes = self.with_headers(self.notes, [Node("name", name) for name in tree])
         for name, below in tree.items():
             compiler = Compiler(notes, self.now, self.this)
@@ -1047,7 +1049,7 @@ class Engine:
         shown = [compiler.column(name).alias(name) for name in tree]
         deeper = [F.col(f"`{c}`").alias(c.removeprefix(LINKED)) for c in notes.columns if c.startswith(LINKED)]
         found = notes.select(F.explode(keys).alias("__key"), path.alias("__path"), F.struct(*shown, *deeper).alias("page"))
-        return found.groupBy("__key").agg(F.min_by("page", "__path").alias("page"))
+        return found.groupBy(F.xxhash64("__key").alias("__dealt"), "__key").agg(F.min_by("page", "__path").alias("page"))
 
     def view(self, name: str, given: Any = None) -> DataFrame:
         """The result of a registered script."""

@@ -1,9 +1,11 @@
 """Header fields in query text: types by value, one order over all types, durations, aggregates out of rows, chains of links, names that nothing defines."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.functions import dynamic, durations
+from tarn.functions import dynamic, durations, values
 from tarn.plans.language import Engine, QueryError, read
 from tarn.sources import notes
 
@@ -152,3 +154,20 @@ def test_keys_of_groups_are_computed_once_a_row(spark):
     assert {r.kind: r.n for r in counts.collect()} == {"null": 1, "number": 2, "string": 1}
     sorts = [x for x in counts._jdf.queryExecution().executedPlan().toString().split("\n") if " Sort [" in x]
     assert sorts and not any("lambda" in x for x in sorts)
+
+
+def test_rows_without_a_link_are_dealt_out(spark):
+    """A join's null keys would all go to one task."""
+    rows = spark.createDataFrame([(f"n{i}.md", f"N{i}", f"n{i % 2}" if i < 10 else None) for i in range(1000)], "path string, title string, target string")
+    engine = Engine(rows.select("path", "title", values.link(F.col("target")).alias("up")))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = engine.query("TABLE WITHOUT ID title, up.title AS above, up.up.title AS top").withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.title, r.above, r.top) for r in found if r.above) == [(f"N{i}", f"N{i % 2}", f"N{i % 2 % 2}") for i in range(10)]
+    assert len(found) == 1000 and max(Counter(r.part for r in found).values()) < 500
