@@ -41,18 +41,19 @@ def is_list(kind: T.DataType) -> bool:
     return isinstance(kind, T.ArrayType) and is_value(kind.elementType)
 
 
-_lambdas: dict[tuple, Column] = {}
+_lambdas: dict[tuple, tuple[Column, Column]] = {}
 
 
 def bind(value: Column, function: Callable[[Column], Column], *name: object) -> Column:
-    """``function(value)`` with the value computed once, however often the function names it. A function that uses nothing but its argument may give itself a name, and is
-    then put together once for a Spark application; large expressions take some time to build."""
+    """``function(value)`` with the value computed once, however often the function names it: the last step of a sum over no elements, which, unlike a list of one, is neither
+    copied nor asked for its type in each row. A function that uses nothing but its argument may give itself a name, and is then put together once for a Spark application;
+    large expressions take some time to build."""
     if not name or _create_lambda is None:
-        return F.get(F.transform(F.array(value), function), F.lit(0))
+        return F.aggregate(F.array(), value, lambda v, _: v, function)
     key = (SparkContext._active_spark_context and SparkContext._active_spark_context.applicationId, *name)
     if key not in _lambdas:
-        _lambdas[key] = Column(_create_lambda(function))
-    return F.get(F.call_function("transform", F.array(value), _lambdas[key]), F.lit(0))
+        _lambdas[key] = (Column(_create_lambda(lambda v, _: v)), Column(_create_lambda(function)))
+    return F.call_function("aggregate", F.array(), value, *_lambdas[key])
 
 
 def once(function: Callable[..., Column]) -> Callable[..., Column]:

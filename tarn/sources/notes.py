@@ -116,13 +116,17 @@ QUOTED = r"""^\s*"(?:[^"\\]|\\.)*"(?:\s*,\s*"(?:[^"\\]|\\.)*")*\s*,?\s*$"""
 def inline_value(text: Column) -> Column:
     """VARIANT of an inline field's text: a number, true or false, a list of numbers or of quoted texts, else the text itself. Dates, durations and links stay texts, which the
     query language reads by their form."""
-    whole = F.trim(text)
+    return dynamic.bind(F.trim(text), trimmed_value, "inline_value")
+
+
+def trimmed_value(whole: Column) -> Column:
     listed = F.try_parse_json(F.concat(F.lit("["), F.regexp_replace(whole, r",\s*$", ""), F.lit("]")))
+    quoted = F.contains(whole, F.lit('"')) & F.regexp_like(whole, F.lit(QUOTED))
     return (
         F.when(F.regexp_like(whole, F.lit(r"^-?\d+(?:\.\d+)?$")), F.try_parse_json(whole))
-        .when(F.lower(whole).isin("true", "false"), F.try_parse_json(F.lower(whole)))
-        .when(F.regexp_like(whole, F.lit(NUMBERS)) | (F.regexp_like(whole, F.lit(QUOTED)) & F.contains(whole, F.lit(","))), listed)
-        .when(F.regexp_like(whole, F.lit(QUOTED)), F.get(F.try_variant_get(listed, "$", "array<variant>"), F.lit(0)))
+        .when(F.length(whole).between(4, 5) & F.lower(whole).isin("true", "false"), F.try_parse_json(F.lower(whole)))
+        .when(F.contains(whole, F.lit(",")) & (F.regexp_like(whole, F.lit(NUMBERS)) | quoted), listed)
+        .when(quoted, F.get(F.try_variant_get(listed, "$", "array<variant>"), F.lit(0)))
         .otherwise(whole.cast("variant"))
     )
 
@@ -136,20 +140,22 @@ def metadata(fields: Column, body: Column) -> Column:
     """All fields of a note as one VARIANT object: the header's and the inline fields' of its text. A key that occurs more than once has the list of its values, in
     order, header first; keys are there as they are written and in their cleaned form. All inside the row: nothing is shuffled."""
     found = F.regexp_extract_all(body, F.lit(INLINE), F.lit(0))
-    part = lambda raw, *g: F.coalesce(*(F.nullif(F.regexp_extract(raw, INLINE, i), F.lit("")) for i in g), F.lit(""))
-    written = F.transform(found, lambda raw: F.struct(F.regexp_replace(F.trim(part(raw, 1, 3, 5)), r"[*_~`]", "").alias("key"), inline_value(part(raw, 2, 4, 6)).alias("value")))
-    entry = "array<struct<key: string, value: variant>>"
-    header = F.map_entries(F.try_variant_get(fields, "$", "map<string,variant>"))
+    # the first sign tells which form of INLINE a field has, so one group is asked for
+    part = lambda raw, line, square, round_: F.when(raw.startswith("["), F.regexp_extract(raw, INLINE, square)).when(raw.startswith("("), F.regexp_extract(raw, INLINE, round_)).otherwise(F.regexp_extract(raw, INLINE, line))
+    named = lambda key, value: F.struct(key.alias("key"), clean_name(key).alias("clean"), value.alias("value"))
+    key = lambda raw: F.regexp_replace(F.trim(part(raw, 1, 3, 5)), r"[*_~`]", "")
+    entry = "array<struct<key: string, clean: string, value: variant>>"
+    written = F.transform(found, lambda raw: dynamic.bind(key(raw), lambda k: named(k, inline_value(part(raw, 2, 4, 6)))))
+    header = F.transform(F.map_entries(F.try_variant_get(fields, "$", "map<string,variant>")), lambda e: named(e["key"], e["value"]))
     every = F.concat(F.coalesce(header.cast(entry), F.array().cast(entry)), F.coalesce(written.cast(entry), F.array().cast(entry)))
-    named = F.transform(every, lambda e: F.struct(e["key"].alias("key"), clean_name(e["key"]).alias("clean"), e["value"].alias("value")))
 
-    def gathered(named: Column) -> Column:
-        keys = F.array_distinct(F.concat(F.transform(named, lambda e: e["key"]), F.transform(named, lambda e: e["clean"])))
-        own = lambda k: F.transform(F.filter(named, lambda e: (e["key"] == k) | (e["clean"] == k)), lambda e: e["value"])
-        value = lambda k: dynamic.bind(own(k), lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))).otherwise(v.cast("variant")))
+    def gathered(every: Column) -> Column:
+        keys = F.array_distinct(F.concat(F.transform(every, lambda e: e["key"]), F.transform(every, lambda e: e["clean"])))
+        own = lambda k: F.filter(every, lambda e: (e["key"] == k) | (e["clean"] == k))
+        value = lambda k: dynamic.bind(own(k), lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))["value"]).otherwise(F.transform(v, lambda e: e["value"]).cast("variant")))
         return F.to_variant_object(F.map_from_arrays(keys, F.transform(keys, value)))
 
-    return dynamic.bind(named, gathered)
+    return dynamic.bind(every, gathered)
 
 
 def tags(body: str = "body") -> Column:

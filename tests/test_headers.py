@@ -171,3 +171,13 @@ def test_rows_without_a_link_are_dealt_out(spark):
             spark.conf.set(k, v)
     assert sorted((r.title, r.above, r.top) for r in found if r.above) == [(f"N{i}", f"N{i % 2}", f"N{i % 2 % 2}") for i in range(10)]
     assert len(found) == 1000 and max(Counter(r.part for r in found).values()) < 500
+
+
+def test_inline_fields_are_read_once(spark):
+    """An expression that is named several times is evaluated as often, and a list of one is copied and asked for its type in each row."""
+    row = spark.createDataFrame([("a:: 1\n[b:: x, y] (c:: \"p\", \"q\")\n- A:: true",)], "body string")
+    found = row.select(F.to_json(notes.metadata(F.parse_json(F.lit('{"a": 0}')), F.col("body"))).alias("j"))
+    assert found.first().j == '{"A":true,"a":[0,1,true],"b":"x, y","c":["p","q"]}'
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract(") <= 6
+    plan = row.select(dynamic.bind(F.length("body"), lambda n: n * n + n).alias("n"))
+    assert "transform" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.first().n == 42 * 42 + 42
