@@ -169,10 +169,10 @@ def numbered(found: DataFrame) -> DataFrame:
 
 def expand(found: DataFrame, chosen: DataFrame) -> DataFrame:
     """(path, root_line, …): each chosen item with every item below it, in any depth, as rows of ``found``. The interval of an item names its descendants, so the work is that of the
-    result."""
+    result. Both sides are sorted and merged, as Spark guesses the size of items from the files of their notes and would gather millions of them on the driver."""
     roots = numbered(chosen).select(F.col("path").alias("p"), F.col("line").alias("root_line"), F.explode(F.sequence("nth", "last")).alias("n"))
     columns = [c for c in found.columns if c != "path"]
-    joined = numbered(found).join(roots, F.col("path").eqNullSafe(F.col("p")) & (F.col("nth") == F.col("n")))
+    joined = numbered(found).hint("merge").join(roots, F.col("path").eqNullSafe(F.col("p")) & (F.col("nth") == F.col("n")))
     return joined.select("path", "root_line", *columns)
 
 

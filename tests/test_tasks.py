@@ -64,6 +64,20 @@ def test_expand_children_and_completion(found):
             assert kept.columns == given.columns and sorted(((r.path, r.line) for r in kept.collect()), key=str) == want
 
 
+def test_expanded_items_are_not_gathered_on_the_driver(spark):
+    """Spark guesses that the items of a small table of notes are few; a broadcast of them would be over the limit set here."""
+    notes = spark.range(3000).select(F.col("id").alias("path"), F.lit("- [x] a\n  - [ ] b\n    - [x] c").alias("body"))
+    found = tasks.items(notes)
+    limit = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "10k")
+        rows = tasks.expand(found, found.where("completed")).groupBy("root_line", "line").count().collect()
+    finally:
+        spark.conf.set(limit, before)
+    assert sorted((r.root_line, r.line, r["count"]) for r in rows) == [(0, 0, 3000), (0, 1, 3000), (0, 2, 3000), (2, 2, 3000)]
+
+
 def test_items_above_themselves_are_an_error(spark):
     loop = spark.createDataFrame([("a", 1, 2, True, True), ("a", 2, 1, True, True)], "path string, line int, parent_line int, task boolean, completed boolean")
     with pytest.raises(Exception, match="above themselves"):
